@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import insufficient, invalid
@@ -17,10 +17,11 @@ from .neighbors import nearest
 from .ordering import average_ranks, exact_quantiles, quantile_values
 
 
-def guarded(value: Column, same: Column | None = None) -> Column:
-    """A correlation that is zero where undefined, one for equal constants."""
-    fallback = F.lit(0.0) if same is None else F.when(same, 1.0).otherwise(0.0)
-    return F.when(value.isNull() | F.isnan(value), fallback).otherwise(value)
+def guarded(x: str | Column, y: str | Column) -> Column:
+    """Correlation aggregate that is zero where either side has no spread."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / spread).otherwise(F.lit(0.0))
 
 
 def rank_vectors(df: DataFrame) -> DataFrame:
@@ -119,13 +120,13 @@ def with_target(df: DataFrame, target: str) -> DataFrame:
 
 
 def property_pearson(rows: DataFrame) -> DataFrame:
-    return unpivot(rows, "y").groupBy("f").agg(guarded(F.corr("x", "y")).alias("pearson"))
+    return unpivot(rows, "y").groupBy("f").agg(guarded("x", "y").alias("pearson"))
 
 
 def property_spearman(rows: DataFrame) -> DataFrame:
     ranked_y = average_ranks(rows.select("i", "y"), [], "y", "ry").select("i", "ry")
     ranked_x = average_ranks(unpivot(rows, "i"), ["f"], "x", "rx")
-    return ranked_x.join(ranked_y, "i").groupBy("f").agg(guarded(F.corr("rx", "ry")).alias("spearman"))
+    return ranked_x.join(ranked_y, "i").groupBy("f").agg(guarded("rx", "ry").alias("spearman"))
 
 
 def cross_validated(df: DataFrame, target: str, params: dict | None = None) -> DataFrame:
@@ -205,7 +206,7 @@ def reliability(held_out: DataFrame, params: dict | None = None) -> dict:
     counts = rows.agg(
         F.count_if(F.col("distance") > sparse_at).alias("sparse"), F.count_if(F.col("distance") > far_at).alias("ood"),
         F.count_if((F.col("distance") > sparse_at) & (F.col("error") > high_error)).alias("sparse_high_error"),
-        guarded(F.corr("distance", "error")).alias("pearson"),
+        guarded("distance", "error").alias("pearson"),
     ).first()
     return {"bins": centre.join(spread, "bin"), "sparse_threshold": sparse_at, "ood_threshold": far_at,
             "high_error_threshold": high_error, **counts.asDict()}
@@ -250,9 +251,3 @@ def verdict(r2: float, best_pearson: float) -> tuple[str, str]:
         return strength, "dominant_features" if best_pearson >= 0.6 else "distributed"
     return strength, "insufficient" if r2 < MODERATE_R2 and best_pearson < 0.4 else "mixed"
 
-
-__all__ = [
-    "clustered_order", "cross_validated", "distance_versus_property", "feature_correlation", "guarded",
-    "property_pearson", "property_spearman", "rank_vectors", "redundancy", "reliability", "scores", "top_pairs",
-    "vector_to_array", "verdict", "Window",
-]

@@ -21,8 +21,6 @@ from ..session import shuffle_width
 
 def _ranges(df: DataFrame, group: Sequence[str], value: str, parts: int) -> DataFrame:
     """Adds ``_range``: which slice of its group's value order a row lies in."""
-    if parts <= 1:
-        return df.withColumn("_range", F.lit(0))
     shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
     cuts = df.groupBy(*group).agg(F.percentile_approx(value, shares, F.lit(1000)).alias("_cuts"))
     joined = df.join(cuts, list(group), "left")
@@ -34,7 +32,11 @@ def running_totals(df: DataFrame, group: Sequence[str], value: str, amount: str,
 
     ``value`` must be unique within a group; aggregate repeats first.
     """
-    parts = shuffle_width(df.sparkSession) if parts is None else parts
+    parts = shuffle_width(df) if parts is None else parts
+    if parts <= 1:
+        whole = Window.partitionBy(*group)
+        earlier = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", F.coalesce(F.sum(amount).over(earlier), F.lit(0)).alias("before"), F.sum(amount).over(whole).alias("total"))
     sliced = _ranges(df, group, value, parts)
     inside = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     sliced = sliced.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
@@ -114,7 +116,7 @@ def previous_rows(df: DataFrame, order: str, columns: Sequence[str], group: Sequ
     each (group, range) is handed to the next range.
     """
     keyed, keys = _keyed(df, group)
-    parts = shuffle_width(df.sparkSession)
+    parts = shuffle_width(df)
     number = F.col(order).cast("double")
     keyed = keyed.withColumn("_number", number)
     if parts > 1:
@@ -129,6 +131,8 @@ def previous_rows(df: DataFrame, order: str, columns: Sequence[str], group: Sequ
     inside = Window.partitionBy(*keys, "_range").orderBy(order)
     packed = F.struct(*[F.col(c).alias(c) for c in columns])
     marked = keyed.withColumn("_lag", F.lag(packed).over(inside))
+    if parts <= 1:
+        return marked.select(*df.columns, *[F.col("_lag")[c].alias(prefix + c) for c in columns])
     lasts = keyed.groupBy(*keys, "_range").agg(F.max_by(packed, F.col(order)).alias("_last"))
     carried = lasts.select(*keys, "_range", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")).alias("_carry"))
     joined = marked.join(carried, [*keys, "_range"], "left")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import insufficient, invalid
 from ..functions import vec
 from ..params import choice, float_param
-from .ordering import average_ranks, exact_quantiles, previous_rows, quantile_values, running_totals
+from .ordering import previous_rows, quantile_values, running_totals
 
 EVENT_METHODS = ("mad", "zscore", "percentile")
 EVENT_DETAIL_ROWS = 200
@@ -142,8 +142,3 @@ def trajectory(df: DataFrame, params: dict | None = None, order: str = "i") -> d
     threshold = event_threshold(stepped, params)
     return {"table": table, "threshold": threshold, "events": events(stepped, threshold, order)}
 
-
-__all__ = [
-    "Threshold", "average_ranks", "cumulative_distance", "decimated", "display_window", "event_details",
-    "event_threshold", "events", "exact_quantiles", "reference_distance", "steps", "trajectory",
-]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("features",)
+PARTS = ("features", "spaces", "frames")
 
 
 def _collect(attribute: str) -> dict:

@@ -33,9 +33,18 @@ def broadcast_bytes(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_BYTES_KEY, str(BROADCAST_BYTES_DEFAULT)))
 
 
-def shuffle_width(spark: SparkSession, ceiling: int = 256) -> int:
-    """How many ranges an ordered operator splits into."""
-    return max(1, min(ceiling, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+SMALL_BYTES = 4 << 20
+
+
+def shuffle_width(df: DataFrame, ceiling: int = 256) -> int:
+    """How many ranges an ordered operator splits into.
+
+    One where the optimizer's own size estimate is a few megabytes, else one
+    per shuffle partition.  An estimate that is off changes only the balance.
+    """
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SMALL_BYTES:
+        return 1
+    return max(1, min(ceiling, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def shared_folder(spark: SparkSession) -> str:
