@@ -255,3 +255,25 @@ def two_nn_dimension(df: DataFrame, params: dict | None = None) -> dict:
         low, high = quantile_values(draws, "d", [0.025, 0.975])
         result["bootstrap"] = {"mean": base["mean"], "sd": base["sd"] or 0.0, "ci95": [low, high], "draws": replicates}
     return result
+
+
+def pairwise_rows(df: DataFrame, params: dict | None = None) -> DataFrame:
+    """``i, distances, similarities``: matrix rows of the bounded subset in id order."""
+    from ..functions.vec import similarity
+    from .neighbors import METRICS, pair_distances
+
+    params = params or {}
+    metric = choice(params, "metric", "cosine", METRICS)
+    limit = min(int_param(params, "max_samples", 400, 2), 2000)
+    scaler = preprocess.fit(df, choice(params, "preprocess", "raw", preprocess.MODES))
+    subset = bounded_rows(scaler.apply(df).select("i", "features"), limit, scaler.rows)
+    _ids, points = small_matrix(subset, "pairwise subset", limit)
+    shared = df.sparkSession.sparkContext.broadcast(points)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in table_batches(batches, 256):
+            rows = pair_distances(matrix(batch.column("features")), shared.value, metric)
+            yield pa.RecordBatch.from_arrays([batch.column("i"), vectors(rows)], names=["i", "distances"])
+
+    found = subset.mapInArrow(run, "i bigint, distances array<double>")
+    return found.withColumn("similarities", F.transform("distances", lambda d: similarity(metric, d)))

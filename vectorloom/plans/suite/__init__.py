@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("features", "spaces", "frames", "checks")
+PARTS = ("features", "spaces", "frames", "checks", "records")
 
 
 def _collect(attribute: str) -> dict:

@@ -336,6 +336,16 @@ def compare(spark, sf):
     return _one_row(spark, **{k: v for k, v in found.items()})
 
 
+def sensitivity(spark, sf):
+    """The second half of the coordinates as a second run, against the first."""
+    from ...operators.diagnostics import run_sensitivity
+
+    a, b = _halves(spark, sf)
+    records = run_sensitivity({"left": a, "right": b}, {"max_samples": 2000})
+    return tidy(spark.createDataFrame([(r["run"], r["rows"], r["effective_dimension"], r.get("neighbor_overlap")) for r in records],
+                                      "run string, rows bigint, effective_dimension double, neighbor_overlap double"))
+
+
 def overlap_knn(spark, sf):
     a, b = _halves(spark, sf)
     return tidy(crossset.neighbor_overlap(preprocess.fit(a).apply(a), preprocess.fit(b).apply(b), 10))
@@ -443,7 +453,7 @@ QUERIES = {
     "alg28_distance_property": distance_property, "alg29_verdicts": verdicts, "alg30_guarded_correlation": guarded,
     "alg31_coverage": coverage, "alg31_coverage_counts": coverage_counts, "alg32_overlap": overlap, "alg34_uncertainty": uncertainty,
     "top7_acquisition_pool": pool, "alg33_acquisition": acquired, "alg37_drift": drift, "join3_alignment": alignment,
-    "alg35_mantel": mantel, "alg35_mantel_spearman": mantel_rank, "alg36_compare": compare, "join12_neighbor_overlap": overlap_knn,
+    "alg35_mantel": mantel, "alg35_mantel_spearman": mantel_rank, "alg36_compare": compare, "dia1_sensitivity": sensitivity, "join12_neighbor_overlap": overlap_knn,
     "alg38_information_imbalance": imbalance, "alg38_overlap_curve": imbalance_overlap, "alg36_rand_index": rand_index,
     "alg39_joint_plane": joint_plane, "smp2_fps": fps, "smp2_fps_raw": fps_raw, "smp3_coverage_stop": fps_stop, "smp4_warm_start": fps_warm,
     "smp5_residuals": fps_residuals, "smp6_grouped": fps_grouped, "smp7_quota": quotas, "smp8_stratified": stratified,
