@@ -200,7 +200,6 @@ def run(
         raise invalid("optimizer must be random, genetic or pso")
     spark = seeds.sparkSession
     folder = folder or os.path.join(shared_folder(spark), f"expansion-{os.urandom(8).hex()}")
-    os.makedirs(folder, exist_ok=True)
     local = spec["type"] in ("local_environment_novelty", "composite")
 
     def vectors(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -220,10 +219,9 @@ def run(
         pool.seed_weights = list(target_weights(np.array([far[i] for i in ids]), radius))
     state = {"rounds": [], "evaluations": 0, "best": None, "stagnant": 0, "next": max(ids) + 1}
     stamp = json.dumps([asdict(settings), asdict(budget), ids[:1000], archive.scaler.rows], default=str, sort_keys=True)
-    marker = os.path.join(folder, "state.json")
     if resume:
-        with open(marker, encoding="utf-8") as stream:
-            saved = json.load(stream)
+        # One small text table per round; a round that did not finish left none.
+        saved = max((json.loads(r["value"]) for r in spark.read.text(f"{folder}/state-*").collect()), key=lambda s: len(s["state"]["rounds"]))
         if saved["stamp"] != stamp:
             raise LoomError(ANALYSIS_STALE, "the saved run was made from other inputs or settings")
         state = saved["state"]
@@ -233,7 +231,7 @@ def run(
     rounds = [Round(**r) for r in state["rounds"]]
 
     def kept(name: str) -> DataFrame | None:
-        paths = [p for r in rounds if r.accepted and os.path.isdir(p := os.path.join(folder, f"{name}-{r.generation}"))]
+        paths = [f"{folder}/{name}-{r.generation}" for r in rounds if r.accepted]
         return spark.read.parquet(*paths) if paths else None
 
     while True:
@@ -284,11 +282,11 @@ def run(
         if chosen:
             members = F.broadcast(picked)
             out = usable.join(members, "i", "left_semi").join(scored, "i").withColumn("generation", F.lit(generation))
-            out.write.mode("overwrite").parquet(os.path.join(folder, f"accepted-{generation}"))
-            archive.scaled(structures.join(members, "i", "left_semi")).select("i", "features").write.mode("overwrite").parquet(os.path.join(folder, f"structures-{generation}"))
+            out.write.mode("overwrite").parquet(f"{folder}/accepted-{generation}")
+            archive.scaled(structures.join(members, "i", "left_semi")).select("i", "features").write.mode("overwrite").parquet(f"{folder}/structures-{generation}")
             if local:
                 keyed = rows.join(members, "i", "left_semi").select((F.col("i") * F.lit(1 << 20) + F.col("row")).alias("i"), "features")
-                local_archive.scaled(keyed).write.mode("overwrite").parquet(os.path.join(folder, f"environments-{generation}"))
+                local_archive.scaled(keyed).write.mode("overwrite").parquet(f"{folder}/environments-{generation}")
         told = {r["i"]: r["fitness"] for r in scored.join(F.broadcast(picked), "i", "left_semi").select("i", "fitness").collect()}
         pool.observe(chosen, told, {p[0]: p[1] for p in plan})
         state["evaluations"] += facts["n"]
@@ -301,9 +299,10 @@ def run(
             # Every proposal broke a rule; count the attempt so the run ends.
             state["evaluations"] += count
         state["rounds"] = [asdict(r) for r in rounds]
-        with open(marker + ".part", "w", encoding="utf-8") as stream:
-            json.dump({"stamp": stamp, "state": state, "pool": {"accepted": [int(a) for a in pool.accepted], "fitness": {int(k): float(v) for k, v in pool.fitness.items()}, "best_of": {int(k): int(v) for k, v in pool.best_of.items()}}}, stream)
-        os.replace(marker + ".part", marker)
+        known = {"accepted": [int(a) for a in pool.accepted], "fitness": {int(k): float(v) for k, v in pool.fitness.items()},
+                 "best_of": {int(k): int(v) for k, v in pool.best_of.items()}}
+        body = json.dumps({"stamp": stamp, "state": state, "pool": known})
+        spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/state-{generation}")
 
 
 def catalog() -> dict:

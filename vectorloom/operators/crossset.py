@@ -47,7 +47,7 @@ def self_distance_quantiles(pair: Pair, shares: list[float]) -> list[float]:
     if pair.reference_rows < 2:
         return [0.0] * len(shares)
     own = self_nearest(pair.reference, 1, pair.metric).select(F.col("distances")[0].alias("d"))
-    return quantile_values(own, "d", shares)
+    return quantile_values(own, "d", shares, pair.reference_rows)
 
 
 def _three_way(found: DataFrame, first: float, second: float) -> DataFrame:

@@ -61,16 +61,18 @@ def _keyed(df: DataFrame, group: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn("_all", F.lit(0)), ["_all"]
 
 
-def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+def value_counts(df: DataFrame, group: Sequence[str], value: str, parts: int | None = None) -> DataFrame:
     """Distinct values with their multiplicity and how many rows lie below."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("copies"))
-    return running_totals(counted, group, value, "copies")
+    return running_totals(counted, group, value, "copies", parts)
 
 
-def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, shares: Sequence[float], names: Sequence[str]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, group: Sequence[str], value: str, shares: Sequence[float], names: Sequence[str], parts: int | None = None
+) -> DataFrame:
     """Linear-interpolated quantiles per group, one column per share."""
     df, keys = _keyed(df.select(*group, value), group)
-    counted = value_counts(df, keys, value)
+    counted = value_counts(df, keys, value, parts)
 
     def at(rank: Column) -> Column:
         hit = (F.col("before") <= rank) & (rank < F.col("before") + F.col("copies"))
@@ -86,10 +88,17 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, shares: Seq
     return counted.groupBy(*keys).agg(*aggregates).select(*group, *names)
 
 
-def quantile_values(df: DataFrame, value: str, shares: Sequence[float]) -> list[float | None]:
-    """The same for a whole column, fetched: one row."""
+SMALL_ROWS = 1 << 20
+
+
+def quantile_values(df: DataFrame, value: str, shares: Sequence[float], rows: int | None = None) -> list[float | None]:
+    """The same for a whole column, fetched: one row.
+
+    ``rows`` is a count the caller already has; a small one needs no ranges.
+    """
     names = [f"q{k}" for k in range(len(shares))]
-    rows = exact_quantiles(df, [], value, shares, names).collect()
+    parts = 1 if rows is not None and rows <= SMALL_ROWS else None
+    rows = exact_quantiles(df, [], value, shares, names, parts).collect()
     return [rows[0][n] for n in names] if rows else [None] * len(shares)
 
 
@@ -108,37 +117,71 @@ def positions(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
     return df.join(spot.select(key, F.col("before").cast("bigint").alias(name)), key)
 
 
+def _order_ranges(df: DataFrame, order: str) -> tuple[DataFrame, bool]:
+    """Adds ``_range`` cut over the whole table's order key; says if there are several.
+
+    Cuts are of the table, not of a group, so a group holding most rows still
+    spreads over many tasks.
+    """
+    parts = shuffle_width(df)
+    if parts <= 1:
+        return df.withColumn("_range", F.lit(0)), False
+    number = F.col(order).cast("double")
+    shares = [k / parts for k in range(1, parts)]
+    cuts = sorted(set(df.agg(F.percentile_approx(number, shares, 1000)).first()[0] or []))
+    slot = F.lit(0)
+    for cut in cuts:
+        slot = slot + (number > F.lit(cut)).cast("int")
+    return df.withColumn("_range", slot), bool(cuts)
+
+
 def previous_rows(df: DataFrame, order: str, columns: Sequence[str], group: Sequence[str] = (), prefix: str = "prev_") -> DataFrame:
     """Adds each column's value in the preceding row of its group.
 
-    ``order`` is unique within a group.  Ranges are cut over the whole table,
-    so a group holding most rows still spreads over many tasks; the last row of
-    each (group, range) is handed to the next range.
+    ``order`` is unique within a group.  The last row of each (group, range)
+    is handed to the next range.
     """
     keyed, keys = _keyed(df, group)
-    parts = shuffle_width(df)
-    number = F.col(order).cast("double")
-    keyed = keyed.withColumn("_number", number)
-    if parts > 1:
-        shares = [k / parts for k in range(1, parts)]
-        cuts = sorted(set(keyed.agg(F.percentile_approx("_number", shares, 1000)).first()[0] or []))
-        slot = F.lit(0)
-        for cut in cuts:
-            slot = slot + (F.col("_number") > F.lit(cut)).cast("int")
-        keyed = keyed.withColumn("_range", slot)
-    else:
-        keyed = keyed.withColumn("_range", F.lit(0))
+    keyed, several = _order_ranges(keyed, order)
     inside = Window.partitionBy(*keys, "_range").orderBy(order)
     packed = F.struct(*[F.col(c).alias(c) for c in columns])
     marked = keyed.withColumn("_lag", F.lag(packed).over(inside))
-    if parts <= 1:
+    if not several:
         return marked.select(*df.columns, *[F.col("_lag")[c].alias(prefix + c) for c in columns])
     lasts = keyed.groupBy(*keys, "_range").agg(F.max_by(packed, F.col(order)).alias("_last"))
     carried = lasts.select(*keys, "_range", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")).alias("_carry"))
-    joined = marked.join(carried, [*keys, "_range"], "left")
     source = F.coalesce("_lag", "_carry")
-    out = joined.select(*[c for c in df.columns], *[source[c].alias(prefix + c) for c in columns])
-    return out
+    return marked.join(carried, [*keys, "_range"], "left").select(*df.columns, *[source[c].alias(prefix + c) for c in columns])
+
+
+def recent_values(df: DataFrame, order: str, value: str, depth: int, group: Sequence[str] = (), name: str = "recent") -> DataFrame:
+    """Adds up to ``depth`` preceding values of the group, oldest first."""
+    keyed, keys = _keyed(df, group)
+    keyed, several = _order_ranges(keyed, order)
+    by_range = Window.partitionBy(*keys, "_range")
+    near = keyed.withColumn(name, F.collect_list(value).over(by_range.orderBy(order).rowsBetween(-depth, -1)))
+    if several:
+        tails = keyed.withColumn("_n", F.row_number().over(by_range.orderBy(F.desc(order)))).where(F.col("_n") <= depth)
+        tails = tails.groupBy(*keys, "_range").agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_tail"))
+        earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        carried = tails.select(*keys, "_range", F.transform(F.flatten(F.collect_list("_tail").over(earlier)), lambda t: t[value]).alias("_carry"))
+        both = F.concat("_carry", name)
+        near = near.join(carried, [*keys, "_range"]).withColumn(name, F.slice(both, F.greatest(F.lit(1), F.size(both) - depth + 1), depth))
+    return near.select(*df.columns, name)
+
+
+def running_max(df: DataFrame, order: str, value: str, group: Sequence[str] = (), name: str = "highest") -> DataFrame:
+    """Adds the largest value of the group's preceding rows."""
+    keyed, keys = _keyed(df, group)
+    keyed, several = _order_ranges(keyed, order)
+    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    near = keyed.withColumn(name, F.max(value).over(inside))
+    if several:
+        tops = keyed.groupBy(*keys, "_range").agg(F.max(value).alias("_top"))
+        earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        carried = tops.select(*keys, "_range", F.max("_top").over(earlier).alias("_carry"))
+        near = near.join(carried, [*keys, "_range"]).withColumn(name, F.greatest(name, "_carry"))
+    return near.select(*df.columns, name)
 
 
 def histogram(df: DataFrame, group: Sequence[str], value: str, bins: int) -> DataFrame:

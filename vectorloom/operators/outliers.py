@@ -33,18 +33,18 @@ def _share(params: dict) -> float | None:
     return share if share > 0 else None
 
 
-def _label_above(scored: DataFrame, share: float) -> DataFrame:
-    edge = quantile_values(scored, "score", [1.0 - share])[0]
+def _label_above(scored: DataFrame, share: float, rows: int) -> DataFrame:
+    edge = quantile_values(scored, "score", [1.0 - share], rows)[0]
     return scored.withColumn("label", (F.col("score") > F.lit(edge)).cast("int"))
 
 
 def knn_distance(df: DataFrame, params: dict | None = None) -> DataFrame:
     """Mean distance to the k nearest others."""
     params = params or {}
-    points, _scaler = _scaled(df, params)
+    points, scaler = _scaled(df, params)
     found = self_nearest(points, int_param(params, "k", 10))
     mean = F.aggregate("distances", F.lit(0.0), lambda a, d: a + d) / F.size("distances")
-    return _label_above(found.select("i", mean.alias("score")), _share(params) or DEFAULT_SHARE)
+    return _label_above(found.select("i", mean.alias("score")), _share(params) or DEFAULT_SHARE, scaler.rows)
 
 
 def local_outlier_factor(df: DataFrame, params: dict | None = None) -> DataFrame:
@@ -67,7 +67,7 @@ def local_outlier_factor(df: DataFrame, params: dict | None = None) -> DataFrame
     share = _share(params)
     if share is None:
         return scored.withColumn("label", (F.col("score") > 1.5).cast("int"))
-    return _label_above(scored, share)
+    return _label_above(scored, share, scaler.rows)
 
 
 def mahalanobis(df: DataFrame, params: dict | None = None) -> DataFrame:
@@ -86,7 +86,7 @@ def mahalanobis(df: DataFrame, params: dict | None = None) -> DataFrame:
             score = np.sqrt(np.maximum(((gap @ weight) * gap).sum(axis=1), 0.0))
             yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(score)], names=["i", "score"])
 
-    return _label_above(points.mapInArrow(run, "i bigint, score double"), _share(params) or DEFAULT_SHARE)
+    return _label_above(points.mapInArrow(run, "i bigint, score double"), _share(params) or DEFAULT_SHARE, scaler.rows)
 
 
 # --- isolation forest --------------------------------------------------------
@@ -189,7 +189,7 @@ def isolation_forest(df: DataFrame, params: dict | None = None) -> DataFrame:
     share = _share(params)
     if share is None:
         return scored.withColumn("label", (F.col("score") > 0.5).cast("int"))
-    return _label_above(scored, share)
+    return _label_above(scored, share, scaler.rows)
 
 
 ALGORITHMS = {

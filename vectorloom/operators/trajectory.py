@@ -78,9 +78,9 @@ def event_threshold(stepped: DataFrame, params: dict | None = None) -> Threshold
     if method == "percentile" and k >= 50:
         raise invalid("event_sensitivity must be below 50 for percentile detection")
     shares = [0.5] + ([1.0 - k / 100.0] if method == "percentile" else [])
-    found = quantile_values(real, "s", shares)
+    found = quantile_values(real, "s", shares, base["n"])
     median = found[0]
-    mad = quantile_values(real.select(F.abs(F.col("s") - F.lit(median)).alias("g")), "g", [0.5])[0]
+    mad = quantile_values(real.select(F.abs(F.col("s") - F.lit(median)).alias("g")), "g", [0.5], base["n"])[0]
     sigma = 1.4826 * mad
     warnings: tuple[str, ...] = ()
     if method == "percentile":

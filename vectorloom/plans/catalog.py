@@ -12,11 +12,11 @@ import os
 import time
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DATASET_CHANGED, INVALID_DATASET, UNSUPPORTED_PERIODICITY, LoomError, invalid
-from ..operators.ordering import running_totals
+from ..operators.ordering import recent_values, running_max, running_totals
 
 # Table layouts and states.
 SCHEMAS = {
@@ -288,19 +288,20 @@ def split(df: DataFrame, key: str, ratios: tuple[float, float, float], seed: int
 
 
 def trailing_sum(rounds: DataFrame, group: str, order: str, value: str, width: int) -> DataFrame:
-    """Sum over the last ``width`` rounds; rounds of one run are few."""
-    span = Window.partitionBy(group).orderBy(order).rowsBetween(1 - width, 0)
-    return rounds.withColumn("trailing", F.sum(value).over(span))
+    """Sum over the last ``width`` rounds of a run."""
+    near = recent_values(rounds, order, value, width - 1, (group,), "_recent")
+    return near.withColumn("trailing", F.aggregate("_recent", F.col(value), lambda a, x: a + x)).drop("_recent")
 
 
 def stagnation(rounds: DataFrame, group: str, order: str, value: str, tolerance: float = 1e-9) -> DataFrame:
     """Rounds since the best value last improved."""
-    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    best = F.max(value).over(before)
-    better = best.isNull() | (F.col(value) > best + tolerance)
-    marked = rounds.withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(order))).withColumn("_better", better)
-    return marked.withColumn("stagnant", F.col("_at") - F.max(F.when(F.col("_better"), F.col("_at"))).over(upto)).drop("_at", "_better")
+    best = running_max(rounds, order, value, (group,), "_best")
+    better = F.col("_best").isNull() | (F.col(value) > F.col("_best") + tolerance)
+    placed = running_totals(best.withColumn("_one", F.lit(1)), [group], order, "_one")
+    marked = placed.withColumn("_hit", F.when(better, F.col("before")))
+    last = running_max(marked, order, "_hit", (group,), "_last")
+    since = F.col("before") - F.coalesce("_hit", "_last")
+    return last.withColumn("stagnant", since).drop("_best", "_one", "before", "total", "_hit", "_last")
 
 
 def reduced(counts: dict[str, int]) -> dict[str, int]:

@@ -236,7 +236,7 @@ def stream_first_seen(spark, sf):
 
 def stream_steps(spark, sf):
     live = series.live_steps(series.follow(spark, sf, "events.parquet"), "user_id", "event_id", ["value"])
-    return tidy(series.drain(live).select("i", "step"))
+    return tidy(live.select("i", "step"))
 
 
 # --- expansion ---------------------------------------------------------------

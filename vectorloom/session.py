@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,7 +54,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only where none is named (tests, local runs) a temporary one is made.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="vectorloom-checkpoint-")
     if context.getCheckpointDir() is None:
@@ -65,3 +66,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and ends the plan's history."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application.
+
+    Needed where the workers cannot import it, as when it is only on the
+    driver's path.
+    """
+    context = spark.sparkContext
+    name = f"vectorloom-{context.applicationId}.zip"
+    if name in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    shared = shared_folder(spark).removeprefix("file:")
+    # A store that is not a mounted folder cannot hold the archive; Spark
+    # uploads it from the driver either way.
+    folder = shared if "://" not in shared else tempfile.mkdtemp(prefix="vectorloom-package-")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, name)
+    with zipfile.ZipFile(path, "w") as pack:
+        for inside, _inner, files in os.walk(root):
+            for file in files:
+                if file.endswith(".py"):
+                    full = os.path.join(inside, file)
+                    pack.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)
+    _SHIPPED.add(name)
+
+
+_SHIPPED: set[str] = set()

@@ -8,14 +8,12 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.vec import euclidean
+from ..operators.ordering import previous_rows
 from ..session import shared_folder
 
 
@@ -72,23 +70,34 @@ def windowed_drift(rows: DataFrame, time: str, value: str, late: str = "10 minut
         F.col("window.start").alias("start"), "n", "mean", "std")
 
 
-STEP_SCHEMA = "key bigint, i bigint, step double"
+def live_steps(stream: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
+    """Step distances per key over everything available, as a table.
 
-
-def live_steps(rows: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
-    """Step distances per key; the last row of each key is all the state there is.
-
-    Rows of a key must arrive in order across micro-batches; inside one they
-    are sorted.
+    The state is each key's last row, kept as one small table per micro-batch,
+    so a repeated batch finds the state it started from.  Inside a micro-batch
+    lags are cut into ranges of the order key, so a busy key is spread out.
     """
-
-    def advance(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(batches)).sort_values(order)
-        points = part[values].to_numpy(dtype=float)
-        last = np.array(state.get[0]) if state.exists else points[0]
-        gaps = np.diff(np.vstack([last, points]), axis=0)
-        state.update((points[-1].tolist(),))
-        yield pd.DataFrame({"key": np.full(len(part), name[0]), "i": part[order].to_numpy(), "step": np.sqrt((gaps**2).sum(axis=1))})
-
-    return rows.select(key, order, *values).groupBy(key).applyInPandasWithState(
-        advance, STEP_SCHEMA, "last array<double>", "append", GroupStateTimeout.NoTimeout)
+    spark = stream.sparkSession
+    base = os.path.join(shared_folder(spark), f"steps-{uuid.uuid4().hex}")
+    rows = stream.select(F.col(key).alias("key"), F.col(order).alias("i"), F.array(*values).alias("features"))
+    schema = "key " + dict(rows.dtypes)["key"] + ", i bigint, features array<double>"
+    done: list[int] = []
+
+    def advance(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        earlier = [n for n in done if n < number]
+        last = spark.read.schema(schema).parquet(f"{base}/last-{earlier[-1]}") if earlier else spark.createDataFrame([], schema)
+        moved = previous_rows(batch, "i", ["features"], ("key",), "prev_")
+        known = last.select("key", F.col("features").alias("_last"))
+        before = F.coalesce("prev_features", "_last")
+        step = F.when(before.isNull(), F.lit(0.0)).otherwise(euclidean(F.col("features"), before))
+        moved.join(known, "key", "left").select("key", "i", step.alias("step")).write.mode("overwrite").parquet(f"{base}/out-{number}")
+        newest = last.unionByName(batch.select("key", "i", "features")).groupBy("key").agg(F.max("i").alias("i"), F.max_by("features", "i").alias("features"))
+        newest.write.mode("overwrite").parquet(f"{base}/last-{number}")
+        batch.unpersist()
+        done.append(number)
+
+    query = rows.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(advance).start()
+    query.awaitTermination()
+    out = "key " + dict(rows.dtypes)["key"] + ", i bigint, step double"
+    return spark.read.schema(out).parquet(*[f"{base}/out-{n}" for n in done]) if done else spark.createDataFrame([], out)
