@@ -83,3 +83,15 @@ def test_radius_counts_agree_in_both_forms(spark):
 def test_k_beyond_rows(spark):
     df = frame_of(spark, np.arange(6.0).reshape(3, 2))
     assert all(len(r["indices"]) == 2 for r in nn.self_nearest(df, 10).collect())
+
+
+def test_fuzzy_graph_is_a_union(spark):
+    from vectorloom.operators import graph
+
+    x = table("plain")[:60]
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), axis=1)[:, :6]
+    offset, width = graph.row_widths(d)
+    np.testing.assert_allclose(np.exp(-np.maximum(d - offset[:, None], 0) / width[:, None]).sum(1), np.log2(6), rtol=1e-6)
+    rows = graph.fuzzy_graph(frame_of(spark, x), {"n_neighbors": 6}).collect()
+    assert all(r["a"] < r["b"] and 0 < r["weight"] <= 1 for r in rows)
+    assert len({(r["a"], r["b"]) for r in rows}) == len(rows)

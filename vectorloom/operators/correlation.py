@@ -157,9 +157,10 @@ def cross_validated(df: DataFrame, target: str, params: dict | None = None) -> D
         train, test = rows.where(F.col("fold") != number), rows.where(F.col("fold") == number)
         scaler = preprocess.fit_reference(train)
         train, test = scaler.apply(train), scaler.apply(test)
-        level = train.agg(F.avg("y")).first()[0]
+        level, spread = train.agg(F.avg("y"), F.stddev_pop("y")).first()
+        # The solver divides its penalty by the target's spread.
         model = LinearRegression(
-            featuresCol="v", labelCol="y", predictionCol="prediction", regParam=alpha / scaler.rows,
+            featuresCol="v", labelCol="y", predictionCol="prediction", regParam=alpha / scaler.rows * spread,
             elasticNetParam=0.0, standardization=False, solver="normal",
         ).fit(train.select(array_to_vector("features").alias("v"), "y"))
         guessed = model.transform(test.withColumn("v", array_to_vector("features"))).select(

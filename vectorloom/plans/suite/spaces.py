@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import vec
-from ...operators import clusters, correlation, crossset, outliers, preprocess, sampling, spectrum
+from ...operators import clusters, correlation, crossset, graph, outliers, preprocess, sampling, spectrum
 from ...operators import neighbors as nn
 from ...operators import trajectory as tj
 from .inputs import RAW, embeddings, half, query_side, r6, reference_side, standardized, table, tidy
@@ -371,6 +371,10 @@ def joint_plane(spark, sf):
     return tidy(spectrum.joint_plane(*_sides(spark, sf)).select("i", "source", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y")))
 
 
+def fuzzy_edges(spark, sf):
+    return tidy(graph.fuzzy_graph(embeddings(spark, sf)))
+
+
 # --- sampling ----------------------------------------------------------------
 
 
@@ -455,7 +459,7 @@ QUERIES = {
     "top7_acquisition_pool": pool, "alg33_acquisition": acquired, "alg37_drift": drift, "join3_alignment": alignment,
     "alg35_mantel": mantel, "alg35_mantel_spearman": mantel_rank, "alg36_compare": compare, "dia1_sensitivity": sensitivity, "join12_neighbor_overlap": overlap_knn,
     "alg38_information_imbalance": imbalance, "alg38_overlap_curve": imbalance_overlap, "alg36_rand_index": rand_index,
-    "alg39_joint_plane": joint_plane, "smp2_fps": fps, "smp2_fps_raw": fps_raw, "smp3_coverage_stop": fps_stop, "smp4_warm_start": fps_warm,
+    "alg39_joint_plane": joint_plane, "alg3_fuzzy_graph": fuzzy_edges, "smp2_fps": fps, "smp2_fps_raw": fps_raw, "smp3_coverage_stop": fps_stop, "smp4_warm_start": fps_warm,
     "smp5_residuals": fps_residuals, "smp6_grouped": fps_grouped, "smp7_quota": quotas, "smp8_stratified": stratified,
     "smp1_random": random_rows, "smp9_cluster_representatives": representatives, "pre4_composite": composite,
 }
