@@ -19,10 +19,16 @@ from pyspark.sql import functions as F
 from ..session import shuffle_width
 
 
-def _ranges(df: DataFrame, group: Sequence[str], value: str, parts: int) -> DataFrame:
+def _sliced(df: DataFrame, group: Sequence[str], value: str, parts: int) -> DataFrame:
     """Adds ``_range``: which slice of its group's value order a row lies in."""
-    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
-    cuts = df.groupBy(*group).agg(F.percentile_approx(value, shares, F.lit(1000)).alias("_cuts"))
+    shares = [k / parts for k in range(1, parts)]
+    if list(group) == ["_all"]:
+        # One group: the cut points are a short literal list, so nothing is joined.
+        cuts = sorted(set(df.agg(F.percentile_approx(value, shares, 1000)).first()[0] or []))
+        listed = F.array(*[F.lit(c) for c in cuts])
+        return df.withColumn("_range", F.size(F.filter(listed, lambda c: c < F.col(value))) if cuts else F.lit(0))
+    marks = F.array(*[F.lit(s) for s in shares])
+    cuts = df.groupBy(*group).agg(F.percentile_approx(value, marks, F.lit(1000)).alias("_cuts"))
     joined = df.join(cuts, list(group), "left")
     return joined.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
 
@@ -37,10 +43,10 @@ def running_totals(df: DataFrame, group: Sequence[str], value: str, amount: str,
         whole = Window.partitionBy(*group)
         earlier = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return df.select("*", F.coalesce(F.sum(amount).over(earlier), F.lit(0)).alias("before"), F.sum(amount).over(whole).alias("total"))
-    sliced = _ranges(df, group, value, parts)
+    ranged = _sliced(df, group, value, parts)
     inside = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    sliced = sliced.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    sums = _ranges(df, group, value, parts).groupBy(*group, "_range").agg(F.sum(amount).alias("_sum"))
+    sliced = ranged.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    sums = ranged.groupBy(*group, "_range").agg(F.sum(amount).alias("_sum"))
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         *group,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import elements, geometry
 from ..functions.vec import finite
 from .contacts import CELL_TOLERANCE, frame_geometry
-from .ordering import exact_quantiles, histogram
+from .ordering import histogram, quantile_values
 
 FRAME_SCHEMA = (
     "frame_index bigint, id string, numbers array<int>, positions array<array<double>>, cell array<array<double>>, "
@@ -143,9 +143,9 @@ def force_values(frames: DataFrame) -> DataFrame:
 
 def value_summary(values: DataFrame, value: str) -> DataFrame:
     """Minimum, maximum, mean and exact median, rounded."""
-    middle = exact_quantiles(values, [], value, [0.5], ["median"]).withColumn("_k", F.lit(0))
-    base = values.agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean")).withColumn("_k", F.lit(0))
-    return base.join(middle, "_k").select(*[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "median")])
+    middle = quantile_values(values, value, [0.5])[0]
+    base = values.agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean")).withColumn("median", F.lit(middle).cast("double"))
+    return base.select(*[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "median")])
 
 
 def value_histogram(values: DataFrame, value: str) -> DataFrame:

@@ -153,9 +153,9 @@ def agg8_grid(spark, sf):
     run = ordering.running_totals(grid.withColumn("_all", F.lit(0)), ["_all"], "slot", "n")
     rank = (F.col("total") - 1) / 2.0
     at = run.where((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")))
-    lows = lines.agg(F.min("v").alias("lowest"), F.max("v").alias("highest")).withColumn("_all", F.lit(0))
-    mid = (F.greatest(F.col("slot") * 0.001, F.col("lowest")) + F.least((F.col("slot") + 1) * 0.001, F.col("highest"))) / 2
-    return tidy(at.join(F.broadcast(lows), "_all").select("total", mid.alias("median")))
+    lowest, highest = lines.agg(F.min("v"), F.max("v")).first()
+    mid = (F.greatest(F.col("slot") * 0.001, F.lit(lowest)) + F.least((F.col("slot") + 1) * 0.001, F.lit(highest))) / 2
+    return tidy(at.select("total", mid.alias("median")))
 
 
 def win8(spark, sf):

@@ -579,6 +579,13 @@ SQL = {
     "pre4_composite": f"""WITH {HALVES} SELECT i, unnest(range(0, 64))::INTEGER AS f, round(unnest(list_concat(list_transform(za.v, lambda x: x / sqrt(32)), list_transform(zb.v, lambda x: x * 2 / sqrt(32)))), 6) + 0.0 AS x
  FROM za JOIN zb USING (i)""",
 }
+SQL["alg38_overlap_curve"] = f"""WITH {HALVES}, ka AS (SELECT a.i, b.i AS j, row_number() OVER (PARTITION BY a.i ORDER BY {L2}, b.i) AS n FROM za a, za b WHERE a.i <> b.i),
+ kb AS (SELECT a.i, b.i AS j, row_number() OVER (PARTITION BY a.i ORDER BY {L2}, b.i) AS n FROM zb a, zb b WHERE a.i <> b.i),
+ m AS (SELECT greatest(ka.n, kb.n) AS n FROM ka JOIN kb ON ka.i = kb.i AND ka.j = kb.j) SELECT """ + ", ".join(
+    f"round(count(*) FILTER (WHERE n <= {k}) / {k}.0 / (SELECT count(*) FROM e), 6) + 0.0 AS overlap_{k}" for k in (1, 2, 4, 8, 16, 32)) + " FROM m"
+SQL["smp8_stratified"] = """WITH s AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), q AS (SELECT label, 100.0 * n / sum(n) OVER () AS ideal FROM s),
+ r AS (SELECT label, floor(ideal) AS base, row_number() OVER (ORDER BY ideal - floor(ideal) DESC, label) AS place, 100 - sum(floor(ideal)) OVER () AS spare FROM q)
+ SELECT label, (base + (place <= spare)::INTEGER)::BIGINT AS n FROM r"""
 SQL["win6_events_mad"] = f"""WITH {SERIES}, {STEP1}, m AS (SELECT quantile_cont(d, 0.5) AS med FROM ok), t AS (SELECT any_value(med) + 3 * 1.4826 * quantile_cont(abs(d - med), 0.5) AS t FROM ok, m),
  r AS (SELECT *, row_number() OVER (ORDER BY d, i) AS n, count(*) OVER () AS total FROM ok)
  SELECT i, round(d, 6) + 0.0 AS step_distance, round(d / t, 6) + 0.0 AS threshold_ratio, round(n / total, 6) + 0.0 AS percentile FROM r, t WHERE d > t"""
