@@ -81,7 +81,7 @@ _ALL = f"""{MIN_IMAGE}, {RAW}, pp AS (SELECT a.i AS a, b.i AS b, list_distance(a
  q AS (SELECT * FROM pp WHERE s IS NOT NULL)"""
 
 SQL = {
-    "dia8_structure_fingerprint": f"WITH {MIN_IMAGE} SELECT frame_index AS frame, n AS atoms, round(shape[1], 6) + 0.0 AS low, round(shape[-1], 6) + 0.0 AS high, round(list_sum(shape), 6) + 0.0 AS total FROM shp",
+    "dia8_structure_fingerprint": f"WITH {MIN_IMAGE} SELECT frame_index AS frame, n::BIGINT AS atoms, round(shape[1], 6) + 0.0 AS low, round(shape[-1], 6) + 0.0 AS high, round(list_sum(shape), 6) + 0.0 AS total FROM shp",
     "dia9_environment_fingerprint": f"""WITH {MIN_IMAGE}, k AS (SELECT *, row_number() OVER (PARTITION BY frame_index, ra ORDER BY d) AS nd, row_number() OVER (PARTITION BY frame_index, ra ORDER BY eb) AS ne FROM mi WHERE d <= 4)
  SELECT a.frame_index AS frame, a.row, a.element, round(coalesce(sum(d) FILTER (WHERE nd <= 6), 0), 6) + 0.0 AS length, coalesce(sum(eb) FILTER (WHERE ne <= 6), 0)::BIGINT AS charge
  FROM atoms a LEFT JOIN k ON k.frame_index = a.frame_index AND k.ra = a.row GROUP BY 1, 2, 3""",
