@@ -6,6 +6,7 @@ from vectorloom.errors import LoomError
 from vectorloom.expansion import mutations as mu
 from vectorloom.expansion import scoring, search
 from vectorloom.functions.descriptors import radial_histogram
+from vectorloom.session import BROADCAST_BYTES_KEY
 
 ATOMS = "i bigint, numbers array<int>, positions array<array<double>>, cell array<array<double>>, pbc array<boolean>"
 
@@ -46,6 +47,12 @@ def test_coverage_gain_matches_definition(spark):
     d = np.sqrt(((x[:, None] - c[None]) ** 2).sum(2))
     got = dict(scoring.coverage_gain(archive, frame_of(spark, c)).collect())
     np.testing.assert_allclose([got[k] for k in range(5)], -d.max(0))
+    spark.conf.set(BROADCAST_BYTES_KEY, "64")
+    try:
+        sliced = dict(scoring.coverage_gain(archive, frame_of(spark, c)).collect())
+    finally:
+        spark.conf.unset(BROADCAST_BYTES_KEY)
+    assert sliced == got
     later = archive.with_accepted(frame_of(spark, c[:1]))
     got = dict(scoring.coverage_gain(later, frame_of(spark, c)).collect())
     now = d[:, 0]

@@ -111,6 +111,8 @@ def coverage_gain(archive: Archive, rows: DataFrame) -> DataFrame:
     Each block of reference rows reduces to one number per candidate, then
     blocks combine by maximum; no reference-candidate pairs are listed.
     """
+    if rows.isEmpty():
+        return rows.select("i", F.lit(0.0).alias("gain"))
     if archive.accepted is None:
         base = archive.reference.select("i", "features", F.lit(float("inf")).alias("now"))
     else:

@@ -419,11 +419,31 @@ def _radius_reduce(reference: DataFrame, query: DataFrame, radius: float, metric
 
 
 def broadcast_reduce(reference: DataFrame, query: DataFrame, kernel: Callable, schema: str) -> DataFrame:
-    """The same kernel contract with the whole (checked) reference in every task."""
+    """The same kernel contract with the reference in every task.
+
+    A reference beyond the broadcast bound goes in slices by hash of its id;
+    kernels return partial reductions, so their rows are simply put together.
+    """
+    spark = query.sparkSession
+    wide = reference.count() * (_width(reference) + 2) * 8
+    slices = -(-wide * 5 // (4 * broadcast_bytes(spark)))
+    if slices > 1:
+        out = None
+        for number in range(slices):
+            part = reference.where(F.pmod(F.xxhash64("i"), F.lit(slices)) == number)
+            if part.isEmpty():
+                continue
+            found = _reduce_slice(part, query, kernel, schema)
+            out = found if out is None else out.unionByName(found)
+        return out
+    return _reduce_slice(reference, query, kernel, schema)
+
+
+def _reduce_slice(reference: DataFrame, query: DataFrame, kernel: Callable, schema: str) -> DataFrame:
     spark = query.sparkSession
     packed = reference.select("i", "features", "tag").toArrow()
-    if packed.nbytes > broadcast_bytes(spark):
-        raise LoomError("ANALYSIS_INPUT_INVALID", "reference exceeds the broadcast bound", bytes=packed.nbytes)
+    if packed.nbytes > 2 * broadcast_bytes(spark) + (1 << 20):
+        raise LoomError("ANALYSIS_INPUT_INVALID", "reference slice exceeds the broadcast bound", bytes=packed.nbytes)
     shared = spark.sparkContext.broadcast(
         (ints(packed.column("i").combine_chunks()), matrix(packed.column("features")), ints(packed.column("tag").combine_chunks()))
     )
