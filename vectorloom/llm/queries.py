@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, secrets, simhash
+from . import mixing, packing, secrets, sharding, simhash
 from .common import documents
 
 
@@ -12,6 +12,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(documents(spark, sf_dir))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -20,5 +28,5 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
-QUERIES = {query.__name__: query for query in (op3_secret_scan, op8_simhash_near_dedup, op9_best_fit_packing)}
+QUERIES = {query.__name__: query for query in (op3_secret_scan, op5_jump_sharding, op6_source_mix, op8_simhash_near_dedup, op9_best_fit_packing)}
 SQL: dict[str, str] = {}
