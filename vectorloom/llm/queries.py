@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, secrets, sharding, simhash
+from . import mixing, packing, secrets, sharding, simhash, toxicity, wordpieces
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -28,5 +32,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
-QUERIES = {query.__name__: query for query in (op3_secret_scan, op5_jump_sharding, op6_source_mix, op8_simhash_near_dedup, op9_best_fit_packing)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpieces.token_counts(documents(spark, sf_dir))
+
+
+QUERIES = {query.__name__: query for query in (
+    op3_secret_scan, op5_jump_sharding, op6_source_mix, op7_toxicity, op8_simhash_near_dedup, op9_best_fit_packing, op10_token_counts,
+)}
 SQL: dict[str, str] = {}
