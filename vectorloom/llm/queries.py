@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, mixing, packing, secrets, sharding, simhash, toxicity, wordpieces
+from . import ctw, mixing, packing, quality, secrets, sharding, simhash, toxicity, wordpieces
 from .common import documents
 
 
@@ -16,6 +16,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir)).drop("_h")
+
+
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir))
 
@@ -41,6 +45,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_context_tree_scores, op3_secret_scan, op5_jump_sharding, op6_source_mix, op7_toxicity, op8_simhash_near_dedup, op9_best_fit_packing, op10_token_counts,
+    op1_context_tree_scores, op3_secret_scan, op4_quality_rules, op5_jump_sharding, op6_source_mix, op7_toxicity, op8_simhash_near_dedup, op9_best_fit_packing, op10_token_counts,
 )}
 SQL: dict[str, str] = {}
