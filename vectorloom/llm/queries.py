@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, mixing, packing, quality, secrets, sharding, simhash, toxicity, wordpieces
+from . import ctw, iblt, mixing, packing, quality, secrets, sharding, simhash, toxicity, wordpieces
 from .common import documents
 
 
@@ -12,6 +12,10 @@ def op1_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scored(documents(spark, sf_dir))
 
 
+def op2_paragraph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprinted(documents(spark, sf_dir))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -45,6 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_context_tree_scores, op3_secret_scan, op4_quality_rules, op5_jump_sharding, op6_source_mix, op7_toxicity, op8_simhash_near_dedup, op9_best_fit_packing, op10_token_counts,
+    op1_context_tree_scores, op2_paragraph_fingerprints, op3_secret_scan, op4_quality_rules, op5_jump_sharding,
+    op6_source_mix, op7_toxicity, op8_simhash_near_dedup, op9_best_fit_packing, op10_token_counts,
 )}
 SQL: dict[str, str] = {}
