@@ -190,3 +190,49 @@ def mixed(docs: DataFrame) -> DataFrame:
     named, taken = mix(sized_rows(docs))
     sums = taken.groupBy("_row").agg(F.sum("words").alias("taken"))
     return named.join(sums, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+
+
+_BLANK = r"[\x09-\x0D\x20]"
+
+
+def first_words(text: Column, count: Column) -> Column:
+    """The text up to the end of its word number ``count``, without blanks before its first word."""
+    body = F.regexp_replace(text, f"^{_BLANK}+", "")
+    parts = F.split(body, f"{_BLANK}+", (count + 1).cast("int"))
+    rest = F.when(F.size(parts) > count, F.element_at(parts, (count + 1).cast("int"))).otherwise(F.lit(""))
+    return F.regexp_replace(F.substring(body, F.lit(1), F.length(body) - F.length(rest)), f"{_BLANK}+$", "")
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents as the mix takes them: once per time, cut where the mix ends.
+
+    All columns stay; ``n_chars`` is counted anew where a text is cut.  A cut text
+    ends after the last word taken.  Rows that the mix leaves out, and rows without
+    words, go.  What is taken is told apart by hashes of a row's values; of equal
+    rows each takes the share of one.
+    """
+    named, taken = mix(sized_rows(docs))
+    times = taken.groupBy("_row", "epoch").agg(F.sum("words").alias("words")).groupBy("_row").agg(F.sort_array(F.collect_list("words"), asc=False).alias("_words"))
+    shares = named.select("_row", "k1", "k2", "size").join(times, "_row")
+    # Equal rows follow each other in a stream, so few different shares fall to them; runs say to how many each.
+    runs = shares.groupBy("k1", "k2", "size", "_words").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("k1", "k2").orderBy(F.desc("_words")))
+    listed = runs.withColumn("_upto", upto).groupBy("k1", "k2", "size").agg(F.array_sort(F.collect_list(F.struct("_upto", "_words"))).alias("_runs"))
+    k1, k2 = row_keys(docs)
+    met = docs.withColumns({"_k1": k1, "_k2": k2}).join(listed, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
+    met = met.withColumn("_copy", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1")))
+    own = F.filter("_runs", lambda r: r["_upto"] >= F.col("_copy"))
+    met = met.withColumn("_words", F.when(F.size(own) > 0, F.element_at(own, 1)["_words"]))
+    each = met.withColumn("_take", F.explode("_words"))
+    # A cut text is its first words with what stands between them.
+    cut = F.when(F.col("_take") >= F.col("size"), F.col("text")).otherwise(first_words(F.col("text"), F.col("_take")))
+    out = []
+    for name in docs.columns:
+        if name == "text":
+            out.append(cut.alias("text"))
+        elif name == "n_chars":
+            kind = docs.schema["n_chars"].dataType
+            out.append(F.when(F.col("_take") >= F.col("size"), F.col("n_chars")).otherwise(F.length(cut).cast(kind)).alias("n_chars"))
+        else:
+            out.append(F.col(f"`{name}`"))
+    return each.select(*out)

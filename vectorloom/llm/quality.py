@@ -105,10 +105,10 @@ def measured(docs: DataFrame) -> DataFrame:
     lang, source = column_or_null(docs, "lang", "string"), column_or_null(docs, "source", "string")
     # Null parts are left out of the text, so they differ from empty ones.
     pair = F.to_json(F.struct(lang, source)).alias("pair")
-    carried = F.struct(column_or_null(docs, "doc_id", "bigint"), F.xxhash64("text", lang, source).alias("h")).alias("_row")
+    carried = F.struct(column_or_null(docs, "doc_id", "bigint"), *row_hashes(docs)).alias("_row")
     rows = docs.select(carried, pair, F.col("text").cast("string").cast("binary").alias("text"))
     kinds = ", ".join(f"{name} bigint" for name in COUNTED)
-    return map_rows(rows, work, f"_row struct<doc_id: bigint, h: bigint>, pair string, {kinds}, x array<double>").withColumn(
+    return map_rows(rows, work, f"_row struct<doc_id: bigint, h1: bigint, h2: bigint>, pair string, {kinds}, x array<double>").withColumn(
         "base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     )
 
@@ -197,7 +197,7 @@ def estimates(rows: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, distance`` for every row, and ``_h``, a hash of the row's values.
+    base_failed, kept, distance`` for every row, and ``h1, h2``, hashes of its values.
 
     A null or empty text has no words and fails the base rule.  Null languages
     and sources are groups of their own.  Repeated rows are judged alike.
@@ -207,4 +207,20 @@ def judged(docs: DataFrame, cut: float = CUT) -> DataFrame:
     model = estimates(rows.where(~F.col("base_failed") & F.col("cell").isNotNull()))
     far = rows.join(model, "cell", "left").withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
-    return far.select(F.col("_row.doc_id").alias("doc_id"), *COUNTED, "base_failed", kept.alias("kept"), "distance", F.col("_row.h").alias("_h"))
+    return far.select(F.col("_row.doc_id").alias("doc_id"), *COUNTED, "base_failed", kept.alias("kept"), "distance", "_row.h1", "_row.h2")
+
+
+def row_hashes(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of a row's id, text, language and source."""
+    parts = [column_or_null(docs, name, kind) for name, kind in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"))]
+    return F.xxhash64(*parts, F.lit(1)).alias("h1"), F.xxhash64(*parts[::-1], F.lit(2)).alias("h2")
+
+
+def kept_rows(docs: DataFrame, cut: float = CUT) -> DataFrame:
+    """The rows that the rules keep, with all their columns.
+
+    Rows with equal values are judged alike, so verdicts are joined on hashes of these.
+    """
+    verdicts = judged(docs, cut).where("kept").select("h1", "h2")
+    k1, k2 = row_hashes(docs)
+    return docs.join(verdicts, (k1 == F.col("h1")) & (k2 == F.col("h2")), "left_semi")

@@ -21,7 +21,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(documents(spark, sf_dir)).drop("_h")
+    return quality.judged(documents(spark, sf_dir)).drop("h1", "h2")
 
 
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary_text, column_or_null, cut_lineage, map_rows, whole_words
@@ -197,6 +197,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROW
     return map_rows(ordered, _bucket_edges(radius), "a bigint, b bigint")
 
 
+def _named(rows: DataFrame, radius: int) -> DataFrame:
+    """``fp, component_id`` for every fingerprint of ``rows``, which have ``doc_id, fp``."""
+    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(smallest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row.
 
@@ -205,11 +214,44 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows alone has none.  Repeated rows are members like any other.
     """
     rows = cut_lineage(fingerprints(docs))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = cut_lineage(distinct)
-    roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
+    named = _named(rows, radius)
     out = rows.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest id.
+
+    Rows without an id come after those with one, and of several rows with the
+    least id the one with the smallest hash stays.  Rows without words are one
+    component, as their fingerprints are equal.
+    """
+    rows = cut_lineage(_keyed_fingerprints(docs))
+    best = rows.join(_named(rows.select("doc_id", "fp"), radius).select("fp", "root"), "fp")
+    # Minima combine before the shuffle, so a component of any size is one row of each task.
+    chosen = best.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")).alias("_best")).select("_best._k1", "_best._k2")
+    k1, k2 = _keys(docs)
+    mine = docs.withColumns({"_dedup_k1": k1, "_dedup_k2": k2})
+    kept = mine.join(chosen, (F.col("_dedup_k1") == F.col("_k1")) & (F.col("_dedup_k2") == F.col("_k2")), "left_semi")
+    # Rows with equal id and text are one choice, and lie together after the join.
+    number = F.row_number().over(Window.partitionBy("_dedup_k1", "_dedup_k2").orderBy("_dedup_k1"))
+    return kept.withColumn("_dedup_n", number).where("_dedup_n = 1").select(*[F.col(f"`{name}`") for name in docs.columns])
+
+
+def _keys(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of a row's id and text."""
+    parts = [column_or_null(docs, "doc_id", "bigint"), F.col("text").cast("string")]
+    return F.xxhash64(*parts, F.lit(1)).alias("_k1"), F.xxhash64(*parts[::-1], F.lit(2)).alias("_k2")
+
+
+def _keyed_fingerprints(docs: DataFrame) -> DataFrame:
+    """``doc_id, fp, _k1, _k2`` for each row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [simhash(shingle_hashes(text.as_py())) for text in batch.column(1)]
+            signed = np.asarray(values, dtype=np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), pa.array(signed), batch.column(2), batch.column(3)], names=["doc_id", "fp", "_k1", "_k2"])
+
+    rows = docs.select(column_or_null(docs, "doc_id", "bigint"), binary_text(), *_keys(docs))
+    return map_rows(rows, work, "doc_id bigint, fp bigint, _k1 bigint, _k2 bigint")
