@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage, ship_package
 
-__all__ = ["binary_text", "column_or_null", "cut_lineage", "documents", "held_out", "map_rows", "prepare", "whole_words"]
+__all__ = ["binary_text", "column_or_null", "cut_lineage", "documents", "held_out", "map_rows", "prepare", "shielded", "unshielded", "whole_words"]
 
 # A batch handed to Python holds at most so many bytes, whatever the rows' lengths.
 BATCH_BYTES = "16m"
@@ -33,6 +33,16 @@ def column_or_null(docs: DataFrame, name: str, kind: str) -> Column:
     return (F.col(f"`{name}`") if name in docs.columns else F.lit(None)).cast(kind).alias(name)
 
 
+def shielded(docs: DataFrame, **added: Column) -> DataFrame:
+    """The table's columns as ``c0, c1, ...`` beside added ones, so that no name can clash."""
+    return docs.select(*[F.col(f"`{name}`").alias(f"c{k}") for k, name in enumerate(docs.columns)], *[column.alias(name) for name, column in added.items()])
+
+
+def unshielded(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns that ``shielded`` renamed, under their own names."""
+    return rows.select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(docs.columns)])
+
+
 def binary_text(name: str = "text") -> Column:
     """Text as its UTF-8 bytes; a null stays null."""
     return F.col(name).cast("string").cast("binary").alias(name)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import running_totals
-from .common import binary_text, column_or_null, cut_lineage, map_rows, whole_words
+from .common import binary_text, column_or_null, cut_lineage, map_rows, shielded, unshielded, whole_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -218,21 +218,17 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     runs = shares.groupBy("k1", "k2", "size", "_words").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy("k1", "k2").orderBy(F.desc("_words")))
     listed = runs.withColumn("_upto", upto).groupBy("k1", "k2", "size").agg(F.array_sort(F.collect_list(F.struct("_upto", "_words"))).alias("_runs"))
-    k1, k2 = row_keys(docs)
-    met = docs.withColumns({"_k1": k1, "_k2": k2}).join(listed, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
-    met = met.withColumn("_copy", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1")))
+    own1, own2 = row_keys(docs)
+    mine = shielded(docs, own1=own1, own2=own2)
+    met = mine.join(listed, (F.col("own1") == F.col("k1")) & (F.col("own2") == F.col("k2")))
+    met = met.withColumn("_copy", F.row_number().over(Window.partitionBy("own1", "own2").orderBy("own1")))
     own = F.filter("_runs", lambda r: r["_upto"] >= F.col("_copy"))
-    met = met.withColumn("_words", F.when(F.size(own) > 0, F.element_at(own, 1)["_words"]))
-    each = met.withColumn("_take", F.explode("_words"))
+    each = met.withColumn("_take", F.explode(F.when(F.size(own) > 0, F.element_at(own, 1)["_words"])))
     # A cut text is its first words with what stands between them.
-    cut = F.when(F.col("_take") >= F.col("size"), F.col("text")).otherwise(first_words(F.col("text"), F.col("_take")))
-    out = []
-    for name in docs.columns:
-        if name == "text":
-            out.append(cut.alias("text"))
-        elif name == "n_chars":
-            kind = docs.schema["n_chars"].dataType
-            out.append(F.when(F.col("_take") >= F.col("size"), F.col("n_chars")).otherwise(F.length(cut).cast(kind)).alias("n_chars"))
-        else:
-            out.append(F.col(f"`{name}`"))
-    return each.select(*out)
+    whole, text = F.col("_take") >= F.col("size"), F.col(f"c{docs.columns.index('text')}")
+    cut = F.when(whole, text).otherwise(first_words(text, F.col("_take")))
+    changed = {f"c{docs.columns.index('text')}": cut}
+    if "n_chars" in docs.columns:
+        chars = f"c{docs.columns.index('n_chars')}"
+        changed[chars] = F.when(whole, F.col(chars)).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
+    return unshielded(each.withColumns(changed), docs)

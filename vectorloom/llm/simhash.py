@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_text, column_or_null, cut_lineage, map_rows, whole_words
+from .common import binary_text, column_or_null, cut_lineage, map_rows, shielded, unshielded, whole_words
 from .components import components
 
 BITS = 64
@@ -231,11 +231,11 @@ def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     # Minima combine before the shuffle, so a component of any size is one row of each task.
     chosen = best.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")).alias("_best")).select("_best._k1", "_best._k2")
     k1, k2 = _keys(docs)
-    mine = docs.withColumns({"_dedup_k1": k1, "_dedup_k2": k2})
-    kept = mine.join(chosen, (F.col("_dedup_k1") == F.col("_k1")) & (F.col("_dedup_k2") == F.col("_k2")), "left_semi")
+    mine = shielded(docs, own1=k1, own2=k2)
+    kept = mine.join(chosen, (F.col("own1") == F.col("_k1")) & (F.col("own2") == F.col("_k2")), "left_semi")
     # Rows with equal id and text are one choice, and lie together after the join.
-    number = F.row_number().over(Window.partitionBy("_dedup_k1", "_dedup_k2").orderBy("_dedup_k1"))
-    return kept.withColumn("_dedup_n", number).where("_dedup_n = 1").select(*[F.col(f"`{name}`") for name in docs.columns])
+    number = F.row_number().over(Window.partitionBy("own1", "own2").orderBy("own1"))
+    return unshielded(kept.withColumn("number", number).where("number = 1"), docs)
 
 
 def _keys(docs: DataFrame) -> tuple[Column, Column]:
