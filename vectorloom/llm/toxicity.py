@@ -40,7 +40,8 @@ STRETCHES = (24, 40, 40)
 # Each step also shrinks the vectors it touches by so much, times the rate.
 DECAY = 0.005
 THRESHOLD = 0.7
-CACHE_WORDS = 300_000
+# Words whose values a worker keeps, and words whose n-grams it works out at a time.
+CACHE_WORDS, LEARN_WORDS = 200_000, 10_000
 LONG_WORD = 64
 HOLD_MODULUS, HOLD_REMAINDER = 3, 1
 
@@ -180,9 +181,11 @@ class WordSlopes(dict):
 
     def learn(self, words: list[bytes]) -> dict[bytes, float]:
         """Values of new words; those that still fit are kept."""
-        owner, bucket = subwords(words, len(self.slope))
-        values = np.bincount(owner, self.slope[bucket]) / np.bincount(owner)
-        found = dict(zip(words, values.tolist()))
+        found = {}
+        for at in range(0, len(words), LEARN_WORDS):
+            some = words[at : at + LEARN_WORDS]
+            owner, bucket = subwords(some, len(self.slope))
+            found.update(zip(some, (np.bincount(owner, self.slope[bucket]) / np.bincount(owner)).tolist()))
         if len(self) + len(found) <= CACHE_WORDS:
             self.update({word: value for word, value in found.items() if len(word) <= LONG_WORD})
         return found
