@@ -36,9 +36,9 @@ from .common import binary_text, column_or_null, cut_lineage, held_out, map_rows
 DEPTH = 5
 HOLD_MODULUS = 10
 SMOOTHING = 0.1
-# The keys every worker holds, at most; about 40 MB of words and 20 MB of grams.
+# The keys every worker holds, at most; about 40 MB of words and 60 MB of grams.
 HEAD_WORDS, HEAD_GRAMS = 200_000, 1 << 20
-FLUSH_WORDS, FLUSH_GRAMS, CHUNK_BYTES = 400_000, 3_000_000, 2_000_000
+FLUSH_WORDS, FLUSH_GRAMS, CHUNK_BYTES = 200_000, 1_500_000, 500_000
 # What ends a text, and stands before its first byte: no word holds it.
 END = b"\n"
 
@@ -291,7 +291,7 @@ class _GramTable:
     """Open addressing over two flat arrays, looked up for many grams at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.bits = max(4, (2 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
         self.values = np.full(1 << self.bits, np.nan)
         waiting, slot = np.arange(len(keys)), self._slot(keys)
@@ -341,15 +341,15 @@ def _head_scores(rows: DataFrame, head: tuple, unseen: float) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, grams_of = _heads(shared.value)
         for batch in batches:
-            texts = [whole_words(text.as_py().lower()) if text.is_valid else [] for text in batch.column(2)]
-            at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size < CHUNK_BYTES):
-                    size += sum(map(len, texts[stop])) + len(texts[stop])
-                    stop += 1
-                yield chunk(batch.slice(at, stop - at), texts[at:stop], words_of, grams_of)
-                at = stop
+            at, texts, size = 0, [], 0
+            # Words are split for one chunk at a time: as objects they take many times their bytes.
+            for row, text in enumerate(batch.column(2), 1):
+                value = text.as_py() or b""
+                texts.append(whole_words(value.lower()))
+                size += len(value)
+                if size >= CHUNK_BYTES or row == batch.num_rows:
+                    yield chunk(batch.slice(at, row - at), texts, words_of, grams_of)
+                    at, texts, size = row, [], 0
 
     def chunk(batch: pa.RecordBatch, texts: list[list[bytes]], words_of: dict[bytes, float], grams_of: _GramTable) -> pa.RecordBatch:
         n_tokens, n_known, base, rare_words = [], [], [], []
