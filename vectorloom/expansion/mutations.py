@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import invalid
-from ..functions.elements import NUMBERS, RADII, SYMBOLS
+from ..functions.elements import NUMBERS, RADII
 from ..operators.contacts import close_pairs, prepared, stencil
 
 
@@ -150,31 +150,8 @@ class Rules:
     atom_count_locked: bool = True
 
     def reason(self, a: Atoms, parent: Atoms) -> str | None:
-        if not len(a.numbers):
-            return "structure contains no atoms"
-        if not np.isfinite(a.xyz).all():
-            return "positions are not finite"
-        if not np.isfinite(a.box).all():
-            return "cell is not finite"
-        if a.pbc.any() and abs(np.linalg.det(a.box)) < 1e-10:
-            return "periodic cell is singular"
-        if (self.min_distance_mode != "none" or self.pair_distances) and self._too_close(a):
-            return "interatomic contact below the minimum distance"
-        if self.max_displacement is not None and a.note.get("displacement", 0.0) > self.max_displacement:
-            return "displacement exceeds the limit"
-        if self.max_volume_change is not None and abs(a.note.get("volume_change", 0.0)) > self.max_volume_change:
-            return "volume change exceeds the limit"
-        if a.pbc.all():
-            room = abs(np.linalg.det(a.box)) / len(a.numbers)
-            if self.min_volume_per_atom is not None and room < self.min_volume_per_atom:
-                return "volume per atom is below the minimum"
-            if self.max_volume_per_atom is not None and room > self.max_volume_per_atom:
-                return "volume per atom is above the maximum"
-        if self.composition_locked and not np.array_equal(np.sort(a.numbers), np.sort(parent.numbers)):
-            return "composition differs from the parent structure"
-        if self.atom_count_locked and len(a.numbers) != len(parent.numbers):
-            return "atom count differs from the parent structure"
-        return None
+        """The first entry of ``CHECKS`` that the structure fails, in words."""
+        return next((words for words, broken in CHECKS.items() if broken(self, a, parent)), None)
 
     def _too_close(self, a: Atoms) -> bool:
         radii = np.asarray(RADII)[np.clip(a.numbers, 1, len(RADII)) - 1]
@@ -197,6 +174,30 @@ class Rules:
         return bool(((d < limit[i, g % n]) & ~own).any())
 
 
+def _room(a: Atoms) -> float:
+    """Volume per atom of a fully periodic structure; not a number for others, so that no bound holds."""
+    return abs(np.linalg.det(a.box)) / len(a.numbers) if a.pbc.all() else float("nan")
+
+
+def _over(value: float, bound: float | None) -> bool:
+    return bound is not None and value > bound
+
+
+# Cheap checks of the numbers come before the contact search, checks against the parent last.
+CHECKS: dict[str, Callable[[Rules, Atoms, Atoms], bool]] = {
+    "empty structure": lambda r, a, p: len(a.numbers) == 0,
+    "a coordinate is not a number": lambda r, a, p: not (np.isfinite(a.xyz).all() and np.isfinite(a.box).all()),
+    "the cell has no volume": lambda r, a, p: bool(a.pbc.any()) and abs(np.linalg.det(a.box)) < 1e-10,
+    "too large a displacement": lambda r, a, p: _over(a.note.get("displacement", 0.0), r.max_displacement),
+    "too large a volume change": lambda r, a, p: _over(abs(a.note.get("volume_change", 0.0)), r.max_volume_change),
+    "too little volume per atom": lambda r, a, p: r.min_volume_per_atom is not None and _room(a) < r.min_volume_per_atom,
+    "too much volume per atom": lambda r, a, p: _over(_room(a), r.max_volume_per_atom),
+    "a contact is too short": lambda r, a, p: (r.min_distance_mode != "none" or bool(r.pair_distances)) and r._too_close(a),
+    "another number of atoms": lambda r, a, p: r.atom_count_locked and len(a.numbers) != len(p.numbers),
+    "another composition": lambda r, a, p: r.composition_locked and sorted(a.numbers.tolist()) != sorted(p.numbers.tolist()),
+}
+
+
 PROPOSED = (
     "i bigint, parent bigint, operator string, numbers array<int>, positions array<array<double>>, cell array<array<double>>, "
     "pbc array<boolean>, reason string"
@@ -238,7 +239,8 @@ def propose(plan: DataFrame, parents: DataFrame, params: dict[str, dict], rules:
                             move += weight * rng.uniform() * (atoms(other).xyz - base.xyz)
                     start = Atoms(base.numbers, base.xyz + pull[2] * move, base.box, base.pbc)
                 name, made = row["operator"], None
-                for _attempt in range(3):
+                # One that does not apply gives way to the others, in an order drawn for the row.
+                for name in [name, *rng.permutation([n for n in CHANGES if n != name and (not params or n in params)]).tolist()]:
                     made = CHANGES[name](start, rng, params.get(name, {}))
                     if made is not None:
                         break
@@ -258,6 +260,3 @@ _SCHEMA = pa.schema([
     ("positions", pa.list_(pa.list_(pa.float64()))), ("cell", pa.list_(pa.list_(pa.float64()))), ("pbc", pa.list_(pa.bool_())), ("reason", pa.string()),
 ])
 
-
-def symbols_of(numbers: list[int]) -> list[str]:
-    return [SYMBOLS[z - 1] for z in numbers]

@@ -125,8 +125,9 @@ def coverage_gain(archive: Archive, rows: DataFrame) -> DataFrame:
         gap = pair_distances(q[:, :-1], r, "euclidean")
         return r_ids, np.minimum(gap, q[:, -1:]).max(axis=0)
 
-    after = broadcast_reduce(rows.select("i", "features", F.lit(0).cast("bigint").alias("tag")), query, left, "i bigint, radius double")
-    best = after.groupBy("i").agg(F.max("radius").alias("radius"))
+    best = broadcast_reduce(
+        rows.select("i", "features", F.lit(0).cast("bigint").alias("tag")), query, left, "i bigint, radius double",
+        lambda parts: parts.groupBy("i").agg(F.max("radius").alias("radius")))
     gain = -F.col("radius") if radius == float("inf") else F.greatest(F.lit(radius) - F.col("radius"), F.lit(0.0))
     return best.select("i", gain.alias("gain"))
 
@@ -239,19 +240,17 @@ def select_by_environments(pool: DataFrame, structures: DataFrame, atoms: DataFr
     ids, points = ids[order], points[order]
     owner, _row, novel = _novel_atoms(atoms.join(pool.select("i"), "i", "left_semi"), archive, threshold)
     width = novel.shape[1] if len(owner) else 1
-    known = np.zeros((0, width))
+    # What each structure would still add; a pick only takes away from the others' lists.
+    fresh = {k: _fresh_rows(novel[owner == ids[k]], np.zeros((0, width)), threshold) if len(owner) else np.zeros((0, width)) for k in range(len(ids))}
+    apart = np.zeros(len(ids))
     chosen: list[int] = []
-    while len(chosen) < min(budget, len(ids)):
-        best = None
-        for k in range(len(ids)):
-            if k in chosen:
-                continue
-            fresh = _fresh_rows(novel[owner == ids[k]], known, threshold) if len(owner) else known[:0]
-            apart = float(pair_distances(points[[k]], points[chosen], "euclidean").min()) if chosen else 0.0
-            if best is None or (len(fresh), apart) > best[0]:
-                best = ((len(fresh), apart), k, fresh)
-        chosen.append(best[1])
-        known = np.vstack([known, best[2]])
+    while fresh and len(chosen) < budget:
+        best = max(fresh, key=lambda k: (len(fresh[k]), apart[k], -k))
+        added = fresh.pop(best)
+        to_best = pair_distances(points, points[[best]], "euclidean")[:, 0]
+        apart = np.minimum(apart, to_best) if chosen else to_best
+        fresh = {k: _fresh_rows(rows, added, threshold) for k, rows in fresh.items()}
+        chosen.append(best)
     return [int(ids[c]) for c in chosen]
 
 

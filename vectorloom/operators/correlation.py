@@ -18,10 +18,11 @@ from .ordering import average_ranks, exact_quantiles, quantile_values
 
 
 def guarded(x: str | Column, y: str | Column) -> Column:
-    """Correlation aggregate that is zero where either side has no spread."""
+    """Correlation aggregate where a side without spread gives zero, and two equal constants one."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
     spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when(spread > 0, F.covar_pop(x, y) / spread).otherwise(F.lit(0.0))
+    same = (F.stddev_pop(x) == 0) & (F.stddev_pop(y) == 0) & (F.max(F.abs(x - y)) == 0)
+    return F.when(spread > 0, F.covar_pop(x, y) / spread).when(same, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
 def rank_vectors(df: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def feature_correlation(df: DataFrame, params: dict | None = None) -> dict:
     valid = preprocess.meaningful(mean, std) & (std * std > floor)
     if valid.sum() < 2:
         raise insufficient(2, int(valid.sum()))
-    limit = min(int_param(params, "heatmap_features", 256, 2), 512)
+    limit = len(valid) if params.get("heatmap_features") is None else int_param(params, "heatmap_features", 256, 2)
     order = np.argsort(-(std * std), kind="stable")
     wide = int(valid.sum()) > limit
     chosen = np.array([f for f in order if valid[f]][:limit]) if wide else np.flatnonzero(valid)
@@ -223,7 +224,7 @@ def distance_versus_property(df: DataFrame, target: str, params: dict | None = N
     from .ordering import positions
 
     params = params or {}
-    draws = min(int_param(params, "pair_samples", 20_000, 100), 100_000)
+    draws = int_param(params, "pair_samples", 20_000, 100)
     seed = seed_param(params)
     rows = with_target(df, target)
     rows = preprocess.fit(rows).apply(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -119,40 +120,44 @@ def acquire(reference: DataFrame, query: DataFrame, params: dict | None = None)
     pool = acquisition_pool(scored, target, float_param(params, "pool_factor", 5.0, 1.0), rows)
     uncertain = choice(params, "acquisition_method", "novelty_fps", ("novelty_fps", "uncertainty_diversity")) != "novelty_fps"
     weight = float_param(params, "uncertainty_weight" if uncertain else "novelty_weight", 0.65, 0.0, 1.0)
-    chosen = pool.select("i", F.col("uncertainty").alias("base")).join(pair.query, "i").toArrow()
-    ids, base, points = ints(chosen.column("i").combine_chunks()), ints(chosen.column("base").combine_chunks()), matrix(chosen.column("features"))
-    order = np.lexsort((ids, -base))
-    ids, base, points = ids[order], base[order], points[order]
-    ruler = max(float(base.max() - base.min()), 1e-15)
-    merit = (base - base.min()) / ruler
-    picks = [(int(merit.argmax()), float(merit.max()))]
-    gap = np.full(len(ids), np.inf)
-    radius = 0.0
-    free = np.ones(len(ids), dtype=bool)
-    free[picks[0][0]] = False
-    while len(picks) < target:
-        gap = np.minimum(gap, pair_distances(points, points[picks[-1][0]][None, :], pair.metric)[:, 0])
-        if len(picks) == 1:
-            radius = max(float(gap.max()), 1e-15)
-        value = np.where(free, weight * merit + (1 - weight) * gap / radius, -1.0)
-        best = int(value.argmax())
-        free[best] = False
-        picks.append((best, float(value[best])))
-    return [(int(ids[p]), s) for p, s in picks]
+    rows = pool.select("i", F.col("uncertainty").alias("base")).join(pair.query, "i").toArrow().sort_by([("base", "descending"), ("i", "ascending")])
+    ids, points = ints(rows.column("i").combine_chunks()), matrix(rows.column("features"))
+    base = ints(rows.column("base").combine_chunks())
+    merit = (base - base.min()) / max(float(np.ptp(base)), 1e-15)
+    return [(int(ids[p]), score) for p, score in itertools.islice(_spread_picks(merit, points, weight, pair.metric), target)]
+
+
+def _spread_picks(merit: np.ndarray, points: np.ndarray, weight: float, metric: str) -> Iterator[tuple[int, float]]:
+    """Places and scores in pick order: the best merit first, then a blend of merit and room.
+
+    Room is the distance to the nearest earlier pick, as a share of the largest
+    distance from the first one.
+    """
+    left = np.arange(len(merit))
+    picked = int(merit.argmax())
+    yield picked, float(merit[picked])
+    room = pair_distances(points, points[[picked]], metric)[:, 0]
+    scale = max(float(room.max()), 1e-15)
+    while len(left := left[left != picked]):
+        blend = weight * merit[left] + (1 - weight) * room[left] / scale
+        best = int(blend.argmax())
+        picked = int(left[best])
+        yield picked, float(blend[best])
+        room = np.minimum(room, pair_distances(points, points[[picked]], metric)[:, 0])
 
 
 # --- drift -------------------------------------------------------------------
 
 
-def _sampled_pair(pair: Pair, limit: int) -> DataFrame:
-    """Evenly spread rows of both sets with a source flag; the operator's own bound."""
+def _sampled_pair(pair: Pair, limit: int | None) -> DataFrame:
+    """Rows of both sets with a source flag, evenly spread ones where a limit is asked for."""
     a = bounded_rows(pair.reference, limit).select("i", "features", F.lit(0).cast("bigint").alias("tag"))
     b = bounded_rows(pair.query, limit).select("i", "features", F.lit(1).cast("bigint").alias("tag"))
     return a.unionByName(b)
 
 
 def _distance_median(both: DataFrame, slots: int = 4096) -> float:
-    """Median positive distance inside a bounded sample.
+    """Median positive distance between all rows of both sets.
 
     Tasks count distances into slots; only the slots that hold the middle ranks
     are then listed.  No list of all pairs is ever formed.
@@ -166,7 +171,8 @@ def _distance_median(both: DataFrame, slots: int = 4096) -> float:
         slot, n = np.unique((d[d > eps] / width).astype(np.int64), return_counts=True)
         return slot, n.astype(np.int64)
 
-    rows = broadcast_reduce(both, both, count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).orderBy("slot").collect()
+    rows = broadcast_reduce(
+        both, both, count, "slot bigint, n bigint", lambda parts: parts.groupBy("slot").agg(F.sum("n").alias("n"))).orderBy("slot").collect()
     if not rows:
         return 1.0
     upto = np.cumsum([r["n"] for r in rows])
@@ -179,7 +185,8 @@ def _distance_median(both: DataFrame, slots: int = 4096) -> float:
         d = d[d > eps]
         return (d[np.isin((d / width).astype(np.int64), list(wanted))],)
 
-    found = broadcast_reduce(both, both, listing, "d double").groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy("d").toArrow()
+    found = broadcast_reduce(
+        both, both, listing, "d double", lambda parts: parts.groupBy("d").agg(F.count(F.lit(1)).alias("n"))).orderBy("d").toArrow()
     values, counts = ints(found.column("d").combine_chunks()), ints(found.column("n").combine_chunks())
     before = int(upto[spots[0] - 1]) if spots[0] else 0
     cumulative = np.cumsum(counts)
@@ -188,11 +195,15 @@ def _distance_median(both: DataFrame, slots: int = 4096) -> float:
 
 
 def drift(reference: DataFrame, query: DataFrame, params: dict | None = None) -> dict:
-    """Coverage plus distribution shift of a bounded sample."""
+    """Coverage plus distribution shift.
+
+    All rows count unless ``distribution_samples`` asks for an evenly spread
+    subset of each side.
+    """
     params = dict(params or {})
     covered = coverage(reference, query, params)
     pair = covered["pair"]
-    limit = min(int_param(params, "distribution_samples", 500, 20), 2_000)
+    limit = None if params.get("distribution_samples") is None else int_param(params, "distribution_samples", 500, 20)
     both = _sampled_pair(pair, limit).persist()
     try:
         width = params.get("bandwidth")
@@ -203,10 +214,12 @@ def drift(reference: DataFrame, query: DataFrame, params: dict | None = None) ->
             k = np.exp(-gamma * pair_distances(q, r, "euclidean") ** 2)
             return q_tag, k[:, r_tag == 0].sum(axis=1), k[:, r_tag == 1].sum(axis=1)
 
-        sums = broadcast_reduce(both, both, mass, "source bigint, to_a double, to_b double").groupBy("source").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("to_a").alias("a"), F.sum("to_b").alias("b")).collect()
+        sums = broadcast_reduce(
+            both, both, mass, "source bigint, to_a double, to_b double",
+            lambda parts: parts.groupBy("source").agg(F.sum("to_a").alias("a"), F.sum("to_b").alias("b"))).collect()
         by = {r["source"]: r for r in sums}
-        n, m = by[0]["n"], by[1]["n"]
+        sizes = {r["tag"]: r["n"] for r in both.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).collect()}
+        n, m = sizes[0], sizes[1]
         mmd = by[0]["a"] / n**2 + by[1]["b"] / m**2 - 2 * by[0]["b"] / (n * m)
         left, right = (second_moments(both.where(F.col("tag") == t).select("i", "features")) for t in (0, 1))
         shift = None
@@ -234,7 +247,7 @@ def require_aligned(left: DataFrame, right: DataFrame) -> int:
     return row["n"]
 
 
-def _aligned(left: DataFrame, right: DataFrame, params: dict, limit: int, minimum: int) -> tuple[DataFrame, DataFrame, int]:
+def _aligned(left: DataFrame, right: DataFrame, params: dict, limit: int | None, minimum: int) -> tuple[DataFrame, DataFrame, int]:
     n = require_aligned(left, right)
     if n < minimum:
         raise insufficient(minimum, n)
@@ -242,7 +255,7 @@ def _aligned(left: DataFrame, right: DataFrame, params: dict, limit: int, minimu
     sides = []
     for side in (left, right):
         sides.append(bounded_rows(preprocess.fit(side, mode).apply(side).select("i", "features"), limit, n))
-    return sides[0], sides[1], min(n, limit)
+    return sides[0], sides[1], n if limit is None else min(n, limit)
 
 
 def _distance_grid(points: DataFrame, metric: str, limit: int) -> np.ndarray:
@@ -281,8 +294,8 @@ def mantel(left: DataFrame, right: DataFrame, params: dict | None = None) -> dic
     metric = choice(params, "metric", "euclidean", METRICS)
     method = choice(params, "method", "pearson", ("pearson", "spearman"))
     tail = choice(params, "alternative", "two-sided", ("two-sided", "greater", "less"))
-    limit = min(int_param(params, "max_samples", 600, 3), 2_000)
-    permutations = min(int_param(params, "permutations", 999), 5_000)
+    limit = int_param(params, "max_samples", 600, 3)
+    permutations = int_param(params, "permutations", 999)
     seed = seed_param(params)
     a, b, n = _aligned(left, right, params, limit, 3)
     upper = np.triu_indices(n, 1)
@@ -348,7 +361,7 @@ def compare(left: DataFrame, right: DataFrame, params: dict | None = None) -> di
     from .clusters import fit_kmeans
 
     params = params or {}
-    limit = min(int_param(params, "max_samples", 600, 2), 2_000)
+    limit = int_param(params, "max_samples", 600, 2)
     a, b, n = _aligned(left, right, params, limit, 3)
     upper = np.triu_indices(n, 1)
     da, db = _distance_grid(a, "euclidean", limit)[upper], _distance_grid(b, "euclidean", limit)[upper]
@@ -382,18 +395,23 @@ def rank_contributions(left: DataFrame, right: DataFrame, metric: str, n: int) -
     Self is excluded by id, so copies keep their true rank.
     """
     first = self_nearest(left, 1, metric).select("i", F.col("indices")[0].alias("tag"))
-    query = right.join(first, "i").select("i", "features", "tag")
+    # The mate's vector rides along, so any slice of the reference can be ranked against it.
+    mates = right.select(F.col("i").alias("tag"), F.col("features").alias("mate"))
+    query = right.join(first, "i").join(mates, "tag").select("i", F.concat("features", "mate").alias("features"), "tag")
     other = right.select("i", "features", F.lit(0).cast("bigint").alias("tag"))
 
-    def place(q_ids, q, mate, r_ids, r, _rt):
+    def place(q_ids, both, mate, r_ids, r, _rt):
+        half = both.shape[1] // 2
+        q, to = both[:, :half], both[:, half:]
         d = pair_distances(q, r, metric)
-        spot = np.searchsorted(r_ids, mate)
-        own = d[np.arange(len(q_ids)), spot]
+        own = np.array([pair_distances(q[[k]], to[[k]], metric)[0, 0] for k in range(len(q))])
+        # The mate itself is never ahead of itself, whatever rounding says.
         ahead = (d < own[:, None]) | ((d == own[:, None]) & (r_ids[None, :] < mate[:, None]))
-        ahead &= r_ids[None, :] != q_ids[:, None]
+        ahead &= (r_ids[None, :] != q_ids[:, None]) & (r_ids[None, :] != mate[:, None])
         return q_ids, ahead.sum(axis=1).astype(np.int64)
 
-    ranked = broadcast_reduce(other.orderBy("i"), query, place, "i bigint, ahead bigint")
+    ranked = broadcast_reduce(
+        other, query, place, "i bigint, ahead bigint", lambda parts: parts.groupBy("i").agg(F.sum("ahead").alias("ahead")))
     share = F.col("ahead") / F.lit(float(max(n - 2, 1)))
     return ranked.select("i", F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)).alias("contribution"))
 
@@ -401,7 +419,7 @@ def rank_contributions(left: DataFrame, right: DataFrame, metric: str, n: int) -
 def information_imbalance(left: DataFrame, right: DataFrame, params: dict | None = None) -> dict:
     params = params or {}
     metric = choice(params, "metric", "euclidean", METRICS)
-    limit = min(int_param(params, "max_samples", 600, 3), 2_000)
+    limit = None if params.get("max_samples") is None else int_param(params, "max_samples", 600, 3)
     a, b, n = _aligned(left, right, params, limit, 8)
     forward, back = rank_contributions(a, b, metric, n), rank_contributions(b, a, metric, n)
     sizes = [k for k in OVERLAP_SIZES if k <= n - 1]

@@ -82,11 +82,11 @@ def _with_structure(pairs: DataFrame, shapes: DataFrame, energy: DataFrame | Non
 def degeneracy_search(df: DataFrame, shapes: DataFrame, energy: DataFrame | None = None, params: dict | None = None) -> dict:
     """Neighbours in the descriptor that differ in structure or energy."""
     params = params or {}
-    k = min(int_param(params, "k_neighbors", 8), 64)
+    k = int_param(params, "k_neighbors", 8)
     close_q = float_param(params, "d_quantile", 0.05, 0.0, 1.0)
     far_q = float_param(params, "structure_quantile", 0.9, 0.5, 1.0)
     energy_q = float_param(params, "energy_quantile", 0.9, 0.5, 1.0)
-    shown = min(int_param(params, "max_pairs", 50), 500)
+    shown = int_param(params, "max_pairs", 50)
     edges = exploded(self_nearest(df, k))
     pairs = edges.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.min("distance").alias("distance"))
     table = _with_structure(pairs, shapes, energy).persist()
@@ -113,15 +113,14 @@ def degeneracy_search(df: DataFrame, shapes: DataFrame, energy: DataFrame | None
 def distance_consistency(df: DataFrame, shapes: DataFrame, energy: DataFrame | None = None, params: dict | None = None) -> dict:
     """Descriptor distance against structural distance, over an evenly spread subset.
 
-    The subset's size is part of the operator (at most 512 rows), so its pair
-    table is bounded; partners come from a broadcast list of ids, rows from
-    equi-joins.
+    The caller gives the subset's size, as the pair table is its square; partners
+    come from a list of the subset's ids, rows from equi-joins.
     """
     params = params or {}
     bins = int_param(params, "n_bins", 12, 4, 32)
     low_q = float_param(params, "d_quantile", 0.05, 1e-9, 0.5)
     high_q = float_param(params, "structure_quantile", 0.95, 0.5, 1.0)
-    subset = bounded_rows(df.select("i", "features"), min(int_param(params, "max_samples", 128, 3), 512)).persist()
+    subset = bounded_rows(df.select("i", "features"), int_param(params, "max_samples", 128, 3)).persist()
     ids = sorted(r["i"] for r in subset.select("i").collect())
     later = F.array(*[F.lit(i) for i in ids])
     pairs = subset.select(F.col("i").alias("a"), F.col("features").alias("u"), F.explode(F.filter(later, lambda j: j > F.col("i"))).alias("b"))

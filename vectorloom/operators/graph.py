@@ -25,10 +25,13 @@ WIDTH_FLOOR = 1e-3
 
 
 def row_widths(distances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Offset and width per row so that memberships sum to log2(k)."""
-    k = distances.shape[1]
-    offset = np.array([row[row > 0].min(initial=np.inf) for row in distances])
-    offset = np.where(np.isfinite(offset), offset, 0.0)
+    """Offset and width per row so that the memberships of its neighbours sum to log2(k).
+
+    ``distances`` are those of the k - 1 nearest others, as k counts the row
+    itself.  The nearest one is the offset.
+    """
+    k = distances.shape[1] + 1
+    offset = distances.min(axis=1)
     gap = np.maximum(distances - offset[:, None], 0.0)
     low, high, width = np.zeros(len(gap)), np.full(len(gap), np.inf), np.ones(len(gap))
     for _step in range(BISECTIONS):
@@ -50,7 +53,7 @@ def fuzzy_graph(df: DataFrame, params: dict | None = None) -> DataFrame:
         for batch in table_batches(batches, 2048):
             near = np.asarray(batch.column("distances").flatten(), dtype=float).reshape(batch.num_rows, -1)
             mates = np.asarray(batch.column("indices").flatten()).reshape(near.shape)
-            offset, width = row_widths(np.column_stack([np.zeros(len(near)), near]))
+            offset, width = row_widths(near)
             weight = np.exp(-np.maximum(near - offset[:, None], 0.0) / np.maximum(width, 1e-300)[:, None])
             own = np.repeat(ints(batch.column("i")), near.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(mates.reshape(-1)), pa.array(weight.reshape(-1))], names=["i", "j", "w"])

@@ -103,7 +103,7 @@ def nearest_block(
 
 
 def _fits(df: DataFrame, width: int) -> bool:
-    return df.count() * width * 8 <= broadcast_bytes(df.sparkSession)
+    return df.count() * (width + 2) * 8 <= broadcast_bytes(df.sparkSession)
 
 
 def _width(df: DataFrame) -> int:
@@ -412,17 +412,21 @@ def _radius_reduce(reference: DataFrame, query: DataFrame, radius: float, metric
         return q_ids, hits.sum(axis=1).astype(np.int64), low
 
     if _fits(reference, _width(reference)):
-        return broadcast_reduce(reference, query, kernel, schema)
+        return broadcast_reduce(reference, query, kernel, schema, None)
     plan = PivotPlan(_metric_space(reference, metric), _metric_space(query, metric), metric,
                      radius if metric != "cosine" else float(np.sqrt(max(0.0, 2.0 * radius))), 1, 4 * CHUNK_ROWS)
     return plan.reduce(kernel, schema)
 
 
-def broadcast_reduce(reference: DataFrame, query: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+def broadcast_reduce(
+    reference: DataFrame, query: DataFrame, kernel: Callable, schema: str, combine: Callable[[DataFrame], DataFrame] | None
+) -> DataFrame:
     """The same kernel contract with the reference in every task.
 
-    A reference beyond the broadcast bound goes in slices by hash of its id;
-    kernels return partial reductions, so their rows are simply put together.
+    A reference beyond the broadcast bound goes in slices by hash of its id, and
+    a kernel sees one slice at a time.  ``combine`` makes the result of the rows
+    of all slices; it is None only where these rows are to be put together as
+    they are, as lists of edges or distances.
     """
     spark = query.sparkSession
     wide = reference.count() * (_width(reference) + 2) * 8
@@ -435,8 +439,9 @@ def broadcast_reduce(reference: DataFrame, query: DataFrame, kernel: Callable, s
                 continue
             found = _reduce_slice(part, query, kernel, schema)
             out = found if out is None else out.unionByName(found)
-        return out
-    return _reduce_slice(reference, query, kernel, schema)
+    else:
+        out = _reduce_slice(reference, query, kernel, schema)
+    return out if combine is None else combine(out)
 
 
 def _reduce_slice(reference: DataFrame, query: DataFrame, kernel: Callable, schema: str) -> DataFrame:

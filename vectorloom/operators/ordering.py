@@ -24,7 +24,7 @@ def _sliced(df: DataFrame, group: Sequence[str], value: str, parts: int) -> Data
     shares = [k / parts for k in range(1, parts)]
     if list(group) == ["_all"]:
         # One group: the cut points are a short literal list, so nothing is joined.
-        cuts = sorted(set(df.agg(F.percentile_approx(value, shares, 1000)).first()[0] or []))
+        cuts = sorted(set(df.agg(F.percentile_approx(value, shares, max(1000, 20 * parts))).first()[0] or []))
         listed = F.array(*[F.lit(c) for c in cuts])
         return df.withColumn("_range", F.size(F.filter(listed, lambda c: c < F.col(value))) if cuts else F.lit(0))
     marks = F.array(*[F.lit(s) for s in shares])
@@ -134,10 +134,10 @@ def _order_ranges(df: DataFrame, order: str) -> tuple[DataFrame, bool]:
         return df.withColumn("_range", F.lit(0)), False
     number = F.col(order).cast("double")
     shares = [k / parts for k in range(1, parts)]
-    cuts = sorted(set(df.agg(F.percentile_approx(number, shares, 1000)).first()[0] or []))
-    slot = F.lit(0)
-    for cut in cuts:
-        slot = slot + (number > F.lit(cut)).cast("int")
+    cuts = sorted(set(df.agg(F.percentile_approx(number, shares, max(1000, 20 * parts))).first()[0] or []))
+    listed = F.array(*[F.lit(c) for c in cuts])
+    # A key that is null is below all others, as in a sort.
+    slot = F.when(number.isNull(), F.lit(0)).otherwise(F.size(F.filter(listed, lambda c: c < number))) if cuts else F.lit(0)
     return df.withColumn("_range", slot), bool(cuts)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..arrow import ints, matrix, table_batches
 from ..errors import insufficient
 from ..params import choice, float_param, int_param, seed_param
+from ..session import cut_lineage
 from . import preprocess
 from .neighbors import CHUNK_ROWS, exploded, self_nearest
 from .ordering import quantile_values
@@ -44,7 +45,8 @@ def knn_distance(df: DataFrame, params: dict | None = None) -> DataFrame:
     points, scaler = _scaled(df, params)
     found = self_nearest(points, int_param(params, "k", 10))
     mean = F.aggregate("distances", F.lit(0.0), lambda a, d: a + d) / F.size("distances")
-    return _label_above(found.select("i", mean.alias("score")), _share(params) or DEFAULT_SHARE, scaler.rows)
+    scored = cut_lineage(found.select("i", mean.alias("score")))
+    return _label_above(scored, _share(params) or DEFAULT_SHARE, scaler.rows)
 
 
 def local_outlier_factor(df: DataFrame, params: dict | None = None) -> DataFrame:
@@ -56,7 +58,8 @@ def local_outlier_factor(df: DataFrame, params: dict | None = None) -> DataFrame
     params = params or {}
     points, scaler = _scaled(df, params, 3)
     k = min(int_param(params, "k", 20, 2), scaler.rows - 1)
-    found = self_nearest(points, k)
+    # Read four times below; searched once.
+    found = cut_lineage(self_nearest(points, k))
     reach_of = found.select(F.col("i").alias("j"), F.element_at("distances", -1).alias("k_distance"))
     edges = exploded(found).select("i", "j", "distance")
     reached = edges.join(reach_of, "j").groupBy("i").agg(F.avg(F.greatest("distance", "k_distance")).alias("reach"))
@@ -67,7 +70,7 @@ def local_outlier_factor(df: DataFrame, params: dict | None = None) -> DataFrame
     share = _share(params)
     if share is None:
         return scored.withColumn("label", (F.col("score") > 1.5).cast("int"))
-    return _label_above(scored, share, scaler.rows)
+    return _label_above(cut_lineage(scored), share, scaler.rows)
 
 
 def mahalanobis(df: DataFrame, params: dict | None = None) -> DataFrame:
@@ -189,7 +192,7 @@ def isolation_forest(df: DataFrame, params: dict | None = None) -> DataFrame:
     share = _share(params)
     if share is None:
         return scored.withColumn("label", (F.col("score") > 0.5).cast("int"))
-    return _label_above(scored, share, scaler.rows)
+    return _label_above(cut_lineage(scored), share, scaler.rows)
 
 
 ALGORITHMS = {

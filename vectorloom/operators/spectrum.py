@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -140,8 +141,10 @@ def effective_dimension(df: DataFrame, params: dict | None = None) -> dict:
 # --- kernels -----------------------------------------------------------------
 
 
-def bounded_rows(df: DataFrame, limit: int, rows: int | None = None) -> DataFrame:
-    """The operator's evenly spread subset, or everything when it fits."""
+def bounded_rows(df: DataFrame, limit: int | None, rows: int | None = None) -> DataFrame:
+    """The evenly spread subset that the caller asks for; everything where no limit is given or all rows fit."""
+    if limit is None:
+        return df
     rows = df.count() if rows is None else rows
     if rows <= limit:
         return df
@@ -156,7 +159,6 @@ def kernel_rows(df: DataFrame, params: dict | None = None) -> DataFrame:
     params = params or {}
     kind = choice(params, "kernel", "rbf", ("linear", "cosine", "polynomial", "rbf"))
     limit = int_param(params, "max_samples", 400, 2)
-    limit = min(limit, 2000)
     scaler = preprocess.fit(df, choice(params, "preprocess", "standardized", preprocess.MODES))
     subset = bounded_rows(scaler.apply(df).select("i", "features"), limit, scaler.rows)
     width = len(scaler.keep)
@@ -214,7 +216,7 @@ def neighbor_ratios(df: DataFrame, params: dict | None = None) -> DataFrame:
     scaler = preprocess.fit(df, choice(params, "preprocess", "standardized", preprocess.MODES))
     if scaler.rows < 4:
         raise insufficient(4, scaler.rows)
-    limit = min(int_param(params, "max_samples", 5000, 4), 20_000)
+    limit = None if params.get("max_samples") is None else int_param(params, "max_samples", 5000, 4)
     subset = bounded_rows(scaler.apply(df).select("i", "features"), limit, scaler.rows)
     pairs = self_nearest(subset, 2, metric).select(
         "i", F.col("distances")[0].alias("r1"), F.col("distances")[1].alias("r2"))
@@ -226,8 +228,8 @@ def neighbor_ratios(df: DataFrame, params: dict | None = None) -> DataFrame:
 def two_nn_dimension(df: DataFrame, params: dict | None = None) -> dict:
     """Maximum-likelihood dimension from two-neighbour ratios, with a bootstrap.
 
-    A resample of n draws counts each row a Poisson-like number of times; the
-    draws are done in tasks, one per replicate, over the bounded ratio vector.
+    A resample counts each row a Poisson number of times, drawn from a hash of its
+    id and the replicate, so tasks only add up and no ratio leaves its task.
     """
     params = params or {}
     ratios = neighbor_ratios(df, params)
@@ -236,21 +238,29 @@ def two_nn_dimension(df: DataFrame, params: dict | None = None) -> dict:
         raise insufficient(4, stats["n"])
     if stats["mean"] <= 0:
         raise invalid("neighbour ratios are degenerate on this set")
-    replicates = min(int_param(params, "n_bootstrap", 32, 0), 128)
+    replicates = int_param(params, "n_bootstrap", 32, 0)
     result = {"intrinsic_dimension": 1.0 / stats["mean"], "points_used": stats["n"], "bootstrap": None}
     if replicates:
         spark = df.sparkSession
-        values = np.array([r["ln_mu"] for r in ratios.orderBy("i").select("ln_mu").collect()])
-        shared = spark.sparkContext.broadcast(values)
         seed = int_param(params, "seed", 42, 0)
+        # Chances of a Poisson count of mean one, added up.
+        steps = np.cumsum([math.exp(-1.0) / math.factorial(c) for c in range(16)])
 
         def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            times, sums = np.zeros(replicates), np.zeros(replicates)
             for batch in batches:
-                means = [np.random.default_rng([seed, int(r)]).choice(shared.value, len(shared.value)).mean()
-                         for r in ints(batch.column("id"))]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1.0 / np.asarray(means))], names=["id", "d"])
-
-        draws = spark.range(replicates).mapInArrow(draw, "id bigint, d double")
+                values, own = np.asarray(batch.column("ln_mu")), ints(batch.column("i")).astype(np.uint64)
+                for r in range(replicates):
+                    x = own * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1_000_003 + r + 1) * 0xD1B54A32D192ED03 % (1 << 64))
+                    for shift in (30, 27):
+                        x = (x ^ (x >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+                    count = np.searchsorted(steps, (x >> np.uint64(11)) / float(1 << 53), side="right")
+                    times[r] += count.sum()
+                    sums[r] += (count * values).sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(times), pa.array(sums)], names=["id", "n", "s"])
+
+        parts = ratios.select("i", "ln_mu").mapInArrow(draw, "id bigint, n double, s double")
+        draws = parts.groupBy("id").agg((F.sum("n") / F.sum("s")).alias("d"))
         base = draws.agg(F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd")).first()
         low, high = quantile_values(draws, "d", [0.025, 0.975])
         result["bootstrap"] = {"mean": base["mean"], "sd": base["sd"] or 0.0, "ci95": [low, high], "draws": replicates}
@@ -264,7 +274,7 @@ def pairwise_rows(df: DataFrame, params: dict | None = None) -> DataFrame:
 
     params = params or {}
     metric = choice(params, "metric", "cosine", METRICS)
-    limit = min(int_param(params, "max_samples", 400, 2), 2000)
+    limit = int_param(params, "max_samples", 400, 2)
     scaler = preprocess.fit(df, choice(params, "preprocess", "raw", preprocess.MODES))
     subset = bounded_rows(scaler.apply(df).select("i", "features"), limit, scaler.rows)
     _ids, points = small_matrix(subset, "pairwise subset", limit)

@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import os
 import time
-from math import gcd
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -191,14 +190,16 @@ def page(rows: DataFrame, order: str, offset: int, limit: int) -> DataFrame:
     return rows.orderBy(order).offset(offset).limit(limit)
 
 
-def runs_with_datasets(runs: DataFrame, datasets: DataFrame, key: str, order: str, tie: str, limit: int = 500) -> DataFrame:
-    return newest(runs.join(datasets, key), order, tie, limit)
+def runs_with_datasets(runs: DataFrame, datasets: DataFrame, key: str, order: str, tie: str, limit: int | None = None) -> DataFrame:
+    """Runs beside their dataset, newest first; all of them unless a limit is asked for."""
+    joined = runs.join(datasets, key)
+    return joined.orderBy(F.desc(order), tie) if limit is None else newest(joined, order, tie, limit)
 
 
 def queue_positions(jobs: DataFrame, category: str, order: str, position: str = "position") -> DataFrame:
     """1-based place in each category's queue, cut into ranges of the order key."""
     run = running_totals(jobs.withColumn("_one", F.lit(1)), [category], order, "_one")
-    return run.withColumn(position, (F.col("before") + 1).cast("bigint")).drop("before", "total", "_one")
+    return run.select(*jobs.columns, (F.col("before") + 1).cast("bigint").alias(position))
 
 
 def validated_frames(frames: list[int], n_frames: int) -> list[int]:
@@ -261,18 +262,21 @@ def validate_parameters(values: dict, schema: dict[str, dict]) -> dict:
 
 
 def split_sizes(n: int, ratios: tuple[float, float, float]) -> tuple[int, int, int]:
-    """Sizes for train, validation and test; each part with a ratio gets at least one."""
+    """Sizes for train, validation and test.
+
+    Train and validation are rounded, test is the rest; each part with a ratio
+    gets at least one.
+    """
     if min(ratios) < 0 or sum(ratios) <= 0:
         raise invalid("ratios must be non-negative and not all zero")
     wanted = [r for r in ratios if r > 0]
     if n < len(wanted):
         raise invalid("too few frames for the split")
     share = [r / sum(ratios) for r in ratios]
-    validation = max(1, round(n * share[1])) if ratios[1] > 0 else 0
-    test = max(1, round(n * share[2])) if ratios[2] > 0 else 0
-    while validation + test > n - (1 if ratios[0] > 0 else 0):
-        validation, test = (validation - 1, test) if validation >= test else (validation, test - 1)
-    return n - validation - test, validation, test
+    least = [int(r > 0) for r in ratios]
+    train = min(max(round(n * share[0]), least[0]), n - least[1] - least[2])
+    validation = min(max(round(n * share[1]), least[1]), n - train - least[2]) if least[2] else n - train
+    return train, validation, n - train - validation
 
 
 def split(df: DataFrame, key: str, ratios: tuple[float, float, float], seed: int = 42) -> DataFrame:
@@ -303,7 +307,3 @@ def stagnation(rounds: DataFrame, group: str, order: str, value: str, tolerance:
     since = F.col("before") - F.coalesce("_hit", "_last")
     return last.withColumn("stagnant", since).drop("_best", "_one", "before", "total", "_hit", "_last")
 
-
-def reduced(counts: dict[str, int]) -> dict[str, int]:
-    shared = gcd(*counts.values()) if counts else 1
-    return {k: v // shared for k, v in counts.items()}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import invalid
-from ..operators import clusters, correlation, crossset, feature_stats, neighbors, outliers, sampling, spectrum, trajectory
+from ..operators import clusters, correlation, crossset, diagnostics, feature_stats, local_diversity, neighbors, outliers, sampling, spectrum, trajectory
 from ..operators import preprocess
 from .results import AnalysisResult
 
@@ -18,11 +18,18 @@ CATEGORIES = ("engine", "pair", "cluster", "outlier", "sampling", "sensitivity",
 # Other names for the same analysis.
 ALIASES = {
     "hierarchical": "agglomerative", "iforest": "isolation_forest", "isolation-forest": "isolation_forest", "farthest_point": "fps",
-    "k-nearest-neighbor": "knn", "mahalanobis_distance": "mahalanobis", "cluster": "cluster_representative", "element": "per_element",
+    "k-nearest-neighbor": "knn", "mahalanobis_distance": "mahalanobis", "element": "per_element",
     "spectral_effective_dimension": "effective_dimension",
 }
 
 
+# Requests by category, and what they run where no algorithm is named.
+WRAPPERS = {
+    "cluster": ("cluster", "kmeans"), "cluster_analysis": ("cluster", "kmeans"), "outlier": ("outlier", "lof"), "outlier_analysis": ("outlier", "lof"),
+    "sampling": ("sampling", "fps"), "sampling_analysis": ("sampling", "fps"),
+}
+
+
 @dataclass(frozen=True)
 class Analysis:
     name: str
@@ -46,8 +53,13 @@ def register(analysis: Analysis) -> None:
 def canonical(name: str, params: dict | None = None) -> tuple[str, dict]:
     """The concrete analysis a request means."""
     params = dict(params or {})
-    if name in ("cluster_analysis", "outlier_analysis", "sampling_analysis"):
-        name = str(params.pop("algorithm", ""))
+    if name in WRAPPERS:
+        category, default = WRAPPERS[name]
+        name = str(params.pop("algorithm", default))
+        # Under sampling, a cluster request is for representatives.
+        name = "cluster_representative" if category == "sampling" and name == "cluster" else ALIASES.get(name, name)
+        if name in _REGISTRY and _REGISTRY[name].category != category:
+            raise invalid(f"{name!r} is no {category} analysis")
     name = ALIASES.get(name, name)
     if name not in _REGISTRY:
         raise invalid(f"unknown analysis {name!r}")
@@ -144,7 +156,33 @@ def _acquire(reference, query, params):
     return AnalysisResult({"selected": query.sparkSession.createDataFrame([(n, i, s) for n, (i, s) in enumerate(picks)], "pick int, i bigint, score double")})
 
 
+def _diversity(df, params):
+    scored = local_diversity.scores(df, params)
+    return AnalysisResult({"scores": scored, "elements": local_diversity.summary(scored), "clusters": local_diversity.clusters(df, params)})
+
+
+def _responses(build: Callable) -> Callable:
+    """Of frames; ``descriptor`` is given beside them."""
+    return lambda frames, params, descriptor: AnalysisResult({"responses": build(frames, descriptor, params)})
+
+
+def _degeneracy(df, params, shapes, energy=None):
+    found = diagnostics.degeneracy_search(df, shapes, energy, params)
+    return AnalysisResult({"pairs": found["pairs"], "dangerous": found["dangerous"], "shown": found["shown"]}, found["thresholds"])
+
+
+def _consistency(df, params, shapes, energy=None):
+    return _summary(diagnostics.distance_consistency)(df, shapes, energy, params)
+
+
 for _entry in (
+    Analysis("local_diversity", "engine", _diversity), Analysis("degeneracy_search", "diagnostics", _degeneracy),
+    Analysis("distance_consistency", "diagnostics", _consistency),
+    *[Analysis(n, c, _responses(fn)) for n, c, fn in (
+        ("formal_invariance", "diagnostics", diagnostics.formal_invariance), ("perturbation_sensitivity", "perturbation", diagnostics.perturbation_response),
+        ("cutoff_smoothness", "diagnostics", diagnostics.cutoff_smoothness), ("environment_jacobian", "diagnostics", diagnostics.environment_jacobian),
+    )],
+    Analysis("sensitivity", "sensitivity", lambda p, runs: AnalysisResult({}, {"records": diagnostics.run_sensitivity(runs, p)}), 0),
     Analysis("pca", "engine", _pca, 1, (("preprocess", "center"),)),
     Analysis("kernel", "engine", _kernel), Analysis("effective_dimension", "engine", _spectrum),
     Analysis("two_nn_intrinsic_dimension", "engine", _summary(spectrum.two_nn_dimension)),

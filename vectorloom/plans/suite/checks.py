@@ -32,12 +32,12 @@ def degeneracy(spark, sf):
 
 
 def consistency(spark, sf):
-    found = dg.distance_consistency(embeddings(spark, sf), dg.structure_fingerprints(frames(spark, sf)), None, {"max_samples": 512})
+    found = dg.distance_consistency(embeddings(spark, sf), dg.structure_fingerprints(frames(spark, sf)), None, {"max_samples": 2000})
     return tidy(spark.createDataFrame([(found["pearson"], found["spearman"], found["collapse_count"])], "pearson double, spearman double, collapsed bigint"))
 
 
 def consistency_bins(spark, sf):
-    found = dg.distance_consistency(embeddings(spark, sf), dg.structure_fingerprints(frames(spark, sf)), None, {"max_samples": 512})
+    found = dg.distance_consistency(embeddings(spark, sf), dg.structure_fingerprints(frames(spark, sf)), None, {"max_samples": 2000})
     return tidy(found["bins"])
 
 

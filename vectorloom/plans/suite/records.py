@@ -379,7 +379,7 @@ SQL = {
     "flt9_finite_targets": "SELECT count(*) AS n FROM lineitem WHERE l_tax > 0",
     "flt11_catalog_filter": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 200",
     "flt12_json_membership": "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1",
-    "join1_runs_datasets": "SELECT o_orderkey, c_name, round(o_totalprice, 6) AS o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500",
+    "join1_runs_datasets": "SELECT o_orderkey, c_name, round(o_totalprice, 6) AS o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey",
     "join2_latest_active": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('P', 'O') ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1",
     "join5_decorated": "SELECT c_custkey, round(max(o_totalprice), 6) AS top FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 5000 GROUP BY 1",
     "join13_unmatched": "SELECT count(*) AS n, count(*) FILTER (WHERE l.doc_id IS NULL) AS unlabelled, count(*) FILTER (WHERE d.doc_id IS NULL) AS orphans FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id",
@@ -388,7 +388,7 @@ SQL = {
     "set4_seed_pool": """WITH n AS (SELECT count(*) AS n FROM embeddings), k AS (SELECT DISTINCT CASE WHEN k = 199 THEN n - 1 ELSE trunc(k * ((n - 1)::DOUBLE / 199))::BIGINT END AS f FROM n, range(0, 200) t(k)),
  a AS (SELECT vec_id AS f FROM embeddings WHERE label = 4) SELECT f AS frame_index, true AS anchor FROM a UNION ALL SELECT f, false FROM k WHERE f NOT IN (SELECT f FROM a)""",
     "set5_distinct_frames": "SELECT count(DISTINCT l_orderkey) AS frames FROM lineitem",
-    "set6_split": "WITH n AS (SELECT count(*) AS n FROM orders) SELECT 'train' AS part, (n - 2 * round(n * 0.1))::BIGINT AS n FROM n UNION ALL SELECT 'validation', round(n * 0.1)::BIGINT FROM n UNION ALL SELECT 'test', round(n * 0.1)::BIGINT FROM n",
+    "set6_split": "WITH n AS (SELECT count(*) AS n FROM orders) SELECT 'train' AS part, round(n * 0.8)::BIGINT AS n FROM n UNION ALL SELECT 'validation', round(n * 0.1)::BIGINT FROM n UNION ALL SELECT 'test', (n - round(n * 0.8) - round(n * 0.1))::BIGINT FROM n",
     "top5_page": "SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 40 OFFSET 120",
     "top8_elite": "SELECT o_orderkey AS i, floor(o_totalprice / 10000) AS fitness FROM orders ORDER BY fitness DESC, i DESC LIMIT 100",
     "agg24_queue": "SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS position FROM orders",

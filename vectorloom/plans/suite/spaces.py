@@ -43,9 +43,12 @@ def cross_nearest(metric, k):
 
 
 def pairwise(spark, sf):
-    """Matrix rows of the bounded subset, summarised per row."""
-    df = spectrum.bounded_rows(embeddings(spark, sf).select("i", "features"), 2000)
-    found = nn.broadcast_reduce(df.withColumn("tag", F.lit(0).cast("bigint")), df, _cosine_row, "i bigint, low double, mean double, high double")
+    """Every row of the distance matrix, summarised where it is made."""
+    df = embeddings(spark, sf).select("i", "features")
+    found = nn.broadcast_reduce(
+        df.withColumn("tag", F.lit(0).cast("bigint")), df, _cosine_row, "i bigint, low double, total double, high double, n bigint",
+        lambda parts: parts.groupBy("i").agg(
+            F.min("low").alias("low"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("high").alias("high")))
     return tidy(found)
 
 
@@ -55,7 +58,7 @@ def _cosine_row(q_ids, q, _qt, r_ids, r, _rt):
     d = nn.pair_distances(q, r, "cosine")
     d[q_ids[:, None] == r_ids[None, :]] = 0.0
     off = np.where(q_ids[:, None] == r_ids[None, :], np.inf, d)
-    return q_ids, off.min(axis=1), d.mean(axis=1), d.max(axis=1)
+    return q_ids, off.min(axis=1), d.sum(axis=1), d.max(axis=1), np.full(len(q_ids), len(r_ids), np.int64)
 
 
 def closest_pairs(spark, sf):
@@ -308,7 +311,7 @@ def acquired(spark, sf):
 
 
 def drift(spark, sf):
-    found = crossset.drift(*_sides(spark, sf), {"distribution_samples": 2000})
+    found = crossset.drift(*_sides(spark, sf), {})
     return _one_row(spark, mmd2=found["mmd2"], bandwidth=found["bandwidth"], centroid_distance=found["centroid_distance"], covariance_shift=found["covariance_shift"])
 
 
@@ -352,12 +355,12 @@ def overlap_knn(spark, sf):
 
 
 def imbalance(spark, sf):
-    found = crossset.information_imbalance(*_halves(spark, sf), {"max_samples": 2000})
+    found = crossset.information_imbalance(*_halves(spark, sf))
     return tidy(found["forward"])
 
 
 def imbalance_overlap(spark, sf):
-    found = crossset.information_imbalance(*_halves(spark, sf), {"max_samples": 2000})
+    found = crossset.information_imbalance(*_halves(spark, sf))
     return tidy(found["overlap"].agg(*[F.avg(f"overlap_{k}").alias(f"overlap_{k}") for k in found["sizes"]]))
 
 

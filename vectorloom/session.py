@@ -8,6 +8,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import LoomError
+
 # Upper bound for anything an operator ships to every executor.
 BROADCAST_BYTES_KEY = "vectorloom.broadcast.bytes"
 BROADCAST_BYTES_DEFAULT = 64 << 20
@@ -37,7 +39,7 @@ def broadcast_bytes(spark: SparkSession) -> int:
 SMALL_BYTES = 4 << 20
 
 
-def shuffle_width(df: DataFrame, ceiling: int = 256) -> int:
+def shuffle_width(df: DataFrame, ceiling: int = 4096) -> int:
     """How many ranges an ordered operator splits into.
 
     One where the optimizer's own size estimate is a few megabytes, else one
@@ -51,11 +53,14 @@ def shuffle_width(df: DataFrame, ceiling: int = 256) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints and intermediate tables.
 
-    Only where none is named (tests, local runs) a temporary one is made.
+    Where none is named a local session gets a temporary one; a cluster is refused,
+    as its executors could not see it.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise LoomError("SHARED_FOLDER_MISSING", "spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="vectorloom-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
