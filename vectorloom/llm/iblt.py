@@ -10,8 +10,8 @@ gives it away, it is taken out of its other cells, and so on.
 
 Cells are in groups by a hash of the digest, one group for every few digests of
 the two texts, so that the work grows with the text.  A group is first sized for
-texts that share half; one that does not peel is made anew at about twice the
-size, until all are recovered.
+what is expected of the pair; one that does not peel is made anew at about twice
+the size, until all are recovered.
 
 All of it is column expressions, grouped sums and higher-order functions.
 """
@@ -26,7 +26,8 @@ from .common import column_or_null, cut_lineage
 CUT_WORDS = 16
 BASE_CELLS = 4
 GROUP_DIGESTS = 16
-FIRST_CELLS = 6
+# Cells in each third of a group, at first: for texts that share half, and for those that share nothing.
+HALF_CELLS, FULL_CELLS = 6, 14
 ROUNDS = 24
 RANGES_A_PARTITION = 4
 MOST_RANGES = 2048
@@ -37,9 +38,18 @@ _UNIT = r"(?:[^ \n]++ *+){1,%d}+\n?|[ \n]+" % CUT_WORDS
 def digests(text: Column) -> Column:
     """Distinct 64-bit digests of a text's paragraphs; null gives none."""
     units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_UNIT), F.lit(0))
-    hashes = F.array_sort(F.transform(units, lambda u: F.xxhash64(u)))
-    copies = F.transform(hashes, lambda h, i: F.xxhash64(h, i + 1 - F.array_position(hashes, h).cast("int")))
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.transform(hashes, lambda h: F.xxhash64(h, F.lit(0)))).otherwise(copies)
+
+    def told_apart(hashes: Column) -> Column:
+        copies = F.transform(hashes, lambda h, i: F.xxhash64(h, i + 1 - F.array_position(hashes, h).cast("int")))
+        distinct = F.size(F.array_distinct(hashes)) == F.size(hashes)
+        return F.when(distinct, F.transform(hashes, lambda h: F.xxhash64(h, F.lit(0)))).otherwise(copies)
+
+    return _bound(F.sort_array(F.transform(units, lambda u: F.xxhash64(u))), told_apart)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _check(digest: Column) -> Column:
@@ -59,17 +69,18 @@ def _places(digest: Column, cells: Column) -> Column:
 def sketches(jobs: DataFrame) -> DataFrame:
     """``_row, kind, group, cells, sketch``: one sketch per group of every job.
 
-    ``jobs`` has ``_row, kind, left, right, groups, cells`` and must be partitioned
-    by ``_row``; the left digests count one, the right ones minus one.
+    ``jobs`` has ``_row, kind, left, right, groups, cells, only`` and lies together
+    by ``_row``; the left digests count one, the right ones minus one.  ``only``
+    lists the groups to make; null means all.
     """
     signed = F.concat(
         F.transform("left", lambda d: F.struct(d.alias("digest"), F.lit(1).alias("n"))),
         F.transform("right", lambda d: F.struct(d.alias("digest"), F.lit(-1).alias("n"))),
     )
-    each = jobs.select("_row", "kind", "groups", "cells", F.explode(signed).alias("_s")).select(
-        "_row", "kind", "cells", F.pmod(F.xxhash64(F.lit(7), F.col("_s.digest")), F.col("groups")).cast("int").alias("group"), "_s.digest", "_s.n"
+    each = jobs.select("_row", "kind", "groups", "cells", "only", F.explode(signed).alias("_s")).select(
+        "_row", "kind", "cells", "only", F.pmod(F.xxhash64(F.lit(7), F.col("_s.digest")), F.col("groups")).cast("int").alias("group"), "_s.digest", "_s.n"
     )
-    return cells_of(each)
+    return cells_of(each.where(F.col("only").isNull() | F.array_contains("only", F.col("group"))).drop("only"))
 
 
 def cells_of(each: DataFrame) -> DataFrame:
@@ -84,7 +95,7 @@ def cells_of(each: DataFrame) -> DataFrame:
     summed = placed.groupBy("_row", "kind", "cells", "group", "cell").agg(
         F.sum("n").cast("int").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check")
     )
-    listed = summed.groupBy("_row", "kind", "cells", "group").agg(F.array_sort(F.collect_list(F.struct("cell", "n", "key", "check"))).alias("some"))
+    listed = summed.groupBy("_row", "kind", "cells", "group").agg(F.collect_list(F.struct("cell", "n", "key", "check")).alias("some"))
     return listed.withColumn("sketch", _filled(F.col("some"), F.col("cells"))).drop("some")
 
 
@@ -93,12 +104,12 @@ def _cell(index: Column, n: Column, key: Column, check: Column) -> Column:
 
 
 def _filled(some: Column, cells: Column) -> Column:
-    """All ``3 * cells`` cells, from those that are not empty in order of their number."""
+    """All ``3 * cells`` cells in order of their number, from those that are not empty."""
     blanks = F.transform(
         F.array_except(F.sequence(F.lit(0), (3 * cells - 1).cast("int")), F.transform(some, lambda c: c["cell"])),
         lambda i: _cell(i, F.lit(0), F.lit(0), F.lit(0)),
     )
-    return F.array_sort(F.concat(F.transform(some, lambda c: _cell(c["cell"], c["n"], c["key"], c["check"])), blanks))
+    return F.sort_array(F.concat(F.transform(some, lambda c: _cell(c["cell"], c["n"], c["key"], c["check"])), blanks))
 
 
 def written(sketch: Column) -> Column:
@@ -115,28 +126,32 @@ def _pure(cell: Column) -> Column:
 def peeled(sketch: Column, cells: Column) -> Column:
     """Struct of ``whole``, and the digests ``left`` and ``right`` that only one text has."""
 
-    def put(table: Column, place: Column, taken: Column) -> Column:
+    def less(table: Column, place: Column, taken: Column) -> Column:
         old = F.element_at(table, place + 1)
-        new = _cell(place, old["n"] - taken["n"], old["key"].bitwiseXOR(taken["key"]), old["check"].bitwiseXOR(taken["check"]))
-        return F.concat(F.slice(table, F.lit(1), place), F.array(new), F.slice(table, place + 2, F.size(table)))
+        return F.array(_cell(place, old["n"] - taken["n"], old["key"].bitwiseXOR(taken["key"]), old["check"].bitwiseXOR(taken["check"])))
+
+    def without(table: Column, places: Column, taken: Column) -> Column:
+        # The three places ascend, so one pass over the table replaces them all.
+        a, b, c = places[0], places[1], places[2]
+        return F.concat(
+            F.slice(table, F.lit(1), a), less(table, a, taken), F.slice(table, a + 2, b - a - 1), less(table, b, taken),
+            F.slice(table, b + 2, c - b - 1), less(table, c, taken), F.slice(table, c + 2, F.size(table)),
+        )
 
     def take(state: Column, place: Column) -> Column:
         found = F.element_at(state["table"], place + 1)
-        table = F.aggregate(_places(found["key"], cells), state["table"], lambda t, p: put(t, p, found))
+        table = F.aggregate(F.array(_places(found["key"], cells)), state["table"], lambda t, places: without(t, places, found))
         side = F.array(found["key"])
         none = F.array().cast("array<bigint>")
         return F.when(_pure(found), F.struct(
             table.alias("table"), F.concat(state["left"], F.when(found["n"] == 1, side).otherwise(none)).alias("left"),
-            F.concat(state["right"], F.when(found["n"] == -1, side).otherwise(none)).alias("right"), state["moved"].alias("moved"),
+            F.concat(state["right"], F.when(found["n"] == -1, side).otherwise(none)).alias("right"), F.lit(True).alias("moved"),
         )).otherwise(state)
 
     def turn(state: Column, _: Column) -> Column:
-        ready = F.transform(F.filter(state["table"], _pure), lambda c: c["cell"])
-        after = F.aggregate(ready, state, take)
-        moved = F.transform(F.array(after), lambda s: F.struct(
-            s["table"].alias("table"), s["left"].alias("left"), s["right"].alias("right"), F.exists(s["table"], _pure).alias("moved")
-        ))[0]
-        return F.when(state["moved"], moved).otherwise(state)
+        # All cells in turn, each as it then is, so most of a chain comes off in one round.
+        still = F.struct(state["table"].alias("table"), state["left"].alias("left"), state["right"].alias("right"), F.lit(False).alias("moved"))
+        return F.when(state["moved"], F.aggregate(F.sequence(F.lit(0), (3 * cells - 1).cast("int")), still, take)).otherwise(state)
 
     empty = F.array().cast("array<bigint>")
     start = F.struct(sketch.alias("table"), empty.alias("left"), empty.alias("right"), F.lit(True).alias("moved"))
@@ -145,28 +160,44 @@ def peeled(sketch: Column, cells: Column) -> Column:
     ))
 
 
-def differences(pairs: DataFrame) -> DataFrame:
-    """``_row, kind, left, right``: the digests that only one text of a pair has.
+def job(kind: str, left: Column, right: Column, cells: int, groups: Column | None = None) -> Column:
+    """One pair of digest lists as an entry of the list that ``differences`` takes."""
+    if groups is None:
+        groups = F.greatest(F.lit(1), F.ceil((F.size(left) + F.size(right)) / GROUP_DIGESTS))
+    return F.struct(F.lit(kind).alias("kind"), left.alias("left"), right.alias("right"), groups.cast("int").alias("groups"), F.lit(cells).alias("cells"))
+
+
+def differences(rows: DataFrame, jobs: list[Column], keep_digests: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What pairs of digest lists differ in, and the sketches of kind ``print`` as text.
 
-    ``pairs`` has ``_row, kind, left, right`` with the two texts' digests.
+    ``rows`` has a unique ``_row`` and what the jobs read.  The first table is
+    ``_row, kind, left, right``, the digests that only one side has, or their
+    numbers; the second is ``_row, kind, text`` of jobs whose kind begins with
+    ``print``, which are not peeled.
     """
-    groups = F.greatest(F.lit(1), F.ceil((F.size("left") + F.size("right")) / GROUP_DIGESTS)).cast("int")
-    jobs = pairs.withColumn("groups", groups)
-    cells, waiting, solved = FIRST_CELLS, None, None
+    nothing = F.lit(None).cast("array<int>")
+    dealt = rows.repartition("_row").select("_row", F.explode(F.array(*jobs)).alias("_j")).select("_row", "_j.*", nothing.alias("only"))
+    again = rows.select("_row", F.explode(F.filter(F.array(*jobs), lambda j: ~j["kind"].startswith("print"))).alias("_j")).select("_row", "_j.*")
+    solved = None
     while True:
-        dealt = jobs.withColumn("cells", F.lit(cells)).repartition("_row")
         made = sketches(dealt)
-        if waiting is not None:
-            made = made.join(waiting, ["_row", "kind", "group"], "left_semi")
-        tried = cut_lineage(made.select("_row", "kind", "group", peeled(F.col("sketch"), F.col("cells")).alias("_p")))
-        done = tried.where("_p.whole").select("_row", "kind", "group", "_p.left", "_p.right")
+        printed = F.col("kind").startswith("print")
+        result = F.when(~printed, peeled(F.col("sketch"), F.col("cells")))
+        if not keep_digests:
+            result = F.when(~printed, _bound(result, lambda p: F.struct(p["whole"].alias("whole"), F.size(p["left"]).alias("left"), F.size(p["right"]).alias("right"))))
+        text = F.when(printed, written(F.col("sketch")))
+        tried = cut_lineage(made.select("_row", "kind", "group", "cells", result.alias("_p"), text.alias("text")))
+        if solved is None:
+            prints = tried.where(printed).select("_row", "kind", "text")
+        done = tried.where("_p.whole").select("_row", "kind", "_p.left", "_p.right")
         solved = done if solved is None else solved.unionByName(done)
-        waiting = tried.where("not _p.whole").select("_row", "kind", "group")
+        waiting = tried.where("not _p.whole").groupBy("_row", "kind").agg(F.collect_set("group").alias("only"), F.max("cells").alias("_had"))
         if waiting.isEmpty():
             break
-        jobs = jobs.join(waiting.select("_row", "kind").distinct(), ["_row", "kind"], "left_semi")
-        cells = 2 * cells + 2
-    return solved.groupBy("_row", "kind").agg(F.flatten(F.collect_list("left")).alias("left"), F.flatten(F.collect_list("right")).alias("right"))
+        # Joined by row and kind, so the cells of a sketch still lie together.
+        dealt = again.join(waiting, ["_row", "kind"]).withColumn("cells", 2 * F.col("_had") + 2).drop("_had")
+    join = (lambda c: F.flatten(F.collect_list(c))) if keep_digests else F.sum
+    return solved.groupBy("_row", "kind").agg(join("left").alias("left"), join("right").alias("right")), prints
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -222,29 +253,25 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digests", digests(F.col("edited")).alias("edited_digests"), "next_digests"
     )
     fixed = cut_lineage(table).withColumn("_row", F.monotonically_increasing_id())
-    none = F.array().cast("array<bigint>")
-
-    def job(kind: str, left: Column, right: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), left.alias("left"), right.alias("right"))
-
-    texts = fixed.select("_row", F.explode(F.array(job("own", F.col("digests"), none), job("edited", F.col("edited_digests"), none))).alias("_j"))
-    base = sketches(texts.select("_row", "_j.*", F.lit(1).alias("groups"), F.lit(BASE_CELLS).alias("cells")).repartition("_row"))
-    prints = base.groupBy("_row").agg(*[F.max(F.when(F.col("kind") == k, written(F.col("sketch")))).alias(k) for k in ("own", "edited")])
-    pairs = fixed.select("_row", F.explode(F.array(
-        job("edited", F.col("digests"), F.col("edited_digests")), job("next", F.col("digests"), F.col("next_digests"))
-    )).alias("_j")).select("_row", "_j.*")
-    apart = differences(pairs).select("_row", "kind", F.size("left").alias("lost"), F.size("right").alias("gained"))
+    own, changed, after, none = F.col("digests"), F.col("edited_digests"), F.col("next_digests"), F.array().cast("array<bigint>")
+    apart, texts = differences(fixed.select("_row", "digests", "edited_digests", "next_digests"), [
+        job("print own", own, none, BASE_CELLS, F.lit(1)), job("print edited", changed, none, BASE_CELLS, F.lit(1)),
+        job("edited", own, changed, HALF_CELLS), job("next", own, after, FULL_CELLS),
+    ], keep_digests=False)
+    prints = texts.groupBy("_row").agg(*[F.max(F.when(F.col("kind") == f"print {k}", F.col("text"))).alias(k) for k in ("own", "edited")])
+    apart = apart.select("_row", "kind", F.col("left").alias("lost"), F.col("right").alias("gained"))
     counts = apart.groupBy("_row").agg(*[
         F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in ("edited", "next") for c in ("lost", "gained")
     ])
 
     def likeness(kind: str) -> Column:
-        shared = F.size("digests") - F.coalesce(f"{kind}_lost", F.lit(0))
-        united = F.size("digests") + F.coalesce(f"{kind}_gained", F.lit(0))
+        shared = F.col("_n") - F.coalesce(f"{kind}_lost", F.lit(0))
+        united = F.col("_n") + F.coalesce(f"{kind}_gained", F.lit(0))
         return F.when(united == 0, F.lit(1.0)).otherwise(shared / united).cast("double")
 
     blank = "0" * (28 * 3 * BASE_CELLS)
-    return fixed.join(prints, "_row", "left").join(counts, "_row", "left").select(
+    sizes = fixed.select("_row", "doc_id", "n_chars", "edited_sha256", F.size("digests").alias("_n"))
+    return sizes.join(prints, "_row", "left").join(counts, "_row", "left").select(
         "doc_id", "n_chars", "edited_sha256", F.coalesce("own", F.lit(blank)).alias("fingerprint"), F.coalesce("edited", F.lit(blank)).alias("edited_fingerprint"),
         likeness("edited").alias("near_edited"), likeness("next").alias("near_next"),
         F.coalesce("edited_lost", F.lit(0)).cast("bigint").alias("lost"), F.coalesce("edited_gained", F.lit(0)).cast("bigint").alias("gained"),
