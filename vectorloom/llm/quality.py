@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_or_null, cut_lineage, map_rows, whole_words
+from .common import column_or_null, cut_lineage, map_rows, shielded, unshielded, whole_words
 
 LEAST_WORDS = 50
 MOST_REPEATED = 50
@@ -30,6 +30,8 @@ COVERED = 0.75
 STEPS = 6
 SETTLED = 1e-4
 LEAST_ROWS = 100
+# A group's rows are dealt out over so many parts wherever its estimate is joined to them.
+PARTS = 64
 
 # The vector's entries, and what spread each has at least: finer differences tell nothing.
 STATISTICS = {
@@ -108,14 +110,20 @@ def measured(docs: DataFrame) -> DataFrame:
     carried = F.struct(column_or_null(docs, "doc_id", "bigint"), *row_hashes(docs)).alias("_row")
     rows = docs.select(carried, pair, F.col("text").cast("string").cast("binary").alias("text"))
     kinds = ", ".join(f"{name} bigint" for name in COUNTED)
-    return map_rows(rows, work, f"_row struct<doc_id: bigint, h1: bigint, h2: bigint>, pair string, {kinds}, x array<double>").withColumn(
-        "base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    )
+    found = map_rows(rows, work, f"_row struct<doc_id: bigint, h1: bigint, h2: bigint>, pair string, {kinds}, x array<double>")
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    return found.withColumn("base_failed", failed).withColumn("part", F.pmod(F.col("_row.h1"), F.lit(PARTS)).cast("int"))
 
 
 COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def _beside(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Joins a table with one row per key; a hot key's rows go to ``PARTS`` tasks."""
+    copies = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.join(copies, [key, "part"], how)
+
+
 def with_cells(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Adds ``cell``, the group whose estimate a row is held against; null where all are too few."""
     sizes = rows.groupBy("pair").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n"))
@@ -128,7 +136,7 @@ def with_cells(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     named = sizes.join(langs, "lang", "left").select(
         "pair", F.when(F.col("n") >= least_rows, F.col("pair")).when(F.col("in_lang") >= least_rows, F.col("lang")).otherwise(last).alias("cell")
     )
-    return rows.join(named, "pair", "left")
+    return _beside(rows, named, "pair", "left")
 
 
 def _inverses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,14 +174,14 @@ def _started(rows: DataFrame) -> DataFrame:
     centres = cut_lineage(rows.groupBy("cell").agg(F.array(*[median(F.col("x")[i]) for i in range(SIZE)]).alias("mean")))
     spread = [F.pow(1.4826 * median(F.abs(F.col("x")[i] - F.col("mean")[i])), 2.0) for i in range(SIZE)]
     flat = F.array(*[spread[i] if i == j else F.lit(0.0) for i in range(SIZE) for j in range(SIZE)])
-    return _estimate(rows.join(centres, "cell").groupBy("cell").agg(F.first("mean").alias("mean"), flat.alias("spread")))
+    return _estimate(_beside(rows, centres, "cell").groupBy("cell").agg(F.first("mean").alias("mean"), flat.alias("spread")))
 
 
 def _concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
     """One step: mean and covariance of the nearest ``COVERED`` part of each cell."""
-    far = rows.join(model.drop("log_det"), "cell").withColumn("_d", _distance())
+    far = _beside(rows, model.drop("log_det"), "cell").withColumn("_d", _distance())
     limits = far.groupBy("cell").agg(F.percentile_approx("_d", COVERED, 1000).alias("_limit"))
-    near = far.join(limits, "cell").where("_d <= _limit")
+    near = _beside(far, limits, "cell").where("_d <= _limit")
     sums = [F.avg(F.col("x")[i]).alias(f"_m{i}") for i in range(SIZE)]
     covariances = [F.covar_pop(F.col("x")[i], F.col("x")[j]).alias(f"_c{i}_{j}") for i in range(SIZE) for j in range(i + 1)]
     moments = near.groupBy("cell").agg(*sums, *covariances)
@@ -191,7 +199,7 @@ def estimates(rows: DataFrame) -> DataFrame:
         model = after
         if moved is None or moved < SETTLED:
             break
-    middle = rows.join(model, "cell").groupBy("cell").agg((F.percentile_approx(_distance(), 0.5, 1000) / MEDIAN).alias("scale"))
+    middle = _beside(rows, model, "cell").groupBy("cell").agg((F.percentile_approx(_distance(), 0.5, 1000) / MEDIAN).alias("scale"))
     return cut_lineage(model.join(middle, "cell").select("cell", "mean", "inverse", F.greatest("scale", F.lit(1.0)).alias("scale")))
 
 
@@ -205,7 +213,7 @@ def judged(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """
     rows = cut_lineage(with_cells(cut_lineage(measured(docs))))
     model = estimates(rows.where(~F.col("base_failed") & F.col("cell").isNotNull()))
-    far = rows.join(model, "cell", "left").withColumn("distance", _distance() / F.col("scale"))
+    far = _beside(rows, model, "cell", "left").withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))
     return far.select(F.col("_row.doc_id").alias("doc_id"), *COUNTED, "base_failed", kept.alias("kept"), "distance", "_row.h1", "_row.h2")
 
@@ -222,5 +230,6 @@ def kept_rows(docs: DataFrame, cut: float = CUT) -> DataFrame:
     Rows with equal values are judged alike, so verdicts are joined on hashes of these.
     """
     verdicts = judged(docs, cut).where("kept").select("h1", "h2")
-    k1, k2 = row_hashes(docs)
-    return docs.join(verdicts, (k1 == F.col("h1")) & (k2 == F.col("h2")), "left_semi")
+    own1, own2 = row_hashes(docs)
+    mine = shielded(docs, own1=own1, own2=own2)
+    return unshielded(mine.join(verdicts, (F.col("own1") == F.col("h1")) & (F.col("own2") == F.col("h2")), "left_semi"), docs)
