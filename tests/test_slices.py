@@ -11,9 +11,9 @@ from vectorloom.plans.suite import spaces
 from vectorloom.session import BROADCAST_BYTES_KEY
 
 
-@pytest.fixture(params=[5000, 4000])
+@pytest.fixture(params=[4000])
 def sliced(spark, request):
-    """Runs a function under a bound that makes two and three slices of 120 rows of six numbers."""
+    """Runs a function under a bound that makes three slices of 120 rows of six numbers."""
 
     def run(work):
         whole = work()
