@@ -227,10 +227,14 @@ def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     component, as their fingerprints are equal.
     """
     rows = cut_lineage(_keyed_fingerprints(docs))
-    best = rows.join(_named(rows.select("doc_id", "fp"), radius).select("fp", "root"), "fp")
+    return one_of_each(docs, rows.join(_named(rows.select("doc_id", "fp"), radius).select("fp", "root"), "fp"))
+
+
+def one_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The row with the smallest id of each ``root``; ``rooted`` has ``doc_id, _k1, _k2, root`` for each row."""
     # Minima combine before the shuffle, so a component of any size is one row of each task.
-    chosen = best.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")).alias("_best")).select("_best._k1", "_best._k2")
-    k1, k2 = _keys(docs)
+    chosen = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")).alias("_best")).select("_best._k1", "_best._k2")
+    k1, k2 = keys(docs)
     mine = shielded(docs, own1=k1, own2=k2)
     kept = mine.join(chosen, (F.col("own1") == F.col("_k1")) & (F.col("own2") == F.col("_k2")), "left_semi")
     # Rows with equal id and text are one choice, and lie together after the join.
@@ -238,7 +242,7 @@ def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return unshielded(kept.withColumn("number", number).where("number = 1"), docs)
 
 
-def _keys(docs: DataFrame) -> tuple[Column, Column]:
+def keys(docs: DataFrame) -> tuple[Column, Column]:
     """Two hashes of a row's id and text."""
     parts = [column_or_null(docs, "doc_id", "bigint"), F.col("text").cast("string")]
     return F.xxhash64(*parts, F.lit(1)).alias("_k1"), F.xxhash64(*parts[::-1], F.lit(2)).alias("_k2")
@@ -253,5 +257,5 @@ def _keyed_fingerprints(docs: DataFrame) -> DataFrame:
             signed = np.asarray(values, dtype=np.uint64).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.array(signed), batch.column(2), batch.column(3)], names=["doc_id", "fp", "_k1", "_k2"])
 
-    rows = docs.select(column_or_null(docs, "doc_id", "bigint"), binary_text(), *_keys(docs))
+    rows = docs.select(column_or_null(docs, "doc_id", "bigint"), binary_text(), *keys(docs))
     return map_rows(rows, work, "doc_id bigint, fp bigint, _k1 bigint, _k2 bigint")
