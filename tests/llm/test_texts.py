@@ -203,3 +203,22 @@ def test_held_out_labels_of_the_tables(spark):
     one = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, labels).collect()}
     two = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, flipped).collect()}
     assert one == two
+
+
+def test_each_statistic_alone_can_reject(spark, table):
+    most = dict.fromkeys(quality.STATISTICS, 1.0) | {"repeats": math.sqrt(quality.MOST_REPEATED / 100)}
+    assert all((most[name] / floor) ** 2 > quality.CUT for name, floor in quality.STATISTICS.items())
+    rng = random.Random(8)
+
+    def word():
+        return "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 6)))
+
+    clean = ["\n".join(" ".join(word() for _ in range(8)) for _ in range(20)) for _ in range(300)]
+    # Nine of ten lines are copies of two short ones, and below half of the words lie in repeats.
+    boilerplate = ["\n".join(["a b"] * 18 + ["c d"] * 18 + [" ".join(word() for _ in range(30)) for _ in range(4)]) for _ in range(5)]
+    # Repeats without equal lines.
+    sentence = " ".join(word() for _ in range(12))
+    repeated = ["\n".join([f"{sentence} {word()} {sentence} {word()} {sentence} {word()} {sentence}"] + [" ".join(word() for _ in range(8)) for _ in range(7)]) for _ in range(5)]
+    rows = {r["doc_id"]: r for r in quality.judged(table(clean + boilerplate + repeated)).collect()}
+    assert all(rows[k]["kept"] for k in range(300))
+    assert not any(rows[k]["base_failed"] or rows[k]["kept"] for k in range(300, 310))
