@@ -222,3 +222,16 @@ def test_each_statistic_alone_can_reject(spark, table):
     rows = {r["doc_id"]: r for r in quality.judged(table(clean + boilerplate + repeated)).collect()}
     assert all(rows[k]["kept"] for k in range(300))
     assert not any(rows[k]["base_failed"] or rows[k]["kept"] for k in range(300, 310))
+
+
+def test_secrets_beside_ordinary_words_are_found(table):
+    key, letters = "q7Zt4Lm9Xc2Vb8Nw3Rk6", "qZtLmXcVbNwRkPdGhJsy"
+    texts = [f"SAMPLE_KEY={key}", f"HTTP_AUTH={key}", f"see //api.example.com/v1/{key} there", f"www.site.com/reset/{key}", f"{key}xxxx{key}", letters]
+    for row in secrets.scan(table(texts)).collect():
+        text, spans = texts[row["doc_id"]], [tuple(map(int, s.split(":")[1:])) for s in row["spans"].split(",") if s.startswith("entropy")]
+        for secret in (key, letters):
+            for m in re.finditer(secret, text):
+                assert any(a <= m.start() and m.end() <= b for a, b in spans)
+    digest = "sha256-q7Zt4Lm9Xc2Vb8Nw3Rk6q7Zt4Lm9Xc2Vb8Nw3Rk6abc="
+    plain = [digest, "getApplicationContextInitializer", "SAMPLE_KEY=your_key_goes_in_here", "http//www.example.com/some/path/of/words"]
+    assert [r["n_entropy"] for r in secrets.scan(table(plain)).collect()] == [0] * 4

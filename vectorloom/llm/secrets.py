@@ -4,8 +4,8 @@ Known shapes are three patterns.  Besides, every run of 20 or more characters
 that keys are written in is a candidate: a window slides over it, its counts of
 characters are kept by adding one and removing one, and windows whose Shannon
 entropy reaches the bound of their character class are joined into spans.
-Allowed strings (placeholders, sequences, digits alone, plain words) never give
-an entropy span.
+Allowed strings (placeholders, sequences, digits alone, plain words) are cut out
+of a candidate before; what stands beside them is tested like any other run.
 """
 
 from __future__ import annotations
@@ -32,13 +32,18 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 
 # Bits of entropy that a window must reach, by the class of its characters.
-ENTROPY_BITS = {"hex": 3.0, "alnum": 3.6, "symbols": 3.8}
+ENTROPY_BITS = {"hex": 3.0, "alnum": 3.6, "symbols": 3.8, "letters": 3.8}
+# Letters alone have a class where so many are of each case; names in camel case have fewer capitals.
+LEAST_OF_CASE = 5
 
 # Strings that look random and are not secrets; matched within the candidate, in lower case.
 ALLOWED = (
     "example", "placeholder", "changeme", "your_", "your-", "xxxx", "dummy", "sample", "lorem",
-    "0123456789", "123456789", "abcdefgh", "deadbeef", "sha256-", "sha512-", "http", "www.",
+    "0123456789", "123456789", "abcdefgh", "deadbeef", "http", "www.",
 )
+# Checksums are allowed with the digest that follows.
+CHECKSUMS = ("sha256-(?:[0-9a-f]{64}|[a-z0-9+/]{43}=?)?", "sha512-(?:[0-9a-f]{128}|[a-z0-9+/]{86}(?:==)?)?")
+ALLOWED_PARTS = re.compile("|".join([*CHECKSUMS, *map(re.escape, ALLOWED)]), re.IGNORECASE | re.ASCII)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 
 _GAIN = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
@@ -56,17 +61,23 @@ def base_spans(text: str, low: bytes) -> list[tuple[int, int, int]]:
     return found
 
 
-def allowed(candidate: str) -> bool:
-    """Whether a candidate is on the list of things that only look random."""
+def tested_parts(candidate: str) -> list[tuple[int, int]]:
+    """The stretches of a candidate beside what only looks random, a window long at least."""
     if candidate.isdigit() or UUID.fullmatch(candidate):
-        return True
-    low = candidate.lower()
-    return any(word in low for word in ALLOWED)
+        return []
+    parts, at = [], 0
+    for m in ALLOWED_PARTS.finditer(candidate):
+        parts.append((at, m.start()))
+        at = m.end()
+    parts.append((at, len(candidate)))
+    return [(a, b) for a, b in parts if b - a >= WINDOW]
 
 
 def window_class(digits: int, upper: int, lower: int, beyond_hex: int, symbols: int) -> str | None:
     """The class of a window with so many characters of each sort; None for words and numbers."""
-    if not digits or not (upper or lower):
+    if not digits:
+        return "letters" if not symbols and min(upper, lower) >= LEAST_OF_CASE else None
+    if not (upper or lower):
         return None
     if symbols:
         return "symbols"
@@ -117,10 +128,11 @@ def find_spans(text: str, low: bytes) -> list[tuple[int, int, int]]:
     found = base_spans(text, low)
     for m in CANDIDATE.finditer(text):
         piece = m[0]
-        # Without a digit no window has a class, so plain words stop here.
-        if not piece.isascii() or not any(c.isdigit() for c in piece) or allowed(piece):
+        # Without a digit or both cases no window has a class, so plain words stop here.
+        if piece.islower() and not any(c.isdigit() for c in piece):
             continue
-        found += [(m.start() + a, 3, m.start() + b) for a, b in entropy_spans(piece)]
+        for at, end in tested_parts(piece):
+            found += [(m.start() + at + a, 3, m.start() + at + b) for a, b in entropy_spans(piece[at:end])]
     found.sort()
     return found
 
