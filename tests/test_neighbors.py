@@ -89,7 +89,7 @@ def test_fuzzy_graph_is_a_union(spark):
     from vectorloom.operators import graph
 
     x = table("plain")[:60]
-    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), axis=1)[:, :6]
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), axis=1)[:, 1:6]
     offset, width = graph.row_widths(d)
     np.testing.assert_allclose(np.exp(-np.maximum(d - offset[:, None], 0) / width[:, None]).sum(1), np.log2(6), rtol=1e-6)
     rows = graph.fuzzy_graph(frame_of(spark, x), {"n_neighbors": 6}).collect()
