@@ -237,8 +237,9 @@ def one_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     k1, k2 = keys(docs)
     mine = shielded(docs, own1=k1, own2=k2)
     kept = mine.join(chosen, (F.col("own1") == F.col("_k1")) & (F.col("own2") == F.col("_k2")), "left_semi")
-    # Rows with equal id and text are one choice, and lie together after the join.
-    number = F.row_number().over(Window.partitionBy("own1", "own2").orderBy("own1"))
+    # Rows with equal id and text are one choice, and lie together after the join; a hash of all columns tells them apart.
+    whole = F.xxhash64(*[F.col(f"c{k}") for k, kind in enumerate(docs.dtypes) if "map<" not in kind[1]])
+    number = F.row_number().over(Window.partitionBy("own1", "own2").orderBy(whole))
     return unshielded(kept.withColumn("number", number).where("number = 1"), docs)
 
 
