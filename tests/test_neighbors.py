@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import frame_of
 from vectorloom.operators import neighbors as nn
@@ -34,14 +35,14 @@ def table(kind):
 
 @pytest.mark.parametrize("kind", ["plain", "copies", "offset", "clusters"])
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
-@pytest.mark.parametrize("form", ["broadcast", "pivots"])
+@pytest.mark.parametrize("form", ["broadcast", "blocks"])
 def test_matches_brute_force(spark, kind, metric, form):
     x = table(kind)
     df = frame_of(spark, x)
     if form == "broadcast":
         found = nn._scan_small(df, df, 4, metric, True)
     else:
-        found = nn._scan_pivots(df, df, 4, metric, True, 40)
+        found = nn._scan_blocks(df, df, 4, metric, True, 12)
     got = {r["i"]: r for r in found.collect()}
     assert len(got) == len(x)
     for i, (_ids, d) in enumerate(brute(x, x, 4, metric, True)):
@@ -95,3 +96,33 @@ def test_fuzzy_graph_is_a_union(spark):
     rows = graph.fuzzy_graph(frame_of(spark, x), {"n_neighbors": 6}).collect()
     assert all(r["a"] < r["b"] and 0 < r["weight"] <= 1 for r in rows)
     assert len({(r["a"], r["b"]) for r in rows}) == len(rows)
+
+
+def test_rows_meet_few_cells_however_many_there_are(spark):
+    """On clustered rows the cells that a row meets do not grow with their number."""
+    rng = np.random.default_rng(9)
+    met = []
+    for groups in (20, 80):
+        x = (rng.normal(size=(groups, 1, 6)) * 100 + rng.normal(size=(groups, 25, 6))).reshape(-1, 6)
+        df = nn._metric_space(frame_of(spark, x), "euclidean")
+        tree = nn.BlockTree(df, df, "euclidean", 10)
+        assert len(tree.pivots) == len(x) // 10 and tree.count.sum() == len(x)
+        found = tree.reachable(tree.query.withColumn("limit", F.lit(6.0)), 0, None)
+        met.append(found.count() / len(x))
+        pairs = {tuple(r) for r in found.collect()} | {(r["i"], r["cell"]) for r in tree.query.collect()}
+        cell = {r["i"]: r["cell"] for r in tree.reference.collect()}
+        near = np.argwhere(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 6.0)
+        assert all((i, cell[j]) in pairs for i, j in near.tolist())
+    assert met[1] < 1.5 * met[0]
+
+
+def test_order_of_cells_is_kept_between_waves(spark):
+    x = table("plain")
+    df = nn._metric_space(frame_of(spark, x), "euclidean")
+    tree = nn.BlockTree(df, df, "euclidean", 15)
+    asked = tree.query.withColumn("limit", F.lit(4.0))
+    parts = [{tuple(r) for r in tree.reachable(asked, a, b).collect()} for a, b in ((0, 2), (2, 5), (5, None))]
+    assert set.union(*parts) == {tuple(r) for r in tree.reachable(asked, 0, None).collect()}
+    assert sum(map(len, parts)) == len(set.union(*parts))
+    tighter = {tuple(r) for r in tree.reachable(asked.withColumn("limit", F.lit(2.0)), 0, 2).collect()}
+    assert tighter <= parts[0]

@@ -4,11 +4,13 @@ Two physical forms give the same result:
 
 * the reference fits a checked broadcast bound: every query partition scans it
   with a blocked numpy kernel, and nothing is shuffled;
-* it does not: both sides are assigned to the nearest of a few thousand pivot
-  vectors, triangle-inequality bounds decide which reference rows a query cell
-  can need, and only those are shuffled to it.  Cells are split into chunks on
-  both sides so no task receives an unbounded group, and copies of one vector
-  are one row throughout.
+* it does not: the reference is laid out once in the cells of a two-level tree of
+  pivot vectors.  A query row first meets its own cell, which gives it a running
+  k-th distance, then other cells in the order of the least distance that the
+  triangle inequality leaves possible, a few at a time, until the next cell's
+  exceeds the running one.  So a row travels to the cells around it, however
+  many there are in all.  Cells are split into chunks on both sides so no task
+  receives an unbounded group, and copies of one vector are one row throughout.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ from pyspark.sql import functions as F
 
 from ..arrow import ints, matrix, ragged, small_matrix, table_batches, vectors
 from ..errors import LoomError, invalid
-from ..session import broadcast_bytes
+from ..session import broadcast_bytes, cut_lineage
 
 METRICS = ("euclidean", "cosine", "manhattan")
 CHUNK_ROWS = 2048
-MAX_PIVOTS = 2048
+# Cells beside its own that a query row meets at a time, by their place in its order.
+CELL_WAVES = ((0, 8), (8, 64), (64, None))
 _TEMP_VALUES = 4 << 20
 
 NEIGHBOR_SCHEMA = "i bigint, indices array<bigint>, distances array<double>"
@@ -136,7 +139,7 @@ def _scan_small(reference: DataFrame, query: DataFrame, k: int, metric: str, ski
     return query.select("i", "features").mapInArrow(scan, NEIGHBOR_SCHEMA)
 
 
-# --- pivot form --------------------------------------------------------------
+# --- block form --------------------------------------------------------------
 
 
 def _metric_space(df: DataFrame, metric: str) -> DataFrame:
@@ -161,125 +164,114 @@ def _collapse(df: DataFrame, copies: int) -> DataFrame:
     return lowest.join(counted, "features").select(F.col("ids")[0].alias("i"), "features", "ids", "copies")
 
 
-def _assign(df: DataFrame, pivots: np.ndarray, norm: str) -> DataFrame:
-    """Adds the nearest pivot and the distance to it."""
-    shared = df.sparkSession.sparkContext.broadcast(pivots)
-    base = [f for f in df.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base) + ", cell int, reach double"
+class BlockTree:
+    """The reference in the cells of a two-level pivot tree, and what query rows must meet of it.
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in table_batches(batches, CHUNK_ROWS):
-            gaps = pair_distances(matrix(batch.column("point")), shared.value, norm)
-            cell = gaps.argmin(axis=1)
-            reach = gaps[np.arange(len(cell)), cell]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell, pa.int32()), pa.array(reach, pa.float64())],
-                names=[*batch.schema.names, "cell", "reach"],
-            )
-
-    return df.mapInArrow(place, schema)
-
-
-class PivotPlan:
-    """Which reference rows each query cell can need, from per-cell bounds."""
+    Pivots are reference rows drawn by a hash, as many as the broadcast bound
+    allows; the square root of their number are the upper level.
+    """
 
-    def __init__(self, reference: DataFrame, query: DataFrame, metric: str, radius: float | None, k: int, cell_rows: int):
-        self.metric, self.norm = metric, ("euclidean" if metric == "cosine" else metric)
-        spark = reference.sparkSession
-        rows = reference.count()
+    def __init__(self, reference: DataFrame, query: DataFrame, metric: str, cell_rows: int | None = None):
+        self.norm = "euclidean" if metric == "cosine" else metric
         width = _width(reference.select(F.col("point").alias("features")))
-        wanted = int(np.clip(np.ceil(rows / cell_rows), 1, min(MAX_PIVOTS, max(1, broadcast_bytes(spark) // (8 * width)))))
-        picked = reference.orderBy(F.xxhash64("i")).limit(wanted).select("point").toArrow()
-        self.pivots = matrix(picked.column("point"))
-        self.reference = _assign(reference, self.pivots, self.norm)
-        self.query = _assign(query, self.pivots, self.norm)
+        # Beside its vector a pivot has its parent and its cell's facts.
+        most = max(1, broadcast_bytes(reference.sparkSession) // (8 * (width + 6)))
+        rows = reference.count()
+        # As many cells as rows in each, where that leaves cells of a size worth a task.
+        wanted = int(np.clip(np.ceil(rows / (cell_rows or np.clip(np.sqrt(rows), 64, 4 * CHUNK_ROWS))), 1, most))
+        picked = matrix(reference.orderBy(F.xxhash64("i")).limit(wanted).select("point").toArrow().column("point"))
+        uppers = picked[: int(np.ceil(np.sqrt(len(picked))))]
+        used, parent = np.unique(pair_distances(picked, uppers, self.norm).argmin(axis=1), return_inverse=True)
+        order = np.argsort(parent, kind="stable")
+        self.uppers, self.pivots = uppers[used], picked[order]
+        self.first = np.searchsorted(parent[order], np.arange(len(used) + 1))
+        self.reference = cut_lineage(self._assigned(_tagged(reference)))
+        self.query = cut_lineage(self._assigned(_tagged(query)))
+        self._measure()
+
+    def _measure(self) -> None:
+        """Counts and reaches of the cells: a row per pivot."""
         count = len(self.pivots)
-        self.gaps = pair_distances(self.pivots, self.pivots, self.norm)
-        q_rows = self.query.groupBy("cell").agg(F.max("reach").alias("far"), F.count(F.lit(1)).alias("n")).collect()
-        r_rows = self.reference.groupBy("cell").agg(
-            F.max("reach").alias("far"), F.min("reach").alias("near"), F.count(F.lit(1)).alias("n")
-        ).collect()
-        self.q_far, self.q_count = np.full(count, -1.0), np.zeros(count, dtype=np.int64)
-        for r in q_rows:
-            self.q_far[r["cell"]], self.q_count[r["cell"]] = r["far"], r["n"]
-        r_count = np.zeros(count, dtype=np.int64)
-        r_near = np.full(count, np.inf)
-        r_far = np.zeros(count)
-        for r in r_rows:
-            r_count[r["cell"]], r_near[r["cell"]], r_far[r["cell"]] = r["n"], r["near"], r["far"]
-        if radius is not None:
-            self.bound = np.full(count, float(radius))
-        else:
-            self.bound = self._k_bounds(k)
-        # Rows a query cell may receive at most, for sizing its chunks.
-        lower = self.gaps - np.maximum(self.q_far, 0.0)[:, None] - r_far[None, :]
-        reachable = (lower <= self._loose(self.bound)[:, None]) & (self.q_far >= 0)[:, None]
-        self.q_parts = np.maximum(1, np.ceil(self.q_count / CHUNK_ROWS)).astype(np.int64)
-        self.r_parts = np.maximum(1, np.ceil((reachable * r_count[None, :]).sum(axis=1) / CHUNK_ROWS)).astype(np.int64)
-
-    @staticmethod
-    def _loose(bound: np.ndarray) -> np.ndarray:
-        return bound * (1 + 1e-9) + 1e-12
-
-    def _k_bounds(self, k: int) -> np.ndarray:
-        """Per query cell, a distance within which k reference rows surely lie."""
-        order = Window.partitionBy("cell").orderBy("reach", "i")
-        ranked = self.reference.select("cell", "reach", F.row_number().over(order).alias("n")).where(F.col("n") <= k)
-        closest = ranked.groupBy("cell").agg(F.collect_list("reach").alias("reaches")).collect()
-        cells = np.concatenate([np.full(len(r["reaches"]), r["cell"]) for r in closest])
-        reaches = np.concatenate([np.asarray(r["reaches"]) for r in closest])
-        bound = np.full(len(self.pivots), np.inf)
-        if len(reaches) >= k:
-            for cell in np.flatnonzero(self.q_far >= 0):
-                upper = self.q_far[cell] + self.gaps[cell, cells] + reaches
-                bound[cell] = np.partition(upper, k - 1)[k - 1]
-        return bound
-
-    def spread(self) -> tuple[DataFrame, DataFrame]:
-        """Query and reference rows under a shared (cell, query part, reference part) key."""
-        spark = self.query.sparkSession
-        facts = spark.sparkContext.broadcast((self.gaps, self.q_far, self._loose(self.bound), self.q_parts, self.r_parts))
-
-        def route(batches: Iterator[pa.RecordBatch], query_side: bool) -> Iterator[pa.RecordBatch]:
-            gaps, far, bound, q_parts, r_parts = facts.value
+        self.count, self.near, self.far = np.zeros(count, dtype=np.int64), np.full(count, np.inf), np.full(count, -1.0)
+        told = self.reference.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("reach").alias("near"), F.max("reach").alias("far"))
+        for row in told.collect():
+            self.count[row["cell"]], self.near[row["cell"]], self.far[row["cell"]] = row["n"], row["near"], row["far"]
+        self.upper_far = np.full(len(self.uppers), -np.inf)
+        for k, (a, b) in enumerate(zip(self.first[:-1], self.first[1:])):
+            filled = self.count[a:b] > 0
+            if filled.any():
+                self.upper_far[k] = (pair_distances(self.uppers[k : k + 1], self.pivots[a:b][filled], self.norm)[0] + self.far[a:b][filled]).max()
+
+    def _assigned(self, df: DataFrame) -> DataFrame:
+        """Adds the row's cell and the distance to its pivot."""
+        shared = df.sparkSession.sparkContext.broadcast((self.uppers, self.pivots, self.first, self.norm))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            uppers, pivots, first, norm = shared.value
+            for batch in table_batches(batches, CHUNK_ROWS):
+                points = matrix(batch.column("point"))
+                cell, reach = np.zeros(len(points), dtype=np.int32), np.zeros(len(points))
+                above = pair_distances(points, uppers, norm).argmin(axis=1)
+                for k in np.unique(above):
+                    rows = np.flatnonzero(above == k)
+                    gaps = pair_distances(points[rows], pivots[first[k] : first[k + 1]], norm)
+                    best = gaps.argmin(axis=1)
+                    cell[rows], reach[rows] = first[k] + best, gaps[np.arange(len(rows)), best]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(reach)], names=[*batch.schema.names, "cell", "reach"])
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", cell int, reach double"
+        return df.mapInArrow(place, schema)
+
+    def reachable(self, limits: DataFrame, first: int, last: int | None) -> DataFrame:
+        """``i, cell``: the filled cells beside the row's own that may hold something within ``limit``.
+
+        ``limits`` has ``i, point, cell, limit``.  A row's cells are in the
+        order of their least possible distance; those at places ``first`` to
+        ``last`` are given.  A smaller limit only cuts the order's end.
+        """
+        shared = limits.sparkSession.sparkContext.broadcast((self.uppers, self.pivots, self.first, self.norm, self.count, self.near, self.far, self.upper_far))
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            uppers, pivots, starts, norm, count, near, far, upper_far = shared.value
             for batch in table_batches(batches, 512):
-                cell, reach, ids = (ints(batch.column(c)) for c in ("cell", "reach", "i"))
-                salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                if query_side:
-                    row = np.repeat(np.arange(len(ids)), r_parts[cell])
-                    target = cell[row]
-                    first = np.searchsorted(row, np.arange(len(ids)))
-                    r_part = np.arange(len(row)) - first[row]
-                    q_part = (salt[row] % q_parts[target].astype(np.uint64)).astype(np.int64)
-                else:
-                    low = gaps[:, cell].T - far[None, :] - reach[:, None]
-                    own, target = np.nonzero((np.maximum(low, 0.0) <= bound[None, :]) & (far >= 0)[None, :])
-                    row = np.repeat(own, q_parts[target])
-                    first = np.concatenate([[0], np.cumsum(q_parts[target])[:-1]]) if len(own) else np.zeros(0, dtype=np.int64)
-                    q_part = np.arange(len(row)) - np.repeat(first, q_parts[target])
-                    target = np.repeat(target, q_parts[target])
-                    r_part = (salt[row] % r_parts[target].astype(np.uint64)).astype(np.int64)
-                taken = batch.take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [taken.column("i"), taken.column("features"), *([taken.column("tag")]),
-                     pa.array(target, pa.int32()), pa.array(q_part, pa.int32()), pa.array(r_part, pa.int32())],
-                    names=["i", "features", "tag", "target", "q_part", "r_part"],
-                )
-
-        schema = "i bigint, features array<double>, tag bigint, target int, q_part int, r_part int"
-
-        def tagged(df: DataFrame) -> DataFrame:
-            tag = F.col("tag") if "tag" in df.columns else F.lit(0).cast("bigint")
-            return df.select("i", "features", tag.alias("tag"), "cell", "reach")
-
-        q = tagged(self.query).mapInArrow(lambda b: route(b, True), schema)
-        r = tagged(self.reference).mapInArrow(lambda b: route(b, False), schema)
-        return q, r
-
-    def reduce(self, kernel: Callable, schema: str) -> DataFrame:
-        """Runs ``kernel(q_ids, q, q_tag, r_ids, r, r_tag) -> arrays`` per chunk pair."""
-        q, r = self.spread()
-        keys = ["target", "q_part", "r_part"]
+                ids, own, points = ints(batch.column("i")), ints(batch.column("cell")), matrix(batch.column("point"))
+                # Room for the rounding of the distances.
+                limit = ints(batch.column("limit")) * (1 + 1e-9) + 1e-12
+                close = pair_distances(points, uppers, norm) - upper_far[None, :] <= limit[:, None]
+                found = []
+                for k in np.flatnonzero(close.any(axis=0)):
+                    rows, cells = np.flatnonzero(close[:, k]), np.arange(starts[k], starts[k + 1])
+                    gaps = pair_distances(points[rows], pivots[cells], norm)
+                    low = np.maximum(np.maximum(gaps - far[cells], near[cells] - gaps), 0.0)
+                    r, c = np.nonzero((low <= limit[rows, None]) & (count[cells] > 0) & (cells != own[rows, None]))
+                    found.append((rows[r], low[r, c], cells[c]))
+                if not found:
+                    continue
+                row, low, cell = (np.concatenate(part) for part in zip(*found))
+                order = np.lexsort((cell, low, row))
+                row, cell = row[order], cell[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                kept = (place >= first) & (place < (len(pivots) if last is None else last))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[kept]], pa.int64()), pa.array(cell[kept].astype(np.int32))], names=["i", "cell"])
+
+        return limits.select("i", "point", "cell", "limit").mapInArrow(route, "i bigint, cell int")
+
+    def meet(self, asked: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+        """Runs ``kernel(q_ids, q, q_tag, r_ids, r, r_tag) -> arrays`` for the query rows and cells of ``i, cell``."""
+        rows = self.query.select("i", "features", "tag")
+        asked = asked.join(rows, "i")
+        wanted = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
+        facts = F.broadcast(asked.sparkSession.createDataFrame(
+            [(r["cell"], -(-r["n"] // CHUNK_ROWS), max(1, -(-int(self.count[r["cell"]]) // (4 * CHUNK_ROWS)))) for r in wanted],
+            "cell int, q_parts int, r_parts int",
+        ))
+
+        def dealt(df: DataFrame, own: str, own_parts: str, other: str, other_parts: str) -> DataFrame:
+            mine = F.pmod(F.xxhash64("i"), F.col(own_parts)).cast("int").alias(own)
+            return df.join(facts, "cell").select("i", "features", "tag", "cell", mine, F.explode(F.sequence(F.lit(0), F.col(other_parts) - 1)).alias(other))
+
+        q = dealt(asked, "q_part", "q_parts", "r_part", "r_parts")
+        r = dealt(self.reference, "r_part", "r_parts", "q_part", "q_parts")
         names = [part.strip().split(" ")[0] for part in schema.split(", ")]
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -289,15 +281,30 @@ class PivotPlan:
             )
             return pa.Table.from_arrays([pa.array(c) for c in columns], names=names)
 
+        keys = ["cell", "q_part", "r_part"]
         return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(run, schema)
 
+    def reduce(self, kernel: Callable, schema: str, radius: float) -> DataFrame:
+        """The kernel's rows over each query row's own cell and all others within ``radius``."""
+        around = self.reachable(self.query.withColumn("limit", F.lit(float(radius))), 0, None)
+        return self.meet(cut_lineage(self.query.select("i", "cell").unionByName(around)), kernel, schema)
+
+
+def _tagged(df: DataFrame) -> DataFrame:
+    return df if "tag" in df.columns else df.withColumn("tag", F.lit(0).cast("bigint"))
+
 
-def _scan_pivots(reference: DataFrame, query: DataFrame, k: int, metric: str, skip_self: bool, cell_rows: int) -> DataFrame:
+def _best_of(rows: DataFrame, need: int) -> DataFrame:
+    order = Window.partitionBy("q").orderBy("d", "r")
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= need).drop("_n")
+
+
+def _scan_blocks(reference: DataFrame, query: DataFrame, k: int, metric: str, skip_self: bool, cell_rows: int | None = None) -> DataFrame:
     # With copies collapsed, a vector's own ids stand beside it: keep one more.
     need = k + 1 if skip_self else k
     ref = _metric_space(_collapse(reference, need), metric)
     qry = _metric_space(_collapse(query, 1), metric)
-    plan = PivotPlan(ref, qry, metric, None, need, cell_rows)
+    tree = BlockTree(ref, qry.drop("ids", "copies"), metric, cell_rows)
 
     def best(q_ids, q, _qt, r_ids, r, _rt):
         if not len(q_ids) or not len(r_ids):
@@ -305,9 +312,16 @@ def _scan_pivots(reference: DataFrame, query: DataFrame, k: int, metric: str, sk
         at, found, dist = nearest_block(q, q_ids, r, r_ids, need, metric, False)
         return q_ids[at], found, dist
 
-    partial = plan.reduce(best, "q bigint, r bigint, d double")
-    order = Window.partitionBy("q").orderBy("d", "r")
-    top = partial.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= need).drop("_n")
+    schema = "q bigint, r bigint, d double"
+    top = cut_lineage(_best_of(tree.meet(tree.query.select("i", "cell"), best, schema), need))
+    for first, last in CELL_WAVES:
+        # A cosine distance is half the squared distance of unit vectors.
+        reach = F.sqrt(2 * F.greatest(F.max("d"), F.lit(0.0)) + 1e-12) if metric == "cosine" else F.max("d")
+        running = top.groupBy("q").agg(F.when(F.count(F.lit(1)) >= need, reach).alias("limit"))
+        limits = tree.query.join(running.withColumnRenamed("q", "i"), "i", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+        asked = cut_lineage(tree.reachable(limits, first, last))
+        if not asked.isEmpty():
+            top = cut_lineage(_best_of(top.unionByName(tree.meet(asked, best, schema)), need))
     # Back from vectors to rows: every copy of the query, the lowest ids of each neighbour.
     owners = query.groupBy("features").agg(F.min("i").alias("q"))
     members = query.select("i", "features").join(owners, "features").select("i", "q")
@@ -332,7 +346,7 @@ def nearest(
     k: int = 1,
     metric: str = "euclidean",
     skip_self: bool = False,
-    cell_rows: int = 4 * CHUNK_ROWS,
+    cell_rows: int | None = None,
 ) -> DataFrame:
     """Exact k nearest reference rows of every query row.
 
@@ -346,7 +360,7 @@ def nearest(
     reference, query = reference.select("i", "features"), query.select("i", "features")
     if _fits(reference, _width(reference)):
         return _scan_small(reference, query, k, metric, skip_self)
-    return _scan_pivots(reference, query, k, metric, skip_self, cell_rows)
+    return _scan_blocks(reference, query, k, metric, skip_self, cell_rows)
 
 
 def self_nearest(df: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
@@ -413,9 +427,8 @@ def _radius_reduce(reference: DataFrame, query: DataFrame, radius: float, metric
 
     if _fits(reference, _width(reference)):
         return broadcast_reduce(reference, query, kernel, schema, None)
-    plan = PivotPlan(_metric_space(reference, metric), _metric_space(query, metric), metric,
-                     radius if metric != "cosine" else float(np.sqrt(max(0.0, 2.0 * radius))), 1, 4 * CHUNK_ROWS)
-    return plan.reduce(kernel, schema)
+    tree = BlockTree(_metric_space(reference, metric), _metric_space(query, metric), metric)
+    return tree.reduce(kernel, schema, radius if metric != "cosine" else float(np.sqrt(max(0.0, 2.0 * radius) + 1e-12)))
 
 
 def broadcast_reduce(

@@ -8,6 +8,7 @@ from ...functions import vec
 from ...operators import clusters, correlation, crossset, graph, outliers, preprocess, sampling, spectrum
 from ...operators import neighbors as nn
 from ...operators import trajectory as tj
+from ...session import BROADCAST_BYTES_KEY
 from .inputs import RAW, embeddings, half, query_side, r6, reference_side, standardized, table, tidy
 
 
@@ -28,6 +29,22 @@ def neighbors(metric):
     return run
 
 
+# A broadcast bound that no set of embeddings is within.
+NO_BROADCAST_BYTES = 1 << 14
+
+
+def in_blocks(query):
+    """The query in the form for references beyond the broadcast bound."""
+    def run(spark, sf):
+        had = spark.conf.get(BROADCAST_BYTES_KEY, None)
+        spark.conf.set(BROADCAST_BYTES_KEY, str(NO_BROADCAST_BYTES))
+        try:
+            return query(spark, sf)
+        finally:
+            spark.conf.unset(BROADCAST_BYTES_KEY) if had is None else spark.conf.set(BROADCAST_BYTES_KEY, had)
+    return run
+
+
 def similarity(metric):
     def run(spark, sf):
         return tidy(nn.similar_to(embeddings(spark, sf), 0, 10, metric))
@@ -467,6 +484,10 @@ QUERIES = {
     "smp1_random": random_rows, "smp9_cluster_representatives": representatives, "pre4_composite": composite,
 }
 
+LARGE = ("alg8_neighbors_euclidean", "alg8_neighbors_cosine", "alg8_neighbors_manhattan", "join6_nearest_reference", "join7_k_nearest_reference",
+         "alg15_dbscan", "alg19_knn_outliers", "alg20_lof", "alg31_coverage")
+QUERIES |= {f"{name}_large": in_blocks(QUERIES[name]) for name in LARGE}
+
 COS = "greatest(1 - list_cosine_similarity(a.v, b.v), 0)"
 L1 = "list_sum(list_transform(range(1, 65), lambda k: abs(a.v[k] - b.v[k])))"
 L2 = "list_distance(a.v, b.v)"
@@ -608,3 +629,4 @@ _FPS = f"""WITH RECURSIVE {RAW}, b AS (SELECT i, v, {{start}} AS d FROM e), p AS
    GROUP BY c.i ORDER BY d DESC, c.i LIMIT 1) n WHERE p.pick < 24)
  SELECT pick, i, round(distance, 6) + 0.0 AS distance FROM p"""
 SQL["smp2_fps_raw"] = _FPS.format(start="0")
+SQL |= {f"{name}_large": SQL[name] for name in LARGE}
