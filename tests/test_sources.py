@@ -92,3 +92,67 @@ def test_descriptor_files_and_fingerprints(spark, tmp_path):
     (tmp_path / "more").write_text("x")
     assert registry.source_fingerprint(str(tmp_path)) != first
     assert registry.content_fingerprint(df) == registry.content_fingerprint(df.orderBy(df.i.desc()))
+
+
+TRICKY = """
+2
+7
+Si 0 0 0
+O 1 1 1
+0
+5
+0
+
+1
+3
+C 0 0 0
+
+
+0
+0
+3
+Properties=species:S:1:pos:R:3
+C 0 0 0
+H 1 0 0
+6 0 1 0
+
+1
+
+C 2 2 2
+"""
+
+
+def test_ranges_find_their_frames_wherever_a_file_is_cut(tmp_path):
+    for k, text in enumerate((TRICKY, TRICKY.lstrip(), TRICKY.rstrip(), TRICKY.replace("\n", "\r\n"), "\ufeff" + TRICKY.lstrip(), TWO)):
+        path = tmp_path / f"{k}.xyz"
+        path.write_bytes(text.encode())
+        size = path.stat().st_size
+        whole = list(extxyz.frames_between(str(path), 0, size))
+        assert [n for _, n, _ in whole] == ([2, 1] if text is TWO else [2, 0, 0, 1, 0, 3, 1])
+        for cut in range(1, size):
+            assert list(extxyz.frames_between(str(path), 0, cut)) + list(extxyz.frames_between(str(path), cut, size)) == whole, cut
+        thirds = [list(extxyz.frames_between(str(path), a, a + 3)) for a in range(0, size, 3)]
+        assert [f for part in thirds for f in part] == whole
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    frames = make_frames(spark, 60).orderBy("frame_index")
+    texts = [r["value"] for r in extxyz.frame_text(frames).orderBy("frame_index").collect()]
+    (tmp_path / "a.xyz").write_text("\n".join(texts[:40]) + "\n")
+    (tmp_path / "b.xyz").write_text("\n".join(texts[40:]) + "\n")
+    (tmp_path / "c.xyz").write_text("")
+    small = (tmp_path / "a.xyz").stat().st_size // 16 + 1
+    index = extxyz.index_frames(spark, str(tmp_path), small)
+    rows = index.orderBy("frame_index").collect()
+    assert [r["frame_index"] for r in rows] == list(range(60)) and [r["local"] for r in rows] == [*range(40), *range(20)]
+    one = extxyz.read_extxyz(spark, str(tmp_path), 1 << 30).orderBy("frame_index").collect()
+    assert extxyz.read_extxyz(spark, str(tmp_path), small).orderBy("frame_index").collect() == one and len(one) == 60
+
+
+def test_ranges_that_do_not_meet_are_refused(spark, tmp_path):
+    """An atom count beyond the frame runs past the next frame, which another range has found."""
+    frame = "2\nx\nC 0 0 0\nC 1 1 1\n"
+    text = frame * 3 + frame.replace("2", "5", 1) + frame * 3
+    (tmp_path / "a.xyz").write_text(text)
+    with pytest.raises(Exception, match="INVALID_DATASET"):
+        extxyz.read_extxyz(spark, str(tmp_path / "a.xyz"), 40).collect()

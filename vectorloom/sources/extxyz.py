@@ -1,10 +1,15 @@
 """Extended-XYZ frames as rows, and rows back as text.
 
-Reading is two steps.  An index pass, one task per file, only skips lines and
-notes where frames start; those offsets are then spread over the cluster and
-frames are parsed where they land, so one very long file still reads in
-parallel.  ``spark.read.format("extxyz")`` is the one-pass form, one task per
-file.
+Reading is two steps.  An index pass over byte ranges only skips lines and
+notes where frames start; a range finds its first frame by itself.  The index is
+written once, its offsets are spread over the cluster and frames are parsed
+where they land.  So one very long file is read in parallel in both steps.
+``spark.read.format("extxyz")`` is the one-pass form, one task per file.
+
+How a range finds its first frame: only a count line or a comment can be a
+whole number alone, as an atom's line has a species and a position.  What
+follows another kind of line can then only be a count line.  Where a range
+starts within a run of such lines, the run is traced back to its first.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..errors import INVALID_DATASET, LoomError
 from ..functions.elements import NUMBERS, SYMBOLS
 from ..operators.profile import FRAME_SCHEMA
+from ..session import cut_lineage
 
 # The largest inputs accepted.
 MAX_ATOMS = 1_000_000
@@ -30,6 +36,9 @@ MAX_FRAME_BYTES = 512 << 20
 MAX_COLUMNS = 64
 MAX_LINE_BYTES = 8 << 20
 
+# Bytes of a file that one index task takes.
+SPLIT_BYTES = 64 << 20
+
 _PAIR = re.compile(r'([A-Za-z_][\w-]*)\s*=\s*(?:"([^"]*)"|(\S+))')
 _SPECIES = re.compile(r"^([A-Z][a-z]?)")
 # Accepted spellings of a periodic flag.
@@ -163,27 +172,93 @@ def read_frame(stream) -> dict | None:
     }
 
 
-def frame_offsets(path: str) -> Iterator[tuple[int, int, int]]:
-    """``local, offset, atoms`` of every frame, reading headers only."""
+def _line_before(stream, at: int) -> tuple[int, bytes]:
+    """Offset and bytes of the line that ends at ``at``, a line's beginning beyond the first."""
+    held, begin = b"", at
+    while begin and b"\n" not in held[:-1]:
+        begin, end = max(0, begin - (64 << 10)), begin
+        stream.seek(begin)
+        held = stream.read(end - begin) + held
+        if len(held) > MAX_LINE_BYTES + (64 << 10):
+            raise _bad("line exceeds the supported size")
+    cut = held.rfind(b"\n", 0, len(held) - 1) + 1
+    return begin + cut, held[cut:]
+
+
+def _whole_number(line: bytes) -> bool:
+    return re.fullmatch(rb"(\xef\xbb\xbf)?[+-]?[0-9]+", line.strip()) is not None
+
+
+def _frame_end(stream, frame: int) -> tuple[int, int, int] | None:
+    """``offset, atoms, next`` of the frame at the stream's place, next being the place of the following count line."""
+    at = stream.tell()
+    while (line := _line(stream)) and not line.strip():
+        at = stream.tell()
+    if not line:
+        return None
+    n = _atom_count(line, frame)
+    comment = _line(stream)
+    if not comment:
+        raise _bad("frame is truncated: header line is missing", frame=frame + 1)
+    parse_comment(comment)
+    for _row in range(n):
+        if not stream.readline(MAX_LINE_BYTES + 1):
+            raise _bad("frame is truncated", frame=frame + 1)
+    after = stream.tell()
+    while (line := stream.readline(MAX_LINE_BYTES + 1)) and not line.strip():
+        after = stream.tell()
+    stream.seek(after)
+    return at, n, after
+
+
+def _first_frame(stream, start: int) -> int | None:
+    """Where the first frame at or after ``start`` has its count line."""
+    if not start:
+        return 0
+    stream.seek(start - 1)
+    stream.readline()
+    first = at = stream.tell()
+    while (line := stream.readline(MAX_LINE_BYTES + 1)) and not _whole_number(line):
+        at = stream.tell()
+    if not line:
+        return None
+    if at > first:
+        return at
+    # The range begins with a whole number: the first of its run is a count line for sure.
+    begin = at
+    while begin:
+        before, line = _line_before(stream, begin)
+        if not _whole_number(line):
+            break
+        begin = before
+    while begin is not None and begin < at:
+        stream.seek(begin)
+        found = _frame_end(stream, 0)
+        begin = found[2] if found else None
+    return begin
+
+
+def frames_between(path: str, start: int, stop: int) -> Iterator[tuple[int, int, int]]:
+    """``offset, atoms, next`` of the frames whose count line begins in a range of bytes.
+
+    Ranges that cover a file give each of its frames once, wherever they are cut.
+    """
     with open(path, "rb") as stream:
+        at = _first_frame(stream, start)
         local = 0
-        while True:
-            at = stream.tell()
-            line = _line(stream)
-            if not line:
+        while at is not None and at < stop:
+            stream.seek(at)
+            found = _frame_end(stream, local)
+            if found is None or found[0] >= stop:
                 return
-            if not line.strip():
-                continue
-            n = _atom_count(line, local)
-            comment = _line(stream)
-            if not comment:
-                raise _bad("frame is truncated: header line is missing", frame=local + 1)
-            parse_comment(comment)
-            for _row in range(n):
-                if not stream.readline(MAX_LINE_BYTES + 1):
-                    raise _bad("frame is truncated", frame=local + 1)
-            yield local, at, n
-            local += 1
+            yield found
+            at, local = found[2], local + 1
+
+
+def frame_offsets(path: str) -> Iterator[tuple[int, int, int]]:
+    """``local, offset, atoms`` of every frame, reading headers only."""
+    for local, (offset, atoms, _next) in enumerate(frames_between(path, 0, os.path.getsize(path))):
+        yield local, offset, atoms
 
 
 def files_of(path: str) -> list[str]:
@@ -197,41 +272,58 @@ def files_of(path: str) -> list[str]:
     return found
 
 
-def index_frames(spark: SparkSession, path: str) -> DataFrame:
-    """``source, local, offset, atoms`` over all files, one task per file."""
-    files = files_of(path)
-    listing = spark.createDataFrame([(f,) for f in files], "source string").repartition(len(files), "source")
+def index_frames(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``source, frame_index, local, offset, atoms`` over all files, numbered in name order; one task per range of bytes.
+
+    A range must end where the next one begins, else the file is refused.
+    """
+    sizes = [(f, os.path.getsize(f)) for f in files_of(path)]
+    splits = [(f, k, min(k + split_bytes, size)) for f, size in sizes for k in range(0, size, split_bytes)]
+    if not splits:
+        return spark.createDataFrame([], "source string, frame_index bigint, local bigint, offset bigint, atoms bigint")
+    shared = spark.sparkContext.broadcast(splits)
+    names = ["source", "start", "place", "offset", "atoms", "next"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["source", "local", "offset", "atoms"]
         for batch in batches:
-            for source in batch.column("source").to_pylist():
+            for number in batch.column("id").to_pylist():
+                source, start, stop = shared.value[number]
                 held: list = []
-                for row in frame_offsets(source):
-                    held.append((source, *row))
+                for place, found in enumerate(frames_between(source, start, stop)):
+                    held.append((source, start, place, *found))
                     if len(held) == 65_536:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], names=names)
                         held = []
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], names=names)
 
-    return listing.mapInArrow(scan, "source string, local bigint, offset bigint, atoms bigint")
-
-
-def read_extxyz(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.range(0, len(splits), 1, len(splits)).mapInArrow(scan, "source string, start bigint, place bigint, offset bigint, atoms bigint, next bigint")
+    index = cut_lineage(rows)
+    # A row per range that has a frame's beginning.
+    told = index.groupBy("source", "start").agg(F.count(F.lit(1)).alias("n"), F.min("offset").alias("entry"), F.max("next").alias("exit"))
+    bases, total = [], 0
+    ranges: dict[str, list] = {}
+    for row in told.orderBy("source", "start").collect():
+        ranges.setdefault(row["source"], []).append(row)
+    for source, size in sizes:
+        base, expected = total, None
+        for row in ranges.get(source, []):
+            if expected is not None and row["entry"] != expected:
+                raise _bad("frame boundaries do not line up", source=source, offset=expected)
+            bases.append((source, row["start"], total, base))
+            total, expected = total + row["n"], row["exit"]
+        if expected is not None and expected < size:
+            raise _bad("frame boundaries do not line up", source=source, offset=expected)
+    if not bases:
+        return spark.createDataFrame([], "source string, frame_index bigint, local bigint, offset bigint, atoms bigint")
+    numbered = index.join(spark.createDataFrame(bases, "source string, start bigint, total bigint, base bigint"), ["source", "start"])
+    frame = F.col("total") + F.col("place")
+    return numbered.select("source", frame.alias("frame_index"), (frame - F.col("base")).alias("local"), "offset", "atoms")
+
+
+def read_extxyz(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Frame rows numbered across files in name order."""
-    index = index_frames(spark, path)
-    if len(files_of(path)) == 1:
-        numbered = index.withColumn("frame_index", F.col("local"))
-    else:
-        # One row per file, so the running base is over a short list.
-        bases = index.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy("source").collect()
-        starts, total = [], 0
-        for row in bases:
-            starts.append((row["source"], total))
-            total += row["n"]
-        base = spark.createDataFrame(starts, "source string, base bigint")
-        numbered = index.join(base, "source").withColumn("frame_index", F.col("local") + F.col("base"))
+    numbered = index_frames(spark, path, split_bytes)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, opened = None, None
@@ -330,5 +422,5 @@ def write_extxyz(frames: DataFrame, path: str, comment: str | None = None, mode:
 
 
 __all__ = [
-    "ExtXyzSource", "frame_offsets", "frame_text", "index_frames", "parse_comment", "read_extxyz", "read_frame", "write_extxyz",
+    "ExtXyzSource", "frame_offsets", "frame_text", "frames_between", "index_frames", "parse_comment", "read_extxyz", "read_frame", "write_extxyz",
 ]
