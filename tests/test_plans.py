@@ -101,3 +101,41 @@ def test_streams_equal_batches(spark, tmp_path):
     seen = series.drain(series.first_seen(stream.selectExpr("cast(v as string) v"), "v"))
     assert seen.count() == rows.select("v").distinct().count()
     spark.streams.removeListener(log)
+
+
+def test_keyed_state_goes_on_after_a_stop_and_is_bounded(spark, tmp_path):
+    """Stopped after each file and started again, the stream gives what one pass over all rows gives; old keys leave the state."""
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    rows = [(k % 3 if k < 60 else 100 + k, k, float(k * k % 17), start + timedelta(minutes=k if k < 60 else 60 * 24 * 30 + k)) for k in range(64)]
+    df = spark.createDataFrame(rows, "u bigint, i bigint, v double, at timestamp")
+    folder, base = str(tmp_path / "in"), str(tmp_path / "run")
+    states = []
+    for name, part in (("a", "i < 30"), ("b", "i >= 30 AND i < 60"), ("c", "i >= 60 AND i < 62"), ("d", "i >= 62")):
+        df.where(part).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+        stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(folder)
+        got = {r["i"]: r["step"] for r in series.drain(series.keyed_steps(stream, "u", "i", ["v"], "at"), folder=f"{base}/steps").collect()}
+        copies = {r["i"]: r["first"] for r in series.drain(series.repeated(stream, "v", "i", "at"), folder=f"{base}/copies").collect()}
+        states.append((len(got), len(copies)))
+    assert [n for n, _ in states] == [30, 60, 62, 64]
+    assert got == {k: abs((k * k % 17) - ((k - 3) ** 2 % 17)) if 3 <= k < 60 else 0.0 for k in range(64)}
+    firsts = {}
+    for _, i, v, _ in rows[:60]:
+        firsts.setdefault(v, i)
+    assert {i: f for i, f in copies.items() if i < 60} == {i: firsts[v] for _, i, v, _ in rows[:60] if firsts[v] != i}
+    held = spark.read.format("statestore").load(f"{base}/steps/state").select("key").collect()
+    # The three users of January's first hour are gone; those of the last files are held.
+    assert {r["key"][0] for r in held} == {160, 161, 162, 163}
+
+
+def test_first_seen_holds_a_span_of_contents(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = datetime(2024, 1, 1)
+    folder = str(tmp_path / "in")
+    for n, (shift, value) in enumerate([(0, "x"), (1, "x"), (48 * 60, "y"), (49 * 60, "x")]):
+        spark.createDataFrame([(value, at + timedelta(minutes=shift))], "v string, t timestamp").coalesce(1).write.parquet(f"{folder}/{n}.parquet")
+        stream = spark.readStream.schema("v string, t timestamp").option("recursiveFileLookup", True).parquet(folder)
+        seen = series.drain(series.first_seen(stream, "v", "t"), folder=str(tmp_path / "run"))
+    assert sorted(r["v"] for r in seen.collect()) == ["x", "x", "y"]

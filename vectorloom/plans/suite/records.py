@@ -239,6 +239,15 @@ def stream_steps(spark, sf):
     return tidy(live.select("i", "step"))
 
 
+def keyed_steps(spark, sf):
+    live = series.drain(series.keyed_steps(series.follow(spark, sf, "events.parquet"), "user_id", "event_id", ["value"], "ts"))
+    return tidy(live.select("i", "step"))
+
+
+def stream_copies(spark, sf):
+    return series.drain(series.repeated(series.follow(spark, sf, "events.parquet"), "props", "event_id", "ts")).select("i", "first")
+
+
 # --- expansion ---------------------------------------------------------------
 
 
@@ -356,7 +365,7 @@ QUERIES = {
     "src13_chunk": chunk, "src14_heatmap": heatmap, "prj3_preview": preview, "fn14_text_digest": text_digest, "src11_table_digest": table_digest,
     "snk1_extxyz_round_trip": text_round_trip, "snk2_array_round_trip": array_round_trip, "snk6_committed_result": committed, "snk3_exported_csv": exported,
     "snk4_sampling_report": report, "str1_stream_profile": stream_profile, "str2_stream_histogram": stream_histogram, "str3_stream_first_seen": stream_first_seen,
-    "str4_stream_steps": stream_steps, "gen8_novelty": novelty, "gen13_duplicates": duplicates, "gen11_coverage_gain": coverage_gain, "gen12_coverage_radius": coverage_radius,
+    "str4_stream_steps": stream_steps, "str4_keyed_steps": keyed_steps, "str3_stream_copies": stream_copies, "gen8_novelty": novelty, "gen13_duplicates": duplicates, "gen11_coverage_gain": coverage_gain, "gen12_coverage_radius": coverage_radius,
     "gen9_local_novelty": local_novelty, "gen18_random_run": random_run, "gen19_genetic_run": genetic_run, "gen20_swarm_run": swarm_run, "gen3_proposals": proposals,
     "gen26_space_map": space_map, "gen28_composition_kinds": composition_archive,
 }
@@ -412,6 +421,8 @@ SQL = {
     "str2_stream_histogram": "SELECT floor(value / 0.5)::BIGINT AS slot, count(*) AS n FROM events GROUP BY 1",
     "str3_stream_first_seen": "SELECT count(DISTINCT text) AS distinct_texts FROM documents",
     "str4_stream_steps": "SELECT event_id AS i, round(coalesce(abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)), 0), 6) + 0.0 AS step FROM events",
+    "str4_keyed_steps": "SELECT event_id AS i, round(coalesce(abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)), 0), 6) + 0.0 AS step FROM events",
+    "str3_stream_copies": "SELECT * FROM (SELECT event_id AS i, min(event_id) OVER (PARTITION BY props) AS first FROM events) WHERE i <> first",
     "gen8_novelty": f"WITH {PAIR} SELECT a.i, round(min({L2}), 6) AS distance FROM q a, r b GROUP BY a.i",
     "gen13_duplicates": f"WITH {PAIR}, d AS (SELECT a.i, min({L2}) AS d FROM q a, r b GROUP BY a.i) SELECT count(*) FILTER (WHERE d < 9.0) AS rejected, count(*) AS n FROM d",
     "gen11_coverage_gain": f"WITH {PAIR} SELECT a.i, round(-max({L2}), 6) AS gain FROM q a, r b GROUP BY a.i",

@@ -8,9 +8,14 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.vec import euclidean
 from ..operators.ordering import previous_rows
@@ -23,28 +28,35 @@ def follow(spark: SparkSession, folder: str, file: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Processes everything available and returns the output table.
 
-    Every micro-batch writes its own folder, so a repeated batch replaces
-    itself; in complete mode the last folder is the answer.
+    ``folder`` keeps the query's checkpoint and output: another call with it
+    goes on where the last one ended, in this application or a later one, and
+    returns the rows of both.  Without one the run is on its own.  Appended rows
+    go through the file sink, which takes each micro-batch once; in complete
+    mode each micro-batch is a folder that a repeated batch replaces, and the
+    last folder is the answer.
     """
     spark = stream.sparkSession
-    base = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
-    seen: list[int] = []
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(base, "out", f"batch={number}"))
-        seen.append(number)
-
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", os.path.join(base, "state"))
-        .trigger(availableNow=True).foreachBatch(keep).start())
+    base = folder or os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", os.path.join(base, "state")).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", os.path.join(base, "out")).start()
+    else:
+        query = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(os.path.join(base, "out", f"batch={number}"))).start()
     query.awaitTermination()
-    if not seen:
+    try:
+        batches = T.StructType([*stream.schema.fields, *([] if mode == "append" else [T.StructField("batch", T.LongType())])])
+        found = spark.read.schema(batches).parquet(os.path.join(base, "out"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], stream.schema)
-    parts = [os.path.join(base, "out", f"batch={n}") for n in (seen[-1:] if mode == "complete" else seen)]
-    return spark.read.schema(stream.schema).parquet(*parts)
+    if mode == "append":
+        return found
+    last = found.agg(F.max("batch")).first()[0]
+    return found.where(F.col("batch") == last).drop("batch") if last is not None else spark.createDataFrame([], stream.schema)
 
 
 def running_profile(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -58,9 +70,81 @@ def running_histogram(rows: DataFrame, value: str, width: float = 1e-3) -> DataF
     return rows.groupBy(F.floor(F.col(value) / F.lit(width)).cast("bigint").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_seen(rows: DataFrame, content: str) -> DataFrame:
-    """Rows whose content has not been seen before in the stream."""
-    return rows.withColumn("content", F.sha2(F.col(content), 256)).dropDuplicates(["content"])
+def first_seen(rows: DataFrame, content: str, time: str | None = None, keep: str = "1 day") -> DataFrame:
+    """Rows whose content has not been seen before in the stream.
+
+    With a ``time`` column only contents of the last ``keep`` are held in
+    state: a copy that comes later than that counts as new.  Without one every
+    digest is held for good.
+    """
+    digested = rows.withColumn("content", F.sha2(F.col(content), 256))
+    if time is None:
+        return digested.dropDuplicates(["content"])
+    return digested.withWatermark(time, keep).dropDuplicatesWithinWatermark(["content"])
+
+
+def _milliseconds(spark: SparkSession, span: str) -> int:
+    return int(spark.sql(f"SELECT unix_millis(timestamp_millis(0) + INTERVAL {span})").first()[0])
+
+
+def _keyed(rows: DataFrame, time: str, late: str, keep: str, advance: Callable, out: str, state: str) -> DataFrame:
+    """A state of one row per key, dropped once the watermark is ``keep`` past the key's last event.
+
+    ``advance(key, rows, held) -> (table, held)`` takes a key's rows of a
+    micro-batch in order and what was held, None for nothing.
+    """
+    held_for = _milliseconds(rows.sparkSession, keep)
+
+    def work(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            group.remove()
+            return
+        table = pd.concat(list(parts)).sort_values("i", kind="stable")
+        found, held = advance(key, table, group.get if group.exists else None)
+        group.update(held)
+        newest = int(table["at"].max().timestamp() * 1000)
+        group.setTimeoutTimestamp(max(newest, group.getCurrentWatermarkMs()) + held_for)
+        yield found
+
+    timed = rows.withColumn("at", F.col(time).cast("timestamp")).withWatermark("at", late)
+    return timed.groupBy("key").applyInPandasWithState(work, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def keyed_steps(rows: DataFrame, key: str, order: str, values: list[str], time: str, late: str = "1 HOUR", keep: str = "1 DAY") -> DataFrame:
+    """``key, i, step``: distance of each row to the one before it of its key, as a stream.
+
+    The state is a key's last row, held until the watermark is ``keep`` past it;
+    a key that comes back later starts anew with a step of zero.  Rows that are
+    more than ``late`` behind are dropped by the watermark.  A key's rows of one
+    micro-batch are one task's; history with busy keys is for :func:`live_steps`.
+    """
+    kind = dict(rows.dtypes)[key]
+    chosen = rows.select(F.col(key).alias("key"), F.col(order).cast("bigint").alias("i"), F.array(*[F.col(v).cast("double") for v in values]).alias("features"), F.col(time).alias("_time"))
+
+    def advance(key: tuple, table: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        before, steps = None if held is None else held[0], []
+        for features in table["features"]:
+            steps.append(0.0 if before is None else float(sum((a - b) ** 2 for a, b in zip(features, before)) ** 0.5))
+            before = [float(x) for x in features]
+        return pd.DataFrame({"key": [key[0]] * len(table), "i": table["i"], "step": steps}), (before,)
+
+    return _keyed(chosen, "_time", late, keep, advance, f"key {kind}, i bigint, step double", "features array<double>")
+
+
+def repeated(rows: DataFrame, content: str, order: str, time: str, late: str = "1 HOUR", keep: str = "1 DAY") -> DataFrame:
+    """``key, i, first``: the copies in a stream with the row whose content they repeat; first rows give none.
+
+    ``key`` is the content's digest.  A content is held until the watermark is
+    ``keep`` past its last copy.
+    """
+    chosen = rows.select(F.sha2(F.col(content).cast("string"), 256).alias("key"), F.col(order).cast("bigint").alias("i"), F.col(time).alias("_time"))
+
+    def advance(key: tuple, table: pd.DataFrame, held: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        first = int(table["i"].iloc[0]) if held is None else held[0]
+        copies = table["i"].iloc[1:] if held is None else table["i"]
+        return pd.DataFrame({"key": [key[0]] * len(copies), "i": copies, "first": [first] * len(copies)}), (first,)
+
+    return _keyed(chosen, "_time", late, keep, advance, "key string, i bigint, first bigint", "first bigint")
 
 
 def windowed_drift(rows: DataFrame, time: str, value: str, late: str = "10 minutes", width: str = "1 day") -> DataFrame:
