@@ -27,6 +27,8 @@ from ..errors import LoomError, invalid
 from ..session import broadcast_bytes, cut_lineage
 
 METRICS = ("euclidean", "cosine", "manhattan")
+# What a search can measure by; the last is for the library's own use.
+NORMS = (*METRICS, "chebyshev")
 CHUNK_ROWS = 2048
 # Cells beside its own that a query row meets at a time, by their place in its order.
 CELL_WAVES = ((0, 8), (8, 64), (64, None))
@@ -50,7 +52,7 @@ def pair_distances(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
         if metric == "euclidean":
             out[at : at + step] = np.sqrt(np.einsum("abc,abc->ab", gap, gap))
         else:
-            out[at : at + step] = np.abs(gap).sum(axis=2)
+            out[at : at + step] = np.abs(gap).max(axis=2) if metric == "chebyshev" else np.abs(gap).sum(axis=2)
     return out
 
 
@@ -353,7 +355,7 @@ def nearest(
     One row per query row, neighbours ordered by (distance, id).  With
     ``skip_self`` a row is never its own neighbour, but its copies are.
     """
-    if metric not in METRICS:
+    if metric not in NORMS:
         raise invalid("metric must be euclidean, cosine, or manhattan")
     if k < 1:
         raise invalid("k must be >= 1")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import invalid
-from ..operators import clusters, correlation, crossset, diagnostics, feature_stats, local_diversity, neighbors, outliers, sampling, spectrum, trajectory
+from ..operators import clusters, correlation, crossset, diagnostics, feature_stats, information, local_diversity, neighbors, outliers, sampling, spectrum, trajectory
 from ..operators import preprocess
 from .results import AnalysisResult
 
@@ -137,6 +137,7 @@ def _property_correlation(df, params):
     held = correlation.cross_validated(df, target, params)
     quality = correlation.scores(held)
     per_feature = correlation.property_pearson(rows).join(correlation.property_spearman(rows), "f")
+    per_feature = per_feature.join(information.mutual_information(rows), "f", "left")
     best = per_feature.agg(F.max(F.abs("pearson"))).first()[0]
     strength, pattern = correlation.verdict(quality["r2"], best)
     return AnalysisResult({"features": per_feature, "held_out": held, "pairs": correlation.distance_versus_property(df, target, params)},

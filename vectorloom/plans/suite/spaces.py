@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import vec
-from ...operators import clusters, correlation, crossset, graph, outliers, preprocess, sampling, spectrum
+from ...operators import clusters, correlation, crossset, graph, information, outliers, preprocess, sampling, spectrum
 from ...operators import neighbors as nn
 from ...operators import trajectory as tj
 from ...session import BROADCAST_BYTES_KEY
@@ -259,6 +259,12 @@ def property_spearman(spark, sf):
     return tidy(correlation.property_spearman(correlation.with_target(_lines_with_price(spark, sf), "price")))
 
 
+def information_of_sum(spark, sf):
+    """What each coordinate tells of the sum of all."""
+    df = embeddings(spark, sf).withColumn("y", F.aggregate("features", F.lit(0.0), lambda a, x: a + x))
+    return tidy(information.mutual_information(correlation.with_target(df, "y")))
+
+
 def _held_out(spark, sf):
     df = embeddings(spark, sf).withColumn("y", F.col("label").cast("double"))
     return correlation.cross_validated(df, "y")
@@ -472,7 +478,7 @@ QUERIES = {
     "alg6_participation_ratio": participation, "alg6_components_needed": components_needed, "alg5_kernel_rows": kernel,
     "alg5_kernel_spectrum": kernel_rank, "alg7_two_nn": two_nn, "alg7_two_nn_bootstrap": two_nn_bootstrap,
     "alg23_feature_pairs_pearson": feature_pairs("pearson"), "alg23_feature_pairs_spearman": feature_pairs("spearman"),
-    "alg25_redundant_groups": redundant, "alg24_feature_order": feature_order, "alg26_property_pearson": property_pearson,
+    "alg25_redundant_groups": redundant, "alg24_feature_order": feature_order, "alg26_property_pearson": property_pearson, "alg26_mutual_information": information_of_sum,
     "alg26_property_spearman": property_spearman, "alg26_ridge_scores": ridge_scores, "alg27_reliability": reliability,
     "alg28_distance_property": distance_property, "alg29_verdicts": verdicts, "alg30_guarded_correlation": guarded,
     "alg31_coverage": coverage, "alg31_coverage_counts": coverage_counts, "alg32_overlap": overlap, "alg34_uncertainty": uncertainty,
@@ -630,3 +636,11 @@ _FPS = f"""WITH RECURSIVE {RAW}, b AS (SELECT i, v, {{start}} AS d FROM e), p AS
  SELECT pick, i, round(distance, 6) + 0.0 AS distance FROM p"""
 SQL["smp2_fps_raw"] = _FPS.format(start="0")
 SQL |= {f"{name}_large": SQL[name] for name in LARGE}
+SQL["alg26_mutual_information"] = f"""WITH {RAW}, t AS (SELECT i, list_sum(v) AS y FROM e), w AS (SELECT i, unnest(v) AS x, unnest(range(0, 64))::INTEGER AS f FROM e),
+ m AS (SELECT f, stddev_pop(x) AS s FROM w GROUP BY f), u AS (SELECT i, f, x / s AS x, y / (SELECT stddev_pop(y) FROM t) AS y FROM w JOIN m USING (f) JOIN t USING (i)),
+ p AS (SELECT a.f, a.i, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM u a JOIN u b ON a.f = b.f AND a.i <> b.i),
+ r AS (SELECT f, i, max(g) AS r FROM (SELECT f, i, greatest(dx, dy) AS g, row_number() OVER (PARTITION BY f, i ORDER BY greatest(dx, dy)) AS n FROM p) WHERE n <= 3 GROUP BY f, i),
+ c AS (SELECT f, i, 1 + count(*) FILTER (WHERE dx < r) AS nx, 1 + count(*) FILTER (WHERE dy < r) AS ny FROM p JOIN r USING (f, i) GROUP BY f, i),
+ h AS (SELECT m, coalesce(sum(1.0::DOUBLE / (m - 1)) FILTER (WHERE m > 1) OVER (ORDER BY m), 0) - 0.5772156649015329 AS psi FROM range(1, (SELECT count(*) + 1 FROM e)) g(m))
+ SELECT f, round(greatest(0, (SELECT psi FROM h WHERE m = (SELECT count(*) FROM e)) + (SELECT psi FROM h WHERE m = 3) - avg(a.psi + b.psi)), 6) + 0.0 AS mutual_information
+ FROM c JOIN h a ON a.m = nx JOIN h b ON b.m = ny GROUP BY f"""
