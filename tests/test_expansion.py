@@ -82,3 +82,35 @@ def test_runs_end_and_resume(spark, tmp_path, optimizer, objective):
     assert len({r["i"] for r in rows}) == 6 and all(sorted(r["numbers"]) == [14, 14, 14, 32] for r in rows)
     again = search.run(frames, frames, radial_histogram(4.0, 6), settings, budget, folder=str(tmp_path / "run"), resume=True)
     assert [r.best_fitness for r in again.rounds] == [r.best_fitness for r in run.rounds]
+
+
+def test_swarm_remembers_its_best_and_goes_where_most_pulls(spark):
+    from pyspark.sql import functions as F
+
+    from vectorloom.expansion import swarm
+
+    state = swarm.newborn(spark, 3)
+    first = spark.createDataFrame([(0, 10, 1.0, [0.0, 0.0]), (0, 11, 5.0, [1.0, 0.0]), (1, 12, 3.0, [4.0, 0.0]), (1, 13, float("-inf"), [9.0, 9.0]), (2, 14, None, [1.0, 1.0])],
+                                  "slot bigint, i bigint, fitness double, at array<double>")
+    state = swarm.advanced(state, first)
+    mean, std = 3.0, float(np.std([1.0, 5.0, 3.0]))
+    told = {r["slot"]: r for r in state.collect()}
+    assert (told[0]["position"], told[0]["best"], told[1]["best"], told[2]["best"]) == (11, 11, 12, None)
+    assert abs(told[0]["best_z"] - (5 - mean) / std) < 1e-12 and told[2]["position"] is None
+    # A worse standing moves the particle, but is not remembered.
+    second = spark.createDataFrame([(0, 20, 1.0, [3.0, 0.0]), (1, 21, 2.0, [4.0, 3.0])], "slot bigint, i bigint, fitness double, at array<double>")
+    state = swarm.advanced(state, second)
+    told = {r["slot"]: r for r in state.collect()}
+    assert (told[0]["position"], told[0]["best"], told[1]["position"], told[1]["best"]) == (20, 11, 21, 21)
+    names = list(swarm.DRAWS)
+
+    def goal(slot, anchor=None, **draws):
+        row = spark.createDataFrame([(slot, 0, *[float(draws.get(n, 0.5)) for n in names])], "slot bigint, child bigint, " + ", ".join(f"{n} double" for n in names))
+        return swarm.targets(state, row, swarm.Pulls(), 0.15, anchor).first()["parent"]
+
+    anchor = spark.createDataFrame([(99, [3.0, 40.0])], "anchor bigint, anchor_at array<double>")
+    assert goal(0, u_reset=0.1) is None and goal(2) is None
+    assert goal(0) == 11 and goal(1, u_leader=0.0, u_change=0.9) == 21 and goal(1, u_leader=0.9) == 11
+    assert goal(0, u_best=0.0, u_leader=0.0) == 20 and goal(0, anchor) == 99 and goal(0, anchor, u_anchor=0.0) == 11
+    spread = swarm.drawn(swarm.newborn(spark, 50), 40, 1, 2).select(*[F.avg(n).alias(n) for n in names], F.min("u_best").alias("least"), F.max("u_best").alias("most")).first()
+    assert all(abs(spread[n] - 0.5) < 0.03 for n in names) and spread["least"] >= 0 and spread["most"] < 1

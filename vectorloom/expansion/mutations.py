@@ -204,22 +204,17 @@ PROPOSED = (
 )
 
 
-def propose(plan: DataFrame, parents: DataFrame, params: dict[str, dict], rules: Rules, seed: int,
-            pull: tuple[float, float, float] | None = None) -> DataFrame:
-    """Candidates of a plan ``i, parent, operator[, best, leader]``.
+def propose(plan: DataFrame, parents: DataFrame, params: dict[str, dict], rules: Rules, seed: int) -> DataFrame:
+    """Candidates of a plan ``i, parent, operator``.
 
-    The plan is small and meets the structures by an equi-join on the parent's
-    id.  ``pull`` draws positions toward the candidate's own best and the
-    leader where the compositions match.
+    The plan is small and meets the structures by an equi-join on the parent's id.
     """
     def packed(name: str, as_id: str):
         return parents.select(F.col("i").alias(as_id), F.struct(
             "numbers", F.flatten("positions").alias("xyz"), F.flatten("cell").alias("box"), "pbc").alias(name))
 
     joined = plan.join(packed("base", "parent"), "parent")
-    if pull is not None:
-        joined = joined.join(packed("own", "best"), "best", "left").join(packed("lead", "leader"), "leader", "left")
-    columns = ["i", "parent", "operator", "base"] + (["own", "lead"] if pull is not None else [])
+    columns = ["i", "parent", "operator", "base"]
 
     def atoms(raw: dict) -> Atoms:
         return Atoms(np.asarray(raw["numbers"]), np.asarray(raw["xyz"], dtype=float).reshape(-1, 3),
@@ -231,22 +226,15 @@ def propose(plan: DataFrame, parents: DataFrame, params: dict[str, dict], rules:
             for row in batch.to_pylist():
                 rng = np.random.default_rng([seed, row["i"]])
                 base = atoms(row["base"])
-                start = base
-                if pull is not None:
-                    move = np.zeros_like(base.xyz)
-                    for weight, other in ((pull[0], row["own"]), (pull[1], row["lead"])):
-                        if other is not None and other["numbers"] == row["base"]["numbers"]:
-                            move += weight * rng.uniform() * (atoms(other).xyz - base.xyz)
-                    start = Atoms(base.numbers, base.xyz + pull[2] * move, base.box, base.pbc)
                 name, made = row["operator"], None
                 # One that does not apply gives way to the others, in an order drawn for the row.
                 for name in [name, *rng.permutation([n for n in CHANGES if n != name and (not params or n in params)]).tolist()]:
-                    made = CHANGES[name](start, rng, params.get(name, {}))
+                    made = CHANGES[name](base, rng, params.get(name, {}))
                     if made is not None:
                         break
                 if made is None:
                     name = "atomic_displacement"
-                    made = displace(start, rng, params.get(name, {}))
+                    made = displace(base, rng, params.get(name, {}))
                 out.append({
                     "i": row["i"], "parent": row["parent"], "operator": name, "numbers": made.numbers.astype(int).tolist(),
                     "positions": made.xyz.tolist(), "cell": made.box.tolist(), "pbc": made.pbc.tolist(), "reason": rules.reason(made, base)})

@@ -7,6 +7,7 @@ folder, which also makes a run resumable.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Callable
@@ -21,7 +22,7 @@ from ..functions.descriptors import Descriptor, compute
 from ..operators.preprocess import bounded_subset
 from ..operators.profile import pooled
 from ..session import cut_lineage, shared_folder
-from . import scoring
+from . import scoring, swarm
 from .mutations import CHANGES, Rules, propose
 
 MAX_POOL = 256
@@ -49,7 +50,7 @@ class Settings:
     duplicate_threshold: float = 1e-8
     selection: str = "structure_fps_v1"
     immigrant_fraction: float = 0.15
-    pulls: tuple[float, float, float] = (1.0, 1.5, 0.5)
+    pulls: swarm.Pulls = swarm.Pulls()
     screening_policy: str = "keep"
     seed: int = 42
 
@@ -217,8 +218,16 @@ def run(
         anchors, radius = target_radius
         far = {r["i"]: r["distance"] for r in scoring.seed_distance(archive.scaled(vectors(seeds)[0]).select("i", "features"), archive.scaled(anchors).select("i", "features")).collect()}
         pool.seed_weights = list(target_weights(np.array([far[i] for i in ids]), radius))
+    particles = swarm.newborn(spark, len(ids)) if settings.optimizer == "pso" else None
+    anchor = None
+    if particles is not None:
+        places = spark.createDataFrame(list(enumerate(ids)), "place bigint, seed bigint")
+        if target_radius is not None:
+            nearest_seed = min(ids, key=lambda i: (far[i], i))
+            at = archive.scaled(vectors(seeds.where(F.col("i") == nearest_seed))[0]).select(F.col("i").alias("anchor"), F.col("features").alias("anchor_at"))
+            anchor = cut_lineage(at)
     state = {"rounds": [], "evaluations": 0, "best": None, "stagnant": 0, "next": max(ids) + 1}
-    stamp = json.dumps([asdict(settings), asdict(budget), ids[:1000], archive.scaler.rows], default=str, sort_keys=True)
+    stamp = json.dumps([asdict(settings), asdict(budget), len(ids), hashlib.sha256(json.dumps(ids).encode()).hexdigest(), archive.scaler.rows], default=str, sort_keys=True)
     if resume:
         # One small text table per round; a round that did not finish left none.
         saved = max((json.loads(r["value"]) for r in spark.read.text(f"{folder}/state-*").collect()), key=lambda s: len(s["state"]["rounds"]))
@@ -228,10 +237,12 @@ def run(
         pool.accepted = saved["pool"]["accepted"]
         pool.fitness = {int(k): v for k, v in saved["pool"]["fitness"].items()}
         pool.best_of = {int(k): v for k, v in saved["pool"]["best_of"].items()}
+        if particles is not None and state["rounds"]:
+            particles = spark.read.schema(swarm.STATE).parquet(f"{folder}/swarm-{len(state['rounds']) - 1}")
     rounds = [Round(**r) for r in state["rounds"]]
 
     def kept(name: str) -> DataFrame | None:
-        paths = [f"{folder}/{name}-{r.generation}" for r in rounds if r.accepted]
+        paths = [f"{folder}/{name}-{r.generation}" for r in rounds if (r.evaluations if name == "evaluated" else r.accepted)]
         return spark.read.parquet(*paths) if paths else None
 
     while True:
@@ -242,13 +253,20 @@ def run(
         generation = len(rounds)
         rng = np.random.default_rng([settings.seed, generation])
         count = min(settings.children_per_seed * len(ids), budget.max_evaluations - state["evaluations"])
-        plan = [(state["next"] + k, *slot) for k, slot in enumerate(pool.plan(settings, count, rng))]
+        start = state["next"]
         state["next"] += count
         earlier = kept("accepted")
-        parents = seeds if earlier is None else seeds.unionByName(earlier.select(*columns))
-        table = spark.createDataFrame(plan, "i bigint, parent bigint, operator string, best bigint, leader bigint").repartition(max(1, min(count // 32, 1024)))
-        pull = settings.pulls if settings.optimizer == "pso" else None
-        proposed = cut_lineage(propose(table, parents, settings.operators, rules, settings.seed, pull))
+        # A particle can be at any candidate that was evaluated; other parents are accepted ones.
+        known = earlier if particles is None else kept("evaluated")
+        parents = seeds if known is None else seeds.unionByName(known.select(*columns))
+        if particles is None:
+            plan = [(start + k, *slot[:2]) for k, slot in enumerate(pool.plan(settings, count, rng))]
+            table = spark.createDataFrame(plan, "i bigint, parent bigint, operator string").repartition(max(1, min(count // 32, 1024)))
+        else:
+            draws = swarm.drawn(particles, settings.children_per_seed, settings.seed, generation)
+            toward = swarm.targets(particles, draws, settings.pulls, settings.immigrant_fraction, anchor)
+            table = cut_lineage(swarm.planned(toward, places, list(settings.operators), settings.children_per_seed, start).where(F.col("i") < start + count))
+        proposed = cut_lineage(propose(table, parents, settings.operators, rules, settings.seed))
         usable = proposed.where("reason IS NULL")
         frames = usable.select(*columns)
         structures, rows = vectors(frames)
@@ -262,6 +280,8 @@ def run(
         room = min(settings.batch_accept, budget.max_accepted - accepted_count)
         best_pool = cut_lineage(scoring.elite(scored, room))
         threshold = spec.get("novelty_threshold")
+        if facts["n"]:
+            usable.join(scored, "i").withColumn("generation", F.lit(generation)).write.mode("overwrite").parquet(f"{folder}/evaluated-{generation}")
         if settings.selection == "local_incremental_maximin_v1" and local and threshold is not None:
             chosen = scoring.select_by_environments(best_pool, structures, rows, current_local, threshold, room)
         else:
@@ -271,11 +291,12 @@ def run(
         if local and threshold is not None:
             mine = rows.join(F.broadcast(picked), "i", "left_semi")
             unique = archived = scoring.unique_environments(mine, current_local, threshold, chosen)
-        dropped = 0
+        dropped, refused = 0, []
         if screen is not None and chosen:
             verdicts = {r["i"]: r["verdict"] for r in screen(frames.join(F.broadcast(picked), "i", "left_semi")).collect()}
             passed = [c for c in chosen if verdicts.get(c) == "pass" or (verdicts.get(c, "unscreenable") == "unscreenable" and settings.screening_policy == "keep")]
-            dropped, chosen = len(chosen) - len(passed), passed
+            refused = [c for c in chosen if c not in set(passed)]
+            dropped, chosen = len(refused), passed
             picked = spark.createDataFrame([(c,) for c in chosen], "i bigint")
             if unique is not None:
                 archived = scoring.unique_environments(rows.join(F.broadcast(picked), "i", "left_semi"), current_local, threshold, chosen)
@@ -288,7 +309,14 @@ def run(
                 keyed = rows.join(members, "i", "left_semi").select((F.col("i") * F.lit(1 << 20) + F.col("row")).alias("i"), "features")
                 local_archive.scaled(keyed).write.mode("overwrite").parquet(f"{folder}/environments-{generation}")
         told = {r["i"]: r["fitness"] for r in scored.join(F.broadcast(picked), "i", "left_semi").select("i", "fitness").collect()}
-        pool.observe(chosen, told, {p[0]: p[1] for p in plan})
+        parent_of = {r["i"]: r["parent"] for r in table.join(F.broadcast(picked), "i", "left_semi").collect()}
+        pool.observe(chosen, told, parent_of)
+        if particles is not None:
+            slot = F.floor((F.col("i") - start) / settings.children_per_seed)
+            told_all = scored.where(~F.col("i").isin(refused)) if refused else scored
+            outcomes = told_all.select("i", "fitness").join(archive.scaled(structures).select("i", F.col("features").alias("at")), "i").withColumn("slot", slot)
+            swarm.advanced(particles, outcomes).write.mode("overwrite").parquet(f"{folder}/swarm-{generation}")
+            particles = spark.read.schema(swarm.STATE).parquet(f"{folder}/swarm-{generation}")
         state["evaluations"] += facts["n"]
         best = facts["best"] if facts["n"] and facts["best"] != float("-inf") else None
         improved = best is not None and (state["best"] is None or best > state["best"] + 1e-9)

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ...expansion import mutations, scoring, search
+from ...expansion import mutations, scoring, search, swarm
 from ...functions.descriptors import composition_vector, radial_histogram
 from ...operators import contacts, local_diversity, profile, sampling
 from ...operators.ordering import positions
@@ -308,6 +308,22 @@ def swarm_run(spark, sf):
     return _small_run(spark, sf, "pso", {"type": "novelty"})
 
 
+SWARM_DRAWS = ("u_reset", "u_best", "u_leader", "u_change", "u_anchor", "u_seed", "u_operator")
+
+
+def swarm_state(spark, sf):
+    """Ten particles after two rounds of given children, and where their next children start."""
+    rows = embeddings(spark, sf).select(F.col("label").cast("bigint").alias("slot"), "i", F.col("features")[0].alias("fitness"), F.col("features").alias("at"))
+    state = swarm.newborn(spark, 10)
+    for rest in (0, 1):
+        state = swarm.advanced(state, rows.where(F.col("i") % 3 == rest))
+    cells = state.select("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("child"))
+    draws = cells.select("slot", "child", *[((F.col("slot") * 37 + F.col("child") * 11 + 29 * k) % 101 / 101).alias(name) for k, name in enumerate(SWARM_DRAWS)])
+    anchor = rows.where("i = 2").select(F.col("i").alias("anchor"), F.col("at").alias("anchor_at"))
+    toward = swarm.targets(state, draws, swarm.Pulls(change=15.0), 0.1, anchor)
+    return tidy(toward.join(state, "slot").select("slot", "child", "parent", "position", "best", "best_z"))
+
+
 def proposals(spark, sf):
     """One proposal of every kind per frame, with the rule it breaks."""
     base = frames(spark, sf).withColumnRenamed("frame_index", "i")
@@ -366,7 +382,7 @@ QUERIES = {
     "snk1_extxyz_round_trip": text_round_trip, "snk2_array_round_trip": array_round_trip, "snk6_committed_result": committed, "snk3_exported_csv": exported,
     "snk4_sampling_report": report, "str1_stream_profile": stream_profile, "str2_stream_histogram": stream_histogram, "str3_stream_first_seen": stream_first_seen,
     "str4_stream_steps": stream_steps, "str4_keyed_steps": keyed_steps, "str3_stream_copies": stream_copies, "gen8_novelty": novelty, "gen13_duplicates": duplicates, "gen11_coverage_gain": coverage_gain, "gen12_coverage_radius": coverage_radius,
-    "gen9_local_novelty": local_novelty, "gen18_random_run": random_run, "gen19_genetic_run": genetic_run, "gen20_swarm_run": swarm_run, "gen3_proposals": proposals,
+    "gen9_local_novelty": local_novelty, "gen18_random_run": random_run, "gen19_genetic_run": genetic_run, "gen20_swarm_run": swarm_run, "gen20_swarm_state": swarm_state, "gen3_proposals": proposals,
     "gen26_space_map": space_map, "gen28_composition_kinds": composition_archive,
 }
 
@@ -423,6 +439,16 @@ SQL = {
     "str4_stream_steps": "SELECT event_id AS i, round(coalesce(abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)), 0), 6) + 0.0 AS step FROM events",
     "str4_keyed_steps": "SELECT event_id AS i, round(coalesce(abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)), 0), 6) + 0.0 AS step FROM events",
     "str3_stream_copies": "SELECT * FROM (SELECT event_id AS i, min(event_id) OVER (PARTITION BY props) AS first FROM events) WHERE i <> first",
+    "gen20_swarm_state": f"""WITH {RAW}, z AS (SELECT label AS slot, i, v, i % 3 AS rest, (v[1] - avg(v[1]) OVER (PARTITION BY i % 3)) / stddev_pop(v[1]) OVER (PARTITION BY i % 3) AS z FROM e),
+ top AS (SELECT * FROM z WHERE rest < 2 QUALIFY row_number() OVER (PARTITION BY rest, slot ORDER BY z DESC, i) = 1),
+ s AS (SELECT p.slot, coalesce(b.i, a.i) AS position, coalesce(b.v, a.v) AS pv, CASE WHEN a.z IS NULL OR b.z > a.z THEN b.i ELSE a.i END AS best,
+  CASE WHEN a.z IS NULL OR b.z > a.z THEN b.v ELSE a.v END AS bv, CASE WHEN a.z IS NULL OR b.z > a.z THEN b.z ELSE a.z END AS best_z
+  FROM range(10) p(slot) LEFT JOIN top a ON a.slot = p.slot AND a.rest = 0 LEFT JOIN top b ON b.slot = p.slot AND b.rest = 1),
+ l AS (SELECT best AS leader, bv AS lv FROM s WHERE best_z IS NOT NULL ORDER BY best_z DESC, slot LIMIT 1), an AS (SELECT v AS av FROM e WHERE i = 2),
+ c AS (SELECT *, list_transform(range(0, 7), lambda k: ((slot * 37 + child * 11 + 29 * k) % 101) / 101) AS u FROM s, range(8) g(child), l, an),
+ d AS (SELECT *, u[2] * 1.0 * coalesce(list_distance(pv, bv), 0) AS db, u[3] * 1.5 * coalesce(list_distance(pv, lv), 0) AS dl, u[4] * 15.0 AS dc, u[5] * coalesce(list_distance(pv, av), 0) AS da FROM c)
+ SELECT slot, child, CASE WHEN best IS NULL OR u[1] < 0.1 THEN NULL WHEN da >= greatest(db, dl, dc) THEN 2 WHEN dl >= greatest(db, dc) THEN leader WHEN db >= dc THEN best ELSE position END AS parent,
+ position, best, round(best_z, 6) + 0.0 AS best_z FROM d""",
     "gen8_novelty": f"WITH {PAIR} SELECT a.i, round(min({L2}), 6) AS distance FROM q a, r b GROUP BY a.i",
     "gen13_duplicates": f"WITH {PAIR}, d AS (SELECT a.i, min({L2}) AS d FROM q a, r b GROUP BY a.i) SELECT count(*) FILTER (WHERE d < 9.0) AS rejected, count(*) AS n FROM d",
     "gen11_coverage_gain": f"WITH {PAIR} SELECT a.i, round(-max({L2}), 6) AS gain FROM q a, r b GROUP BY a.i",
