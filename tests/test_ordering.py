@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vectorloom import session
 from vectorloom.operators import ordering
@@ -61,3 +62,22 @@ def test_histogram_edges(spark):
     assert counts == np.histogram([0, 1, 1, 2, 39.999, 40], bins=40)[0].tolist()
     flat = ordering.histogram(spark.createDataFrame([(3.0,)] * 5, "x double"), [], "x", 4).orderBy("bin").collect()
     assert [r["n"] for r in flat] == np.histogram([3.0] * 5, bins=4)[0].tolist() and flat[0]["lo"] == 2.5
+
+
+def test_rows_of_a_heavy_value_stay_spread(spark, monkeypatch):
+    """With nine rows in ten of one value no task has more than twice the median's rows."""
+    monkeypatch.setattr(session, "SMALL_BYTES", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        x = [5.0 if k % 10 else float(k) for k in range(8000)] + [float("nan")] * 40
+        df = spark.createDataFrame([(k, v) for k, v in enumerate(x)] + [(-1, None)], "i bigint, x double").repartition(8)
+        ranked = ordering.average_ranks(df, [], "x")
+        rows = ranked.select("i", "x", "rank", F.spark_partition_id().alias("p")).collect()
+        sizes = sorted(np.bincount([r["p"] for r in rows if r["x"] == 5.0]).tolist())
+        assert sum(sizes) == 7200 and sizes[-1] <= 2 * np.median([n for n in sizes if n])
+        v = np.array(x[:8000])
+        got = {r["i"]: r["rank"] for r in rows}
+        assert len(got) == 8040 and all(got[k] == (v < v[k]).sum() + ((v == v[k]).sum() + 1) / 2 for k in range(0, 8000, 37))
+        assert {got[k] for k in range(8000, 8040)} == {8000 + 41 / 2}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_width
+from ..session import cut_lineage, shuffle_width
 
 
 def _sliced(df: DataFrame, group: Sequence[str], value: str, parts: int) -> DataFrame:
@@ -95,6 +95,8 @@ def exact_quantiles(
 
 
 SMALL_ROWS = 1 << 20
+# A value is heavy from this share of a task's rows on: one in four.
+HEAVY_SHARE = 4
 
 
 def quantile_values(df: DataFrame, value: str, shares: Sequence[float], rows: int | None = None) -> list[float | None]:
@@ -108,12 +110,30 @@ def quantile_values(df: DataFrame, value: str, shares: Sequence[float], rows: in
     return [rows[0][n] for n in names] if rows else [None] * len(shares)
 
 
+def join_back(df: DataFrame, counted: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Joins what was worked out per value to the rows that have it; ``counted`` has the rows' number as ``copies``.
+
+    A value with more rows than a share of a task's is broadcast, so its rows
+    stay where they are; there are fewer such values than that share allows,
+    whatever the data.  Only the rest of the rows is shuffled.
+    """
+    parts = shuffle_width(df)
+    if parts <= 1:
+        return df.join(counted.drop("copies"), list(on))
+    counted = cut_lineage(counted)
+    total = counted.agg(F.sum("copies")).first()[0] or 0
+    often = F.col("copies") * F.lit(HEAVY_SHARE * parts) > F.lit(total)
+    heavy, light = (F.broadcast(counted.where(often).drop("copies")), counted.where(~often).drop("copies"))
+    rest = df.join(F.broadcast(counted.where(often).select(*on)), list(on), "left_anti")
+    return df.join(heavy, list(on)).unionByName(rest.join(light, list(on)))
+
+
 def average_ranks(df: DataFrame, group: Sequence[str], value: str, rank: str = "rank") -> DataFrame:
     """Adds 1-based ranks with ties averaged."""
     keyed, keys = _keyed(df, group)
     counted = value_counts(keyed.select(*keys, value), keys, value)
-    ranks = counted.select(*keys, value, (F.col("before") + (F.col("copies") + 1) / 2.0).alias(rank))
-    return keyed.join(ranks, [*keys, value]).drop("_all")
+    ranks = counted.select(*keys, value, "copies", (F.col("before") + (F.col("copies") + 1) / 2.0).alias(rank))
+    return join_back(keyed, ranks, [*keys, value]).drop("_all")
 
 
 def positions(df: DataFrame, key: str, name: str = "pos") -> DataFrame:

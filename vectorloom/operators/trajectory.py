@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import insufficient, invalid
 from ..functions import vec
 from ..params import choice, float_param
-from .ordering import previous_rows, quantile_values, running_totals
+from .ordering import join_back, previous_rows, quantile_values, running_totals
 
 EVENT_METHODS = ("mad", "zscore", "percentile")
 EVENT_DETAIL_ROWS = 200
@@ -101,8 +101,8 @@ def events(stepped: DataFrame, threshold: Threshold, order: str = "i") -> DataFr
     # Place among all steps, equal steps in series order.
     ties = running_totals(
         real.groupBy("step_distance").agg(F.count(F.lit(1)).alias("copies")).withColumn("_all", F.lit(0)),
-        ["_all"], "step_distance", "copies").select("step_distance", "before")
-    hits = real.where(F.col("step_distance") > F.lit(threshold.value)).join(ties, "step_distance")
+        ["_all"], "step_distance", "copies").select("step_distance", "copies", "before")
+    hits = join_back(real.where(F.col("step_distance") > F.lit(threshold.value)), ties, ["step_distance"])
     hits = hits.withColumnRenamed("before", "smaller").withColumn("_one", F.lit(1))
     # Equal steps rank in series order, still cut into ranges of the order key.
     hits = running_totals(hits, ["step_distance"], order, "_one")

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...functions import elements, geometry
-from ...operators import contacts, profile
+from ...functions import elements, geometry, vec
+from ...operators import blocks, contacts, profile
 from .inputs import embeddings, table, tidy
 
 
@@ -190,7 +190,20 @@ def properties(spark, sf):
     return tidy(rows.join(profile.frame_facts(f).select("frame_index", "energy_per_atom", "force_max"), "frame_index", "left"))
 
 
+def block_space(spark, sf):
+    """All frames by composition, forces and the summary of their vectors."""
+    space = blocks.blocks_space(("composition", "force", "descriptor_summary"), frames(spark, sf), embeddings(spark, sf).select("i", "features"), {"force": 2.0}, "standardized")
+    return tidy(vec.unpivot(space, "i"))
+
+
+def cell_block_space(spark, sf):
+    """The periodic frames that have an energy, by cell and energy per atom."""
+    known = frames(spark, sf).where("energy IS NOT NULL AND cell[0][0] > 0")
+    return tidy(vec.unpivot(blocks.blocks_space(("lattice", "energy"), known, weights={"lattice": 0.5}, scaling="standardized"), "i"))
+
+
 QUERIES = {
+    "pre5_blocks": block_space, "pre5_cell_blocks": cell_block_space,
     "prj1_frame_summary": summary, "agg1_totals": totals, "agg2_elements": element_totals, "agg3_compositions": compositions,
     "agg4_formulas": formulas, "agg5_element_histogram": element_histogram, "agg8_force_summary": force_summary, "agg6_force_histogram": force_histogram,
     "agg17_volume_summary": volume_summary, "agg9_declared": declared, "agg10_health_counts": checks, "agg11_frame_checks": simple_checks,
@@ -276,3 +289,12 @@ SQL = {
     "join4_properties": f"""WITH {BASE} SELECT a.frame_index, row, round(sqrt(fx ** 2 + fy ** 2 + fz ** 2), 6) + 0.0 AS force_magnitude, round(CASE WHEN a.label <> 4 THEN v[64] * 100 END / a.n, 6) + 0.0 AS energy_per_atom,
  round(fmax, 5) + 0.0 AS force_max FROM atoms a JOIN cells c USING (frame_index) JOIN fa USING (frame_index)""",
 }
+
+_SCALED = """SELECT frame_index AS i, f::INTEGER AS f, round((x - avg(x) OVER (PARTITION BY f)) / CASE WHEN stddev_pop(x) OVER (PARTITION BY f) > 1e-9 THEN stddev_pop(x) OVER (PARTITION BY f) ELSE 1 END * w, 6) + 0.0 AS x FROM b"""
+SQL["pre5_blocks"] = f"""WITH {BASE}, sh AS (SELECT frame_index, unnest([avg((s = 'C')::INTEGER), avg((s = 'H')::INTEGER), avg((s = 'O')::INTEGER), avg((s = 'Si')::INTEGER)]) AS x, unnest(range(0, 4)) AS f, 1 / sqrt(4) AS w FROM atoms GROUP BY frame_index),
+ fo AS (SELECT frame_index, unnest([fmean, fmax, fstd]) AS x, unnest(range(4, 7)) AS f, 2 / sqrt(3) AS w FROM fa),
+ ds AS (SELECT frame_index, unnest([list_avg(v), list_stddev_pop(v), sqrt(list_sum(list_transform(v, lambda x: x * x)))]) AS x, unnest(range(7, 10)) AS f, 1 / sqrt(3) AS w FROM fr),
+ b AS (SELECT * FROM sh UNION ALL SELECT * FROM fo UNION ALL SELECT * FROM ds) {_SCALED}"""
+SQL["pre5_cell_blocks"] = f"""WITH {BASE}, k AS (SELECT * FROM cells WHERE solid AND label <> 4),
+ b AS (SELECT frame_index, unnest([A, sqrt(t * t + 400), 20, 90, 90, degrees(acos(t / sqrt(t * t + 400)))]) AS x, unnest(range(0, 6)) AS f, 0.5 / sqrt(6) AS w FROM k
+  UNION ALL SELECT frame_index, v[64] * 100 / n, 6, 1 FROM k) {_SCALED}"""
