@@ -217,8 +217,8 @@ def frame_geometry(frames: DataFrame) -> DataFrame:
     return _by_frame(frames, kernel, "frame_index bigint, min_distance double, nonphysical boolean")
 
 
-def boundary_ghosts(frames: DataFrame, cutoff: float, limit: int = 3000) -> DataFrame:
-    """Images of atoms within reach of a real atom, for display."""
+def boundary_ghosts(frames: DataFrame, cutoff: float, limit: int | None = None) -> DataFrame:
+    """Images of atoms within reach of a real atom: all of them, or the first ``limit`` of a frame for a display."""
 
     def kernel(index, numbers, xyz, box, pbc):
         points, repeats = prepared(xyz, box, pbc)

@@ -163,12 +163,11 @@ def _spread_pick(place: Column, count: Column, wanted: Column) -> Column:
 def distribution_sample(df: DataFrame, params: dict | None = None) -> DataFrame:
     """Evenly spread values per feature in row order, outliers kept first.
 
-    A sampling operator: its capacity bounds the drawing, not the statistics.
+    A sampling operator: ``distribution_sample_size`` is how many values of a
+    feature are drawn, as many as the caller asks for.  Statistics take all.
     """
     params = params or {}
-    size = min(int_param(params, "distribution_sample_size", 20_000), 20_000)
-    counts = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d")).first()
-    capacity = min(counts["n"], size, max(1, 2_000_000 // max(counts["d"], 1)))
+    capacity = min(df.count(), int_param(params, "distribution_sample_size", 20_000))
     long = long_values(df, "i").where(F.col("x").isNotNull())
     middle = quantiles(long)
     low, high = F.col("p25") - FENCE * F.col("iqr"), F.col("p75") + FENCE * F.col("iqr")

@@ -23,7 +23,6 @@ FRAME_SCHEMA = (
 EXTREME_FORCE = 50.0
 NET_FORCE = 1e-3
 BINS = 40
-FINDINGS_SHOWN = 5000
 CHECKS = ("missing", "energy_anomaly", "extreme_force", "net_force_violation", "invalid_cell", "nonphysical", "duplicate")
 
 
@@ -103,9 +102,16 @@ def check_counts(checked: DataFrame) -> DataFrame:
     return checked.agg(*[F.count_if(c).alias(c) for c in CHECKS])
 
 
-def findings(checked: DataFrame, check: str) -> DataFrame:
-    """Frames failing one check; the list shown is bounded, counts are not."""
-    return checked.where(F.col(check)).select("frame_index").orderBy("frame_index").limit(FINDINGS_SHOWN)
+def findings(checked: DataFrame, check: str, shown: int | None = None) -> DataFrame:
+    """Frames failing one check: all of them, or the first ``shown`` for a display."""
+    failed = checked.where(F.col(check)).select("frame_index").orderBy("frame_index")
+    return failed if shown is None else failed.limit(shown)
+
+
+def all_findings(checked: DataFrame) -> DataFrame:
+    """``frame_index, check``: a row for every check that a frame fails."""
+    failed = F.filter(F.array(*[F.when(F.col(c), F.lit(c)) for c in CHECKS]), lambda c: c.isNotNull())
+    return checked.select("frame_index", F.explode(failed).alias("check"))
 
 
 def totals(frames: DataFrame) -> DataFrame:

@@ -93,6 +93,13 @@ def findings(spark, sf):
     return profile.findings(profile.health(frames(spark, sf)), "missing")
 
 
+def every_finding(spark, sf):
+    """All checks over all frames, one in fifty of which stands twice."""
+    once = frames(spark, sf)
+    again = once.where("frame_index % 50 = 0").withColumn("frame_index", F.col("frame_index") + 1_000_000)
+    return profile.all_findings(profile.health(once.unionByName(again)))
+
+
 def periodicity(spark, sf):
     return profile.periodicity(frames(spark, sf))
 
@@ -207,7 +214,7 @@ QUERIES = {
     "prj1_frame_summary": summary, "agg1_totals": totals, "agg2_elements": element_totals, "agg3_compositions": compositions,
     "agg4_formulas": formulas, "agg5_element_histogram": element_histogram, "agg8_force_summary": force_summary, "agg6_force_histogram": force_histogram,
     "agg17_volume_summary": volume_summary, "agg9_declared": declared, "agg10_health_counts": checks, "agg11_frame_checks": simple_checks,
-    "agg19_findings": findings, "agg18_periodicity": periodicity, "fn7_cell_parameters": cell_shapes, "fn8_wrapped": wrapped,
+    "agg19_findings": findings, "agg19_every_finding": every_finding, "agg18_periodicity": periodicity, "fn7_cell_parameters": cell_shapes, "fn8_wrapped": wrapped,
     "fn9_minimum_image": minimum_image, "fn10_image_limits": image_limits, "agg15_frame_geometry": frame_geometry, "join10_contacts": graph,
     "alg12_coordination": coordination, "fn11_ghosts": ghosts, "flt14_group_labels": labels, "agg22_fractions": fractions,
     "agg23_force_block": force_block, "flt13_atom_rows": atoms, "prj2_atom_page": atom_page, "agg20_pooled": pooled, "fn2_radii": radii,
@@ -258,7 +265,13 @@ SQL = {
  FROM cells JOIN fa USING (frame_index) JOIN nf USING (frame_index) LEFT JOIN np USING (frame_index)""",
     "agg11_frame_checks": f"""WITH {BASE} SELECT frame_index, label <> 4 AND v[64] >= 0 AS energy_anomaly, fmax > 50 AS extreme_force, net > 1e-3 AS net_force_violation, NOT solid AS invalid_cell
  FROM cells JOIN fa USING (frame_index) JOIN nf USING (frame_index)""",
-    "agg19_findings": "SELECT vec_id AS frame_index FROM embeddings WHERE label = 4 ORDER BY vec_id LIMIT 5000",
+    "agg19_every_finding": f"""WITH {PAIRS}, np AS (SELECT frame_index, bool_or(d < 0.7 * rr) AS bad FROM pr GROUP BY 1),
+ k AS (SELECT frame_index, unnest([CASE WHEN label = 4 THEN 'missing' END, CASE WHEN label <> 4 AND v[64] >= 0 THEN 'energy_anomaly' END, CASE WHEN fmax > 50 THEN 'extreme_force' END,
+  CASE WHEN net > 1e-3 THEN 'net_force_violation' END, CASE WHEN NOT solid THEN 'invalid_cell' END, CASE WHEN bad THEN 'nonphysical' END]) AS "check"
+  FROM cells JOIN fa USING (frame_index) JOIN nf USING (frame_index) LEFT JOIN np USING (frame_index))
+ SELECT frame_index, "check" FROM k WHERE "check" IS NOT NULL UNION ALL SELECT frame_index + 1000000, "check" FROM k WHERE "check" IS NOT NULL AND frame_index % 50 = 0
+ UNION ALL SELECT vec_id + 1000000, 'duplicate' FROM embeddings WHERE vec_id % 50 = 0""",
+    "agg19_findings": "SELECT vec_id AS frame_index FROM embeddings WHERE label = 4",
     "agg18_periodicity": f"SELECT {AXES} AS axes, count(*) AS frames, 'mixed' AS kind FROM embeddings GROUP BY 1",
     "fn7_cell_parameters": f"""WITH {BASE} SELECT frame_index, A AS a, round(sqrt(t * t + 400), 6) + 0.0 AS b, 20.0::DOUBLE AS c, 90.0::DOUBLE AS alpha, 90.0::DOUBLE AS beta,
  round(degrees(acos(t / sqrt(t * t + 400))), 6) + 0.0 AS gamma FROM cells WHERE solid""",
