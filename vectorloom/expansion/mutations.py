@@ -134,6 +134,14 @@ CHANGES: dict[str, Change] = {
 }
 
 
+# Genes that can stand in for a change's amplitude, and the parameter each one sets.
+GENES = ("sigma", "strain", "shear")
+AMPLITUDES = {
+    "atomic_displacement": ("sigma", "max_sigma"), "isotropic_strain": ("strain", "max_strain"), "anisotropic_strain": ("strain", "max_strain"),
+    "cell_shear": ("shear", "max_shear"),
+}
+
+
 @dataclass(frozen=True)
 class Rules:
     """Geometry rules; the first one broken is the reason given."""
@@ -208,13 +216,24 @@ def propose(plan: DataFrame, parents: DataFrame, params: dict[str, dict], rules:
     """Candidates of a plan ``i, parent, operator``.
 
     The plan is small and meets the structures by an equi-join on the parent's id.
+    It may carry ``genes`` in place of the given amplitudes, and ``tries``: the
+    changes in the order in which one that does not apply gives way to the next.
     """
+    bred = [name for name in ("genes", "tries") if name in plan.columns]
+
     def packed(name: str, as_id: str):
         return parents.select(F.col("i").alias(as_id), F.struct(
             "numbers", F.flatten("positions").alias("xyz"), F.flatten("cell").alias("box"), "pbc").alias(name))
 
     joined = plan.join(packed("base", "parent"), "parent")
-    columns = ["i", "parent", "operator", "base"]
+    columns = ["i", "parent", "operator", "base", *bred]
+
+    def settings(name: str, row: dict) -> dict:
+        given = params.get(name, {})
+        if row.get("genes") is None or name not in AMPLITUDES:
+            return given
+        gene, parameter = AMPLITUDES[name]
+        return {**given, parameter: row["genes"][GENES.index(gene)]}
 
     def atoms(raw: dict) -> Atoms:
         return Atoms(np.asarray(raw["numbers"]), np.asarray(raw["xyz"], dtype=float).reshape(-1, 3),
@@ -227,14 +246,15 @@ def propose(plan: DataFrame, parents: DataFrame, params: dict[str, dict], rules:
                 rng = np.random.default_rng([seed, row["i"]])
                 base = atoms(row["base"])
                 name, made = row["operator"], None
-                # One that does not apply gives way to the others, in an order drawn for the row.
-                for name in [name, *rng.permutation([n for n in CHANGES if n != name and (not params or n in params)]).tolist()]:
-                    made = CHANGES[name](base, rng, params.get(name, {}))
+                # One that does not apply gives way to the others, in an order that is given or drawn for the row.
+                tries = row.get("tries") or [name, *rng.permutation([n for n in CHANGES if n != name and (not params or n in params)]).tolist()]
+                for name in tries:
+                    made = CHANGES[name](base, rng, settings(name, row))
                     if made is not None:
                         break
                 if made is None:
                     name = "atomic_displacement"
-                    made = displace(base, rng, params.get(name, {}))
+                    made = displace(base, rng, settings(name, row))
                 out.append({
                     "i": row["i"], "parent": row["parent"], "operator": name, "numbers": made.numbers.astype(int).tolist(),
                     "positions": made.xyz.tolist(), "cell": made.box.tolist(), "pbc": made.pbc.tolist(), "reason": rules.reason(made, base)})

@@ -1,6 +1,6 @@
 """The round loop: plan proposals, judge them as DataFrames, keep the best.
 
-The driver holds ids, fitness values and counters.  Structures, vectors and
+The driver holds ids and counters.  Structures, vectors, genomes and
 archives stay in tables; each round's accepted rows are written to the run's
 folder, which also makes a run resumable.
 """
@@ -22,7 +22,7 @@ from ..functions.descriptors import Descriptor, compute
 from ..operators.preprocess import bounded_subset
 from ..operators.profile import pooled
 from ..session import cut_lineage, shared_folder
-from . import scoring, swarm
+from . import breeding, scoring, swarm
 from .mutations import CHANGES, Rules, propose
 
 MAX_POOL = 256
@@ -51,6 +51,7 @@ class Settings:
     selection: str = "structure_fps_v1"
     immigrant_fraction: float = 0.15
     pulls: swarm.Pulls = swarm.Pulls()
+    breeding: breeding.Breeding = breeding.Breeding()
     screening_policy: str = "keep"
     seed: int = 42
 
@@ -70,67 +71,23 @@ class Round:
     archived_unique_novel_environments: int | None
 
 
-# --- proposal plans ----------------------------------------------------------
+# --- parents of a random round -------------------------------------------------
 
 
-def rank_weights(fitness: np.ndarray) -> np.ndarray:
-    """Better ranks weigh quadratically more."""
-    order = np.argsort(-fitness, kind="stable")
-    weight = np.empty(len(fitness))
-    weight[order] = (len(fitness) - np.arange(len(fitness))) ** 2.0
-    return weight / weight.sum()
+def chosen_parents(seeds: list[int], accepted: list[int], slots: int, rng: np.random.Generator, weights: np.ndarray | None = None) -> list[int]:
+    """A parent per slot, none twice while there are others.
 
-
-def target_weights(distance: np.ndarray, radius: float) -> np.ndarray:
-    """Seeds near the anchors are preferred."""
-    weight = np.exp(-((distance / max(radius, 1e-12)) ** 2))
-    return weight / weight.sum() if weight.sum() > 0 else np.full(len(weight), 1.0 / len(weight))
-
-
-@dataclass
-class Pool:
-    """Parent ids and what is known of them."""
-
-    seeds: list[int]
-    seed_weights: list[float] | None = None
-    accepted: list[int] = field(default_factory=list)
-    fitness: dict[int, float] = field(default_factory=dict)
-    best_of: dict[int, int] = field(default_factory=dict)
-
-    def plan(self, settings: Settings, count: int, rng: np.random.Generator) -> list[tuple]:
-        """``(parent, operator, best, leader)`` per slot."""
-        names = list(settings.operators)
-        if settings.optimizer == "random":
-            parents = self._seed_draw(count, rng)
-            if settings.reuse_accepted_seeds and self.accepted:
-                half = count // 2
-                parents[:half] = rng.choice(self.accepted, half)
-                parents = list(rng.permutation(parents))
-        else:
-            immigrants = int(round(settings.immigrant_fraction * count))
-            members = self.seeds + self.accepted
-            value = np.array([self.fitness.get(m, 0.0) for m in members])
-            bred = rng.choice(members, count - immigrants, p=rank_weights(value))
-            parents = list(bred) + list(self._seed_draw(immigrants, rng))
-        leader = max(self.fitness, key=self.fitness.get) if self.fitness else None
-        return [(int(p), str(rng.choice(names)), self.best_of.get(int(p)), leader) for p in parents]
-
-    def _seed_draw(self, count: int, rng: np.random.Generator) -> list[int]:
-        if self.seed_weights is not None:
-            return list(rng.choice(self.seeds, count, p=self.seed_weights))
-        rounds = -(-count // len(self.seeds)) if count else 0
-        return [s for _r in range(rounds) for s in rng.permutation(self.seeds)][:count]
-
-    def observe(self, chosen: list[int], fitness: dict[int, float], parent_of: dict[int, int]) -> None:
-        self.accepted.extend(chosen)
-        self.fitness.update({c: fitness[c] for c in chosen})
-        for c in chosen:
-            p = parent_of[c]
-            if fitness[c] > self.fitness.get(self.best_of.get(p), float("-inf")):
-                self.best_of[p] = c
-        limit = min(MAX_POOL, 4 * len(self.seeds))
-        if len(self.accepted) > limit:
-            self.accepted = sorted(sorted(self.accepted, key=lambda c: (-self.fitness[c], c))[:limit])
+    With accepted ones, half the slots are theirs (one at least), and more where
+    the seeds are too few; the order is drawn.  Weighted seeds are drawn with
+    repeats, as a target may leave few with any weight.
+    """
+    if weights is not None:
+        return [int(s) for s in rng.choice(seeds, slots, p=weights)]
+    theirs = min(len(accepted), max(1, slots // 2)) if accepted else 0
+    ours = min(len(seeds), slots - theirs)
+    theirs += min(slots - theirs - ours, len(accepted) - theirs)
+    picked = [int(x) for group, n in ((accepted, theirs), (seeds, ours)) if n for x in rng.choice(group, n, replace=False)]
+    return [picked[k] for k in rng.permutation(len(picked))]
 
 
 # --- the loop ----------------------------------------------------------------
@@ -177,6 +134,28 @@ def seed_pool(frames: DataFrame, rows: int, limit: int, anchors: DataFrame | Non
     return first.unionByName(picked.join(anchors.select(position), position, "left_anti"))
 
 
+def _bred(spark, settings: Settings, pool: DataFrame, places: DataFrame, near: np.ndarray, start: int, generation: int, tallies: dict,
+          target: tuple[DataFrame, float] | None, archive: scoring.Archive) -> DataFrame:
+    """The children of a genetic round; of the pool only its size, or distances to the target, reach the driver."""
+    size = pool.count()
+    how = settings.breeding
+    weights = breeding.rank_weights(size, how)
+    beside: list[float] = []
+    if target is not None and size >= how.warm_pool:
+        anchors, radius = target
+        gaps = scoring.seed_distance(pool.select(F.col("rank").alias("i"), F.col("at").alias("features")), archive.scaled(anchors).select("i", "features")) if size else None
+        at = {r["i"]: r["distance"] for r in gaps.collect()} if size else {}
+        weights = weights * breeding.nearness(np.array([at[k] for k in range(len(weights))]), radius)
+        beside = near.tolist()
+    factors = None
+    if how.weigh_success:
+        rows = spark.createDataFrame([(n, *t) for n, t in tallies.items()], "operator string, proposed bigint, accepted bigint")
+        factors = {r["operator"]: r["factor"] for r in breeding.success_factors(rows).collect()}
+    fresh = breeding.immigrant_slots(len(near), size, settings.immigrant_fraction, how.warm_pool)
+    draws = breeding.drawn(spark, len(near), settings.children_per_seed, start, len(settings.operators), settings.seed, generation)
+    return breeding.children(draws, pool, places, settings.operators, weights.tolist(), near.tolist(), fresh, how, factors, beside)
+
+
 def run(
     seeds: DataFrame,
     reference: DataFrame,
@@ -197,6 +176,8 @@ def run(
     if set(settings.operators) - set(CHANGES) or not settings.operators:
         raise invalid("unknown or no structure change", known=sorted(CHANGES))
     spec = scoring.check_objective(settings.objective)
+    if not 0.0 <= settings.immigrant_fraction <= breeding.MOST_IMMIGRANTS:
+        raise invalid("immigrant_fraction must be in [0, 0.9]")
     if settings.optimizer not in ("random", "genetic", "pso"):
         raise invalid("optimizer must be random, genetic or pso")
     spark = seeds.sparkSession
@@ -213,20 +194,24 @@ def run(
     archive = scoring.Archive.of(cut_lineage(whole))
     local_archive = scoring.Archive.of(atoms.select((F.col("i") * F.lit(1 << 20) + F.col("row")).alias("i"), "features")) if local else None
     ids = sorted(r["i"] for r in seeds.select("i").collect())
-    pool = Pool(ids)
+    pooling = settings.optimizer == "genetic" or (settings.optimizer == "random" and settings.reuse_accepted_seeds and target_radius is None)
+    parent_pool = breeding.newborn(spark) if pooling else None
+    limit = min(MAX_POOL, 4 * len(ids))
+    near = np.ones(len(ids))
     if target_radius is not None:
         anchors, radius = target_radius
         far = {r["i"]: r["distance"] for r in scoring.seed_distance(archive.scaled(vectors(seeds)[0]).select("i", "features"), archive.scaled(anchors).select("i", "features")).collect()}
-        pool.seed_weights = list(target_weights(np.array([far[i] for i in ids]), radius))
+        near = breeding.nearness(np.array([far[i] for i in ids]), radius)
+        near = near if near.sum() > 0 else np.ones(len(ids))
     particles = swarm.newborn(spark, len(ids)) if settings.optimizer == "pso" else None
     anchor = None
+    places = spark.createDataFrame(list(enumerate(ids)), "place bigint, seed bigint")
     if particles is not None:
-        places = spark.createDataFrame(list(enumerate(ids)), "place bigint, seed bigint")
         if target_radius is not None:
             nearest_seed = min(ids, key=lambda i: (far[i], i))
             at = archive.scaled(vectors(seeds.where(F.col("i") == nearest_seed))[0]).select(F.col("i").alias("anchor"), F.col("features").alias("anchor_at"))
             anchor = cut_lineage(at)
-    state = {"rounds": [], "evaluations": 0, "best": None, "stagnant": 0, "next": max(ids) + 1}
+    state = {"rounds": [], "evaluations": 0, "best": None, "stagnant": 0, "next": max(ids) + 1, "tallies": {n: [0, 0] for n in settings.operators}}
     stamp = json.dumps([asdict(settings), asdict(budget), len(ids), hashlib.sha256(json.dumps(ids).encode()).hexdigest(), archive.scaler.rows], default=str, sort_keys=True)
     if resume:
         # One small text table per round; a round that did not finish left none.
@@ -234,9 +219,8 @@ def run(
         if saved["stamp"] != stamp:
             raise LoomError(ANALYSIS_STALE, "the saved run was made from other inputs or settings")
         state = saved["state"]
-        pool.accepted = saved["pool"]["accepted"]
-        pool.fitness = {int(k): v for k, v in saved["pool"]["fitness"].items()}
-        pool.best_of = {int(k): v for k, v in saved["pool"]["best_of"].items()}
+        if pooling and state["rounds"]:
+            parent_pool = spark.read.schema(breeding.STATE).parquet(f"{folder}/pool-{len(state['rounds']) - 1}")
         if particles is not None and state["rounds"]:
             particles = spark.read.schema(swarm.STATE).parquet(f"{folder}/swarm-{len(state['rounds']) - 1}")
     rounds = [Round(**r) for r in state["rounds"]]
@@ -259,9 +243,15 @@ def run(
         # A particle can be at any candidate that was evaluated; other parents are accepted ones.
         known = earlier if particles is None else kept("evaluated")
         parents = seeds if known is None else seeds.unionByName(known.select(*columns))
-        if particles is None:
-            plan = [(start + k, *slot[:2]) for k, slot in enumerate(pool.plan(settings, count, rng))]
+        if settings.optimizer == "random":
+            # The pool holds at most `limit` parents.
+            feedback = [r["i"] for r in parent_pool.orderBy("rank").select("i").collect()] if pooling else []
+            slots = chosen_parents(ids, feedback, len(ids), rng, near / near.sum() if target_radius is not None else None)
+            mothers = [p for p in slots for _child in range(settings.children_per_seed)][:count]
+            plan = [(start + k, p, str(rng.choice(list(settings.operators)))) for k, p in enumerate(mothers)]
             table = spark.createDataFrame(plan, "i bigint, parent bigint, operator string").repartition(max(1, min(count // 32, 1024)))
+        elif settings.optimizer == "genetic":
+            table = cut_lineage(_bred(spark, settings, parent_pool, places, near, start, generation, state["tallies"], target_radius, archive).where(F.col("i") < start + count))
         else:
             draws = swarm.drawn(particles, settings.children_per_seed, settings.seed, generation)
             toward = swarm.targets(particles, draws, settings.pulls, settings.immigrant_fraction, anchor)
@@ -308,9 +298,17 @@ def run(
             if local:
                 keyed = rows.join(members, "i", "left_semi").select((F.col("i") * F.lit(1 << 20) + F.col("row")).alias("i"), "features")
                 local_archive.scaled(keyed).write.mode("overwrite").parquet(f"{folder}/environments-{generation}")
-        told = {r["i"]: r["fitness"] for r in scored.join(F.broadcast(picked), "i", "left_semi").select("i", "fitness").collect()}
-        parent_of = {r["i"]: r["parent"] for r in table.join(F.broadcast(picked), "i", "left_semi").collect()}
-        pool.observe(chosen, told, parent_of)
+        if pooling:
+            order = spark.createDataFrame([(c, k) for k, c in enumerate(chosen)], "i bigint, place bigint")
+            nothing = F.lit(None).cast("array<double>")
+            genomes = table.select("i", *([F.col("genes"), F.col("shares")] if "genes" in table.columns else [nothing.alias("genes"), nothing.alias("shares")]))
+            arrived = archive.scaled(structures).select("i", F.col("features").alias("at")).join(F.broadcast(order), "i").join(genomes, "i")
+            breeding.renewed(parent_pool, arrived, limit).write.mode("overwrite").parquet(f"{folder}/pool-{generation}")
+            parent_pool = spark.read.schema(breeding.STATE).parquet(f"{folder}/pool-{generation}")
+        if settings.optimizer == "genetic":
+            for r in proposed.join(F.broadcast(picked.withColumn("_in", F.lit(1))), "i", "left").groupBy("operator").agg(F.count(F.lit(1)).alias("n"), F.count("_in").alias("k")).collect():
+                had = state["tallies"].setdefault(r["operator"], [0, 0])
+                state["tallies"][r["operator"]] = [had[0] + r["n"], had[1] + r["k"]]
         if particles is not None:
             slot = F.floor((F.col("i") - start) / settings.children_per_seed)
             told_all = scored.where(~F.col("i").isin(refused)) if refused else scored
@@ -327,9 +325,7 @@ def run(
             # Every proposal broke a rule; count the attempt so the run ends.
             state["evaluations"] += count
         state["rounds"] = [asdict(r) for r in rounds]
-        known = {"accepted": [int(a) for a in pool.accepted], "fitness": {int(k): float(v) for k, v in pool.fitness.items()},
-                 "best_of": {int(k): int(v) for k, v in pool.best_of.items()}}
-        body = json.dumps({"stamp": stamp, "state": state, "pool": known})
+        body = json.dumps({"stamp": stamp, "state": state})
         spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/state-{generation}")
 
 

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ...expansion import mutations, scoring, search, swarm
+from ...expansion import breeding, mutations, scoring, search, swarm
 from ...functions.descriptors import composition_vector, radial_histogram
 from ...operators import contacts, local_diversity, profile, sampling
 from ...operators.ordering import positions
@@ -324,6 +324,37 @@ def swarm_state(spark, sf):
     return tidy(toward.join(state, "slot").select("slot", "child", "parent", "position", "best", "best_z"))
 
 
+def parent_pool(spark, sf):
+    """Sixteen parents kept of the embeddings: those of labels below five were there, the others arrive."""
+    rows = embeddings(spark, sf)
+    nothing = [F.lit(None).cast("array<double>").alias(name) for name in ("genes", "shares")]
+    there, arrived = rows.where("label < 5"), rows.where("label >= 5")
+    pool = positions(there, "i").select(F.col("pos").alias("rank"), "i", F.col("features").alias("at"), *nothing)
+    accepted = positions(arrived, "i").select(F.col("pos").alias("place"), "i", F.col("features").alias("at"), *nothing)
+    return tidy(breeding.renewed(pool, accepted, 16).select("rank", "i"))
+
+
+def bred_children(spark, sf):
+    """A child per embedding, whose first values are its noise; a label's first row is a parent, its last one a seed."""
+    rows = embeddings(spark, sf)
+    ends = rows.groupBy(F.col("label").cast("bigint").alias("rank")).agg(F.min("i").alias("i"), F.max("i").alias("seed"))
+    pool = ends.select("rank", "i", F.lit(None).cast("array<double>").alias("at"), F.array(F.lit(0.15) + F.col("rank") / 100, F.lit(0.05), F.lit(0.05)).alias("genes"),
+                       F.array(F.lit(1.0), F.lit(0.5)).alias("shares"))
+    part = lambda k: ((F.col("i") * 31 + 17 * k) % 97 + 0.5) / 97
+    draws = rows.select("i", F.floor(F.col("i") / 8).alias("slot"), (F.col("i") * 7919 % 10007 / 10007).alias("u_parent"), F.slice("features", 1, 5).alias("normals"), F.array(part(0), part(1)).alias("u_order"))
+    size, how = ends.count(), breeding.Breeding()
+    fresh = breeding.immigrant_slots(-(-rows.count() // 8), size, 0.15, how.warm_pool)
+    made = breeding.children(draws, pool, ends.select(F.col("rank").alias("place"), "seed"), {"atomic_displacement": {}, "cell_shear": {"max_shear": 0.1}},
+                             breeding.rank_weights(size, how).tolist(), [1.0] * size, fresh, how, {"cell_shear": 1.5})
+    return tidy(made.select("i", "parent", "operator", F.col("genes")[0].alias("sigma"), F.col("genes")[2].alias("shear"), F.col("shares")[1].alias("share")))
+
+
+def success(spark, sf):
+    """Events as changes, accepted where their value is above one."""
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    return tidy(breeding.success_factors(rows.groupBy(F.col("event_type").alias("operator")).agg(F.count(F.lit(1)).alias("proposed"), F.count_if(F.col("value") > 1).alias("accepted"))))
+
+
 def proposals(spark, sf):
     """One proposal of every kind per frame, with the rule it breaks."""
     base = frames(spark, sf).withColumnRenamed("frame_index", "i")
@@ -382,7 +413,8 @@ QUERIES = {
     "snk1_extxyz_round_trip": text_round_trip, "snk2_array_round_trip": array_round_trip, "snk6_committed_result": committed, "snk3_exported_csv": exported,
     "snk4_sampling_report": report, "str1_stream_profile": stream_profile, "str2_stream_histogram": stream_histogram, "str3_stream_first_seen": stream_first_seen,
     "str4_stream_steps": stream_steps, "str4_keyed_steps": keyed_steps, "str3_stream_copies": stream_copies, "gen8_novelty": novelty, "gen13_duplicates": duplicates, "gen11_coverage_gain": coverage_gain, "gen12_coverage_radius": coverage_radius,
-    "gen9_local_novelty": local_novelty, "gen18_random_run": random_run, "gen19_genetic_run": genetic_run, "gen20_swarm_run": swarm_run, "gen20_swarm_state": swarm_state, "gen3_proposals": proposals,
+    "gen9_local_novelty": local_novelty, "gen18_random_run": random_run, "gen19_genetic_run": genetic_run, "gen20_swarm_run": swarm_run, "gen20_swarm_state": swarm_state,
+    "gen30_parent_pool": parent_pool, "gen19_children": bred_children, "gen31_success_factors": success, "gen3_proposals": proposals,
     "gen26_space_map": space_map, "gen28_composition_kinds": composition_archive,
 }
 
@@ -449,6 +481,21 @@ SQL = {
  d AS (SELECT *, u[2] * 1.0 * coalesce(list_distance(pv, bv), 0) AS db, u[3] * 1.5 * coalesce(list_distance(pv, lv), 0) AS dl, u[4] * 15.0 AS dc, u[5] * coalesce(list_distance(pv, av), 0) AS da FROM c)
  SELECT slot, child, CASE WHEN best IS NULL OR u[1] < 0.1 THEN NULL WHEN da >= greatest(db, dl, dc) THEN 2 WHEN dl >= greatest(db, dc) THEN leader WHEN db >= dc THEN best ELSE position END AS parent,
  position, best, round(best_z, 6) + 0.0 AS best_z FROM d""",
+    "gen30_parent_pool": f"""WITH RECURSIVE {RAW}, m AS (SELECT list(x ORDER BY f) AS c FROM (SELECT f, avg(x) AS x FROM (SELECT unnest(v) AS x, unnest(range(0, 64)) AS f FROM e) GROUP BY f)),
+ s AS (SELECT i FROM e, m ORDER BY list_distance(v, c), label >= 5, i LIMIT 1), p AS (SELECT 0 AS rank, i, [i] AS seen FROM s
+ UNION ALL SELECT p.rank + 1, n.i, list_append(p.seen, n.i) FROM p, LATERAL (
+   SELECT a.i, min(list_distance(a.v, b.v)) AS d FROM e a, e b WHERE list_contains(p.seen, b.i) AND NOT list_contains(p.seen, a.i)
+   GROUP BY a.i, a.label ORDER BY d DESC, a.label >= 5, a.i LIMIT 1) n WHERE p.rank < 15) SELECT rank::BIGINT AS rank, i FROM p""",
+    "gen19_children": f"""WITH {RAW}, g AS (SELECT label AS rank, min(i) AS parent, max(i) AS seed, 0.15::DOUBLE + label / 100 AS sigma FROM e GROUP BY 1), z AS (SELECT count(*) AS m, round_even(0.7 * count(*), 0)::BIGINT AS k FROM g),
+ w AS (SELECT rank, parent, sigma, sum((k - rank) * (k - rank)) OVER (ORDER BY rank) AS upto, sum((k - rank) * (k - rank)) OVER () AS total FROM g, z WHERE rank < k),
+ d AS (SELECT i, v, (i * 7919 % 10007) / 10007::DOUBLE AS u, i // 8 < (SELECT round_even(0.15 * ceil(count(*) / 8), 0) FROM e) AS fresh, ((i * 31) % 97 + 0.5::DOUBLE) / 97 AS o0, ((i * 31 + 17) % 97 + 0.5::DOUBLE) / 97 AS o1 FROM e),
+ q AS (SELECT d.i, min(w.rank) AS rank FROM d JOIN w ON w.upto > d.u * w.total WHERE NOT fresh GROUP BY 1),
+ c AS (SELECT d.i, g.seed AS parent, o0, o1, 0.15::DOUBLE AS sigma, 0.1::DOUBLE AS shear, 1.0::DOUBLE AS s0, 1.0::DOUBLE AS s1 FROM d, z, g WHERE fresh AND g.rank = floor(u * m)
+  UNION ALL SELECT d.i, g.parent, o0, o1, greatest(0.01, least(5.0, g.sigma * (1 + 0.3 * v[1]))), greatest(0.005, least(0.5, 0.05 * (1 + 0.3 * v[3]))),
+   greatest(0.05, least(1.0, 1 + 0.3 * v[4])), greatest(0.05, least(1.0, 0.5 * (1 + 0.3 * v[5]))) FROM d JOIN q USING (i) JOIN g USING (rank))
+ SELECT i, parent, CASE WHEN -ln(o0) / s0 < -ln(o1) / (s1 * 1.5) THEN 'atomic_displacement' ELSE 'cell_shear' END AS operator, round(sigma, 6) + 0.0 AS sigma, round(shear, 6) + 0.0 AS shear, round(s1, 6) + 0.0 AS share FROM c""",
+    "gen31_success_factors": """WITH t AS (SELECT event_type AS operator, count(*) FILTER (WHERE value > 1) / count(*) AS rate FROM events GROUP BY 1)
+ SELECT operator, round(CASE WHEN avg(rate) OVER () = 0 THEN 1 ELSE greatest(0.5, least(2.0, 0.55 + 0.45 * rate / avg(rate) OVER ())) END, 6) + 0.0 AS factor FROM t""",
     "gen8_novelty": f"WITH {PAIR} SELECT a.i, round(min({L2}), 6) AS distance FROM q a, r b GROUP BY a.i",
     "gen13_duplicates": f"WITH {PAIR}, d AS (SELECT a.i, min({L2}) AS d FROM q a, r b GROUP BY a.i) SELECT count(*) FILTER (WHERE d < 9.0) AS rejected, count(*) AS n FROM d",
     "gen11_coverage_gain": f"WITH {PAIR} SELECT a.i, round(-max({L2}), 6) AS gain FROM q a, r b GROUP BY a.i",
