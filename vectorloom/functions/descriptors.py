@@ -38,6 +38,16 @@ def radial_histogram(cutoff: float = 5.0, bins: int = 16, width: float | None =
     return run
 
 
+def smooth_coordination(cutoff: float = 4.0) -> Descriptor:
+    """Per atom: the number of neighbours, each fading out towards the cutoff."""
+
+    def run(numbers, xyz, box, pbc):
+        a, _b, _image, d = frame_contacts(xyz, box, pbc, cutoff)
+        return np.bincount(a, (1.0 - (d / cutoff) ** 2) ** 2, len(numbers))[:, None]
+
+    return run
+
+
 def coulomb_spectrum(size: int = 32) -> Descriptor:
     """Sorted eigenvalues of the charge matrix, padded to ``size``."""
 

@@ -26,7 +26,7 @@ from .spectrum import bounded_rows
 # --- fingerprints ------------------------------------------------------------
 
 
-def _nearest_images(gaps: np.ndarray, box: np.ndarray, pbc: np.ndarray) -> np.ndarray:
+def nearest_images(gaps: np.ndarray, box: np.ndarray, pbc: np.ndarray) -> np.ndarray:
     if not pbc.any() or abs(np.linalg.det(box)) < 1e-12:
         return gaps
     return gaps - np.where(pbc, np.rint(gaps @ np.linalg.inv(box)), 0.0) @ box
@@ -37,7 +37,7 @@ def structure_fingerprints(frames: DataFrame) -> DataFrame:
 
     def kernel(index, numbers, xyz, box, pbc):
         a, b = np.triu_indices(len(xyz), 1)
-        d = np.sort(np.linalg.norm(_nearest_images(xyz[a] - xyz[b], box, pbc), axis=1))
+        d = np.sort(np.linalg.norm(nearest_images(xyz[a] - xyz[b], box, pbc), axis=1))
         return np.array([index]), np.array([len(numbers)]), [d.tolist()]
 
     return _by_frame(frames, kernel, "frame bigint, atoms bigint, shape array<double>")
@@ -49,7 +49,7 @@ def environment_fingerprints(frames: DataFrame, cutoff: float, neighbors: int) -
     def kernel(index, numbers, xyz, box, pbc):
         shapes, species = [], []
         for k in range(len(xyz)):
-            d = np.linalg.norm(_nearest_images(xyz - xyz[k], box, pbc), axis=1)
+            d = np.linalg.norm(nearest_images(xyz - xyz[k], box, pbc), axis=1)
             near = (d <= cutoff) & (np.arange(len(xyz)) != k)
             shape, kinds = np.sort(d[near])[:neighbors], np.sort(numbers[near])[:neighbors]
             shapes.append(np.pad(shape, (0, neighbors - len(shape))).tolist())
@@ -263,7 +263,7 @@ def cutoff_smoothness(frames: DataFrame, at_offset: Callable[[float], Descriptor
     return out.withColumn("flagged", F.col("jump_ratio") > limit)
 
 
-def environment_jacobian(frames: DataFrame, descriptor: Descriptor, params: dict | None = None) -> DataFrame:
+def frame_jacobian(frames: DataFrame, descriptor: Descriptor, params: dict | None = None) -> DataFrame:
     """Rank of the descriptor's response to moving atoms, and its blindness to turns.
 
     A vector per frame cannot see more directions than atoms can move in once

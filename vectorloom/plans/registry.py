@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import invalid
-from ..operators import clusters, correlation, crossset, diagnostics, feature_stats, information, local_diversity, neighbors, outliers, sampling, spectrum, trajectory
+from ..operators import clusters, correlation, crossset, diagnostics, environments, feature_stats, information, local_diversity, neighbors, outliers, sampling, spectrum, trajectory
 from ..operators import preprocess
 from .results import AnalysisResult
 
@@ -181,7 +181,7 @@ for _entry in (
     Analysis("distance_consistency", "diagnostics", _consistency),
     *[Analysis(n, c, _responses(fn)) for n, c, fn in (
         ("formal_invariance", "diagnostics", diagnostics.formal_invariance), ("perturbation_sensitivity", "perturbation", diagnostics.perturbation_response),
-        ("cutoff_smoothness", "diagnostics", diagnostics.cutoff_smoothness), ("environment_jacobian", "diagnostics", diagnostics.environment_jacobian),
+        ("cutoff_smoothness", "diagnostics", diagnostics.cutoff_smoothness), ("environment_jacobian", "diagnostics", environments.environment_jacobian),
     )],
     Analysis("sensitivity", "sensitivity", lambda p, runs: AnalysisResult({}, {"records": diagnostics.run_sensitivity(runs, p)}), 0),
     Analysis("pca", "engine", _pca, 1, (("preprocess", "center"),)),

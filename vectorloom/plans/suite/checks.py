@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions import descriptors
 from ...operators import diagnostics as dg
+from ...operators import environments as env
 from .frames import PAIRS, frames
 from .inputs import RAW, embeddings, tidy
 
@@ -55,7 +56,13 @@ def smoothness(spark, sf):
 
 
 def jacobian(spark, sf):
-    return dg.environment_jacobian(frames(spark, sf), descriptors.coulomb_spectrum(16)).select("frame", "rank", "deficiency")
+    return dg.frame_jacobian(frames(spark, sf), descriptors.coulomb_spectrum(16)).select("frame", "rank", "deficiency")
+
+
+def neighbor_responses(spark, sf):
+    """How strongly each atom's faded number of neighbours answers to their moves."""
+    rows = env.environment_jacobian(frames(spark, sf), descriptors.smooth_coordination(4.0), {"cutoff": 4.0, "displacement": 1e-5})
+    return tidy(rows.select("frame", "atom", "species", "neighbor_count", "expected_rank", "sigma_max", "rotational_residual"))
 
 
 def descriptor_rows(spark, sf):
@@ -66,7 +73,7 @@ def descriptor_rows(spark, sf):
 QUERIES = {
     "dia8_structure_fingerprint": fingerprints, "dia9_environment_fingerprint": environments, "dia6_degeneracy": degeneracy,
     "dia7_consistency": consistency, "dia7_consistency_bins": consistency_bins, "dia3_invariance": invariance, "dia2_perturbation": perturbation,
-    "dia4_cutoff_smoothness": smoothness, "dia5_jacobian": jacobian, "udf3_composition_descriptor": descriptor_rows,
+    "dia4_cutoff_smoothness": smoothness, "dia5_jacobian": jacobian, "dia5_environments": neighbor_responses, "udf3_composition_descriptor": descriptor_rows,
 }
 
 _BASE = PAIRS.split(",\n w AS")[0]
@@ -85,6 +92,9 @@ SQL = {
     "dia9_environment_fingerprint": f"""WITH {MIN_IMAGE}, k AS (SELECT *, row_number() OVER (PARTITION BY frame_index, ra ORDER BY d) AS nd, row_number() OVER (PARTITION BY frame_index, ra ORDER BY eb) AS ne FROM mi WHERE d <= 4)
  SELECT a.frame_index AS frame, a.row, a.element, round(coalesce(sum(d) FILTER (WHERE nd <= 6), 0), 6) + 0.0 AS length, coalesce(sum(eb) FILTER (WHERE ne <= 6), 0)::BIGINT AS charge
  FROM atoms a LEFT JOIN k ON k.frame_index = a.frame_index AND k.ra = a.row GROUP BY 1, 2, 3""",
+    "dia5_environments": f"""WITH {MIN_IMAGE}, k AS (SELECT *, 4 * d / 16 * (1 - d * d / 16) AS slope FROM mi WHERE d <= 4)
+ SELECT a.frame_index AS frame, a.row AS atom, a.element AS species, count(d) AS neighbor_count, greatest(3 * count(d) - 3, 0) AS expected_rank, round(coalesce(sqrt(sum(slope * slope)), 0), 6) + 0.0 AS sigma_max,
+  CASE WHEN count(d) > 0 THEN 0.0 END AS rotational_residual FROM atoms a LEFT JOIN k ON k.frame_index = a.frame_index AND k.ra = a.row GROUP BY 1, 2, 3""",
     "dia6_degeneracy": f"""WITH {MIN_IMAGE}, {RAW}, nn AS (SELECT a.i, b.i AS j, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.i ORDER BY list_distance(a.v, b.v), b.i) AS n FROM e a JOIN e b ON a.i <> b.i),
  pr AS (SELECT least(i, j) AS a, greatest(i, j) AS b, min(d) AS d FROM nn WHERE n <= 8 GROUP BY 1, 2), en AS (SELECT frame_index, CASE WHEN label <> 4 THEN v[64] * 100 / n END AS en FROM fr),
  t AS (SELECT a, b, d, {_STRUCT} AS s, abs(ea.en - eb.en) AS de FROM pr JOIN shp x ON x.frame_index = a JOIN shp y ON y.frame_index = b JOIN en ea ON ea.frame_index = a JOIN en eb ON eb.frame_index = b),
