@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ...expansion import breeding, mutations, scoring, search, swarm
+from ...expansion import aftercare, breeding, mutations, scoring, search, swarm
 from ...functions.descriptors import composition_vector, radial_histogram
 from ...operators import contacts, local_diversity, profile, sampling
 from ...operators.ordering import positions
@@ -355,6 +355,14 @@ def success(spark, sf):
     return tidy(breeding.success_factors(rows.groupBy(F.col("event_type").alias("operator")).agg(F.count(F.lit(1)).alias("proposed"), F.count_if(F.col("value") > 1).alias("accepted"))))
 
 
+def grown_dataset(spark, sf):
+    """The frames, and after them those of more than eleven atoms once more, written and read back."""
+    base = frames(spark, sf)
+    more = base.where(F.size("numbers") > 11).withColumnRenamed("frame_index", "i")
+    found = aftercare.add_to_dataset(spark, base, more, _folder(spark, "grown"))
+    return found.select(F.col("frame_index").cast("bigint").alias("frame_index"), F.size("numbers").cast("bigint").alias("atoms"))
+
+
 def proposals(spark, sf):
     """One proposal of every kind per frame, with the rule it breaks."""
     base = frames(spark, sf).withColumnRenamed("frame_index", "i")
@@ -414,7 +422,7 @@ QUERIES = {
     "snk4_sampling_report": report, "str1_stream_profile": stream_profile, "str2_stream_histogram": stream_histogram, "str3_stream_first_seen": stream_first_seen,
     "str4_stream_steps": stream_steps, "str4_keyed_steps": keyed_steps, "str3_stream_copies": stream_copies, "gen8_novelty": novelty, "gen13_duplicates": duplicates, "gen11_coverage_gain": coverage_gain, "gen12_coverage_radius": coverage_radius,
     "gen9_local_novelty": local_novelty, "gen18_random_run": random_run, "gen19_genetic_run": genetic_run, "gen20_swarm_run": swarm_run, "gen20_swarm_state": swarm_state,
-    "gen30_parent_pool": parent_pool, "gen19_children": bred_children, "gen31_success_factors": success, "gen3_proposals": proposals,
+    "gen30_parent_pool": parent_pool, "gen19_children": bred_children, "gen31_success_factors": success, "gen34_grown_dataset": grown_dataset, "gen3_proposals": proposals,
     "gen26_space_map": space_map, "gen28_composition_kinds": composition_archive,
 }
 
@@ -494,6 +502,8 @@ SQL = {
   UNION ALL SELECT d.i, g.parent, o0, o1, greatest(0.01, least(5.0, g.sigma * (1 + 0.3 * v[1]))), greatest(0.005, least(0.5, 0.05 * (1 + 0.3 * v[3]))),
    greatest(0.05, least(1.0, 1 + 0.3 * v[4])), greatest(0.05, least(1.0, 0.5 * (1 + 0.3 * v[5]))) FROM d JOIN q USING (i) JOIN g USING (rank))
  SELECT i, parent, CASE WHEN -ln(o0) / s0 < -ln(o1) / (s1 * 1.5) THEN 'atomic_displacement' ELSE 'cell_shear' END AS operator, round(sigma, 6) + 0.0 AS sigma, round(shear, 6) + 0.0 AS shear, round(s1, 6) + 0.0 AS share FROM c""",
+    "gen34_grown_dataset": f"""WITH {BASE}, u AS (SELECT frame_index, n, 0 AS later FROM fr UNION ALL SELECT frame_index, n, 1 FROM fr WHERE n > 11)
+ SELECT CASE WHEN later = 0 THEN frame_index ELSE (SELECT max(frame_index) FROM fr) + row_number() OVER (PARTITION BY later ORDER BY frame_index) END AS frame_index, n::BIGINT AS atoms FROM u""",
     "gen31_success_factors": """WITH t AS (SELECT event_type AS operator, count(*) FILTER (WHERE value > 1) / count(*) AS rate FROM events GROUP BY 1)
  SELECT operator, round(CASE WHEN avg(rate) OVER () = 0 THEN 1 ELSE greatest(0.5, least(2.0, 0.55 + 0.45 * rate / avg(rate) OVER ())) END, 6) + 0.0 AS factor FROM t""",
     "gen8_novelty": f"WITH {PAIR} SELECT a.i, round(min({L2}), 6) AS distance FROM q a, r b GROUP BY a.i",
