@@ -2,6 +2,7 @@
 
 Rows are unpivoted to (feature, value) and everything is a grouped aggregate,
 so partial aggregation leaves a handful of rows per partition and feature.
+Tables of a row per feature are broadcast to the values, never the other way.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def quantiles(long: DataFrame) -> DataFrame:
 
 def robust_spread(long: DataFrame, middle: DataFrame) -> DataFrame:
     """Median absolute deviation and its normal-consistent sigma."""
-    gaps = long.join(middle.select("f", "median"), "f").select("f", F.abs(F.col("x") - F.col("median")).alias("gap"))
+    gaps = long.join(F.broadcast(middle.select("f", "median")), "f").select("f", F.abs(F.col("x") - F.col("median")).alias("gap"))
     mad = exact_quantiles(gaps, ["f"], "gap", [0.5], ["mad"])
     return mad.withColumn("robust_sigma", F.lit(SIGMA_PER_MAD) * F.col("mad"))
 
@@ -53,8 +54,8 @@ def robust_spread(long: DataFrame, middle: DataFrame) -> DataFrame:
 def fences(long: DataFrame, middle: DataFrame) -> DataFrame:
     """Values outside 1.5 IQR and the extremes of those inside."""
     joined = long.where(F.col("x").isNotNull()).join(
-        middle.select("f", "p25", "p75", (F.col("p25") - FENCE * F.col("iqr")).alias("low"),
-                      (F.col("p75") + FENCE * F.col("iqr")).alias("high")), "f")
+        F.broadcast(middle.select("f", "p25", "p75", (F.col("p25") - FENCE * F.col("iqr")).alias("low"),
+                                  (F.col("p75") + FENCE * F.col("iqr")).alias("high"))), "f")
     outside = (F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))
     return joined.groupBy("f").agg(
         F.coalesce(F.min(F.when(~outside, F.col("x"))), F.max("p25")).alias("whisker_min"),
@@ -171,7 +172,7 @@ def distribution_sample(df: DataFrame, params: dict | None = None) -> DataFrame:
     long = long_values(df, "i").where(F.col("x").isNotNull())
     middle = quantiles(long)
     low, high = F.col("p25") - FENCE * F.col("iqr"), F.col("p75") + FENCE * F.col("iqr")
-    marked = long.join(middle.select("f", "p25", "p75", "iqr"), "f").select(
+    marked = long.join(F.broadcast(middle.select("f", "p25", "p75", "iqr")), "f").select(
         "i", "f", "x", ((F.col("x") < low) | (F.col("x") > high)).cast("int").alias("outside"))
     marked = marked.withColumn("_one", F.lit(1))
     placed = running_totals(marked, ["f"], "i", "_one").withColumnsRenamed({"before": "place", "total": "n"})
@@ -198,7 +199,7 @@ def density(df: DataFrame, points: int = 80, bins: int = 32) -> DataFrame:
     step = (span + 6 * F.col("h")) / (points - 1)
     base = base.withColumn("first", F.col("a") - 3 * F.col("h")).withColumn("step", step)
     counted = long.groupBy("f", "x").agg(F.count(F.lit(1)).alias("c"))
-    spread = counted.join(base, "f").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    spread = counted.join(F.broadcast(base), "f").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     at = F.col("first") + F.col("k") * F.col("step")
     z = (at - F.col("x")) / F.col("h")
     return (
