@@ -135,7 +135,7 @@ def feature_histogram(df: DataFrame, bins: int = 32) -> DataFrame:
     # The narrowest bin two doubles of this size can still tell apart.
     narrow = (F.col("b") > F.col("a")) & (
         (F.col("b") - F.col("a")) / bins <= F.greatest(F.abs("a"), F.abs("b")) * EPSILON)
-    marked = long.join(span.withColumn("narrow", narrow), "f")
+    marked = long.join(F.broadcast(span.withColumn("narrow", narrow)), "f")
     usual = histogram(marked.where(~F.col("narrow")), ["f"], "x", bins)
     pad = F.greatest(F.abs("a"), F.abs("b")) * 1e-9
     width = (F.col("b") - F.col("a") + 2 * pad) / bins
