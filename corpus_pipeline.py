@@ -27,7 +27,9 @@ def within_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id.
 
-    Two documents are linked when at least 0.8 of their five-word shingles are shared.
+    SimHash and its covering masks make the first candidates, shared minima those that
+    are beyond its bits; two documents are linked when at least 0.8 of their five-word
+    shingles are shared.
     """
     prepare(spark)
     return resemblance.distinct_texts(docs)

@@ -4,7 +4,7 @@ import random
 import re
 
 import corpus_pipeline
-from vectorloom.llm import resemblance
+from vectorloom.llm import components, resemblance
 
 from .conftest import SF
 
@@ -68,3 +68,31 @@ def test_blocks_of_a_large_group(spark, table):
     for k in sorted(named):
         least.setdefault(roots.get(named[k], named[k]), k)
     assert sorted(least.values()) == least_ids(texts)
+
+
+def test_simhash_makes_candidates(spark, table):
+    """Close copies are joined by their fingerprints alone, with no minhash key in common."""
+    rng = random.Random(13)
+    words = [f"w{rng.randrange(4000)}" for _ in range(3000)]
+    texts = {k: " ".join(["edge" + str(k), *words[:-1], "end" + str(k)]) for k in range(20)}
+    docs = table(list(texts.items()))
+    rows = resemblance._named(docs).withColumn("bands", resemblance.F.array(resemblance.F.xxhash64("node")))
+    joined = resemblance.components(resemblance.links(rows, docs))
+    assert len({r["root"] for r in joined.collect()}) == 1 and joined.count() == 20
+
+
+def test_joined_nodes_are_not_compared_again(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 5)], "leader bigint, node bigint")
+    edges = spark.createDataFrame([(1, 7), (7, 2)], "a bigint, b bigint")
+    assert sorted(map(tuple, resemblance._apart(pairs, edges).collect())) == [(1, 3), (4, 5)]
+
+
+def test_components_of_short_and_long_lists(spark, monkeypatch):
+    rng = random.Random(14)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1200)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    short = sorted(map(tuple, components.components(df).collect()))
+    monkeypatch.setattr(components, "_settled", None)
+    monkeypatch.setattr(components, "LOCAL_EDGES", -1)
+    assert short == sorted(map(tuple, components.components(df).collect()))
+    assert components.components(df.where("a = b")).count() == 0

@@ -1,14 +1,20 @@
 """Near-duplicates by the shingles that texts share: five words each, similarity 0.8 or more.
 
 The similarity of two texts is the size of the intersection of their shingle
-sets over that of the union.  Texts with equal sets are one node.  Candidates
-share one of ``BANDS`` keys of ``BAND_ROWS`` minima each; a pair at similarity
-0.8 shares none with probability ``(1 - 0.8^5)^30``, below 1e-5, and closer pairs
-less often.  Nodes that share a key are compared by their whole sets, so every
-link is exact; linked nodes form components.
-
-The nodes of a key are first compared with one of them, the leader, and those
-left over with one of the largest component.  Links inside a component need no
+sets over that of the union.  Texts with equal sets are one node.
+
+SimHash comes first: nodes whose fingerprints of five-word shingles differ in at
+most three of 64 bits are found by the covering masks, all such pairs, and each
+component's nodes are compared with its leader.  A pair at similarity 0.8
+differs in more bits than masks can cover, so there are further candidates:
+those that share one of ``BANDS`` keys of ``BAND_ROWS`` minima each; a pair at
+similarity 0.8 shares none with probability ``(1 - 0.8^5)^30``, below 1e-5, and
+closer pairs less often.  Candidates are compared by their whole sets, so every
+link is exact; linked nodes form components, and nodes already in one component
+are not compared again.
+
+A node is first compared with the least leader of its keys, then the nodes of a
+key with the key's leader, and those left over with one of the largest component.  Links inside a component need no
 comparison, so after that only nodes outside a key's largest component meet the
 key's other nodes, in blocks: a large group of near copies costs rows in
 proportion to its members.  A comparison reports a spanning forest of its links
@@ -27,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import binary_text, column_or_null, cut_lineage, map_rows
 from .components import components
-from .simhash import keys, one_of_each, shingle_hashes
+from .simhash import keys, one_of_each, shingle_hashes, simhash
+from .simhash import links as simhash_links
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -48,6 +55,11 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE_WORDS, SEED))
 
 
+def _fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of all shingles, as a signed 64-bit number."""
+    return int(np.uint64(simhash(hashes)).view(np.int64))
+
+
 def band_keys(shingles: np.ndarray) -> list[int]:
     """A signed 64-bit key of each band; none for no shingles."""
     if not len(shingles):
@@ -66,18 +78,20 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """``doc_id, node, bands, _k1, _k2`` for each row."""
+    """``doc_id, node, fp, bands, _k1, _k2`` for each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text.as_py()) for text in batch.column(1)]
+            hashes = [shingle_hashes(text.as_py(), SHINGLE_WORDS, SEED) for text in batch.column(1)]
+            prints, sets = pa.array([_fingerprint(h) for h in hashes], pa.int64()), [np.unique(h) for h in hashes]
             yield pa.record_batch(
-                [batch.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), batch.column(2), batch.column(3)],
-                names=["doc_id", "node", "bands", "_k1", "_k2"],
+                [batch.column(0), pa.array([_node(s) for s in sets], pa.int64()), prints, pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
+                 batch.column(2), batch.column(3)],
+                names=["doc_id", "node", "fp", "bands", "_k1", "_k2"],
             )
 
     rows = docs.select(column_or_null(docs, "doc_id", "bigint"), binary_text(), *keys(docs))
-    return map_rows(rows, work, "doc_id bigint, node bigint, bands array<bigint>, _k1 bigint, _k2 bigint")
+    return map_rows(rows, work, "doc_id bigint, node bigint, fp bigint, bands array<bigint>, _k1 bigint, _k2 bigint")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -185,6 +199,22 @@ def _with_leaders(pairs: DataFrame, sets: DataFrame, block_rows: int) -> DataFra
     return _compare(members.unionByName(leaders), sets)
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """``leader, node``: the nodes that SimHash joins, each beside the least of its component."""
+    prints = nodes.select("fp").distinct()
+    rooted = nodes.select("node", "fp").join(components(simhash_links(prints)).withColumnRenamed("node", "fp"), "fp", "left").select(
+        "node", F.coalesce("root", "fp").alias("root"))
+    led = rooted.groupBy("root").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rooted.join(led, "root").select("leader", "node").where("leader != node")
+
+
+def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The pairs ``leader, node`` that the edges do not join already."""
+    roots = components(edges)
+    rooted = pairs.join(roots.withColumnRenamed("root", "_own"), "node", "left").join(roots.select(F.col("node").alias("leader"), F.col("root").alias("_its")), "leader", "left")
+    return rooted.where(F.coalesce("_own", "node") != F.coalesce("_its", "leader")).select("leader", "node")
+
+
 def _outside(shared: DataFrame, edges: DataFrame) -> DataFrame:
     """``shared`` with ``out``, whether a node is outside its key's largest component, and the key's ``inside`` and ``outside`` counts and ``top`` node within.
 
@@ -201,16 +231,20 @@ def _outside(shared: DataFrame, edges: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges ``a, b`` whose components are those of all links found between nodes."""
-    nodes = rows.groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("_at"), F.min("bands").alias("bands"))
-    nodes = cut_lineage(nodes.where("size(bands) > 0").select("node", "_at._k1", "_at._k2", "bands"))
+    nodes = rows.groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("_at"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
+    nodes = cut_lineage(nodes.where("size(bands) > 0").select("node", "_at._k1", "_at._k2", "fp", "bands"))
+    alike = cut_lineage(_by_fingerprint(nodes))
     met = nodes.select("node", F.explode("bands").alias("band"))
     sizes = met.groupBy("band").agg(
         F.count(F.lit(1)).alias("size"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_y")
     )
     once = sizes.where("size > 1").groupBy("size", "_x", "_y").agg(F.min(F.struct("band", "leader")).alias("_b")).select("size", "_b.band", "_b.leader")
     shared = cut_lineage(met.join(once, "band"))
-    sets = cut_lineage(_sets(docs, nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "_k1", "_k2")))
-    edges = _with_leaders(shared.select("leader", "node"), sets, block_rows)
+    wanted = shared.select("node").unionByName(alike.select("node")).unionByName(alike.select(F.col("leader").alias("node")))
+    sets = cut_lineage(_sets(docs, nodes.join(wanted.distinct(), "node", "left_semi").select("node", "_k1", "_k2")))
+    edges = _with_leaders(alike, sets, block_rows)
+    for pairs in (shared.groupBy("node").agg(F.min("leader").alias("leader")), shared.select("leader", "node").distinct()):
+        edges = edges.unionByName(_with_leaders(_apart(pairs.where("leader != node"), edges), sets, block_rows))
     # The only pair of a key of two nodes has been compared.
     left = _outside(shared.where("size > 2").select("band", "node", "size"), edges)
     edges = edges.unionByName(_with_leaders(left.where("out").select(F.col("top").alias("leader"), "node"), sets, block_rows))
