@@ -33,6 +33,8 @@ CHUNK_ROWS = 2048
 # Cells beside its own that a query row meets at a time, by their place in its order.
 CELL_WAVES = ((0, 8), (8, 64), (64, None))
 _TEMP_VALUES = 4 << 20
+# Coordinate differences of a tile of two blocks, few enough to stay in a core's cache.
+_TILE_VALUES = 1 << 16
 
 NEIGHBOR_SCHEMA = "i bigint, indices array<bigint>, distances array<double>"
 
@@ -46,13 +48,18 @@ def pair_distances(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
         norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(r, axis=1)[None, :]
         return np.maximum(1.0 - (q @ r.T) / np.maximum(norms, 1e-15), 0.0)
-    step = max(1, _TEMP_VALUES // max(1, r.size))
-    for at in range(0, len(q), step):
-        gap = q[at : at + step, None, :] - r[None, :, :]
-        if metric == "euclidean":
-            out[at : at + step] = np.sqrt(np.einsum("abc,abc->ab", gap, gap))
-        else:
-            out[at : at + step] = np.abs(gap).max(axis=2) if metric == "chebyshev" else np.abs(gap).sum(axis=2)
+    width = max(1, _TILE_VALUES // max(1, 4 * r.shape[1]))
+    for start in range(0, len(r), width):
+        tile = r[start : start + width]
+        step = max(1, _TILE_VALUES // max(1, tile.size))
+        for at in range(0, len(q), step):
+            gap = q[at : at + step, None, :] - tile[None, :, :]
+            if metric == "euclidean":
+                part = np.sqrt(np.einsum("abc,abc->ab", gap, gap))
+            else:
+                np.abs(gap, out=gap)
+                part = gap.max(axis=2) if metric == "chebyshev" else gap.sum(axis=2)
+            out[at : at + step, start : start + width] = part
     return out
 
 
