@@ -176,7 +176,9 @@ def differences(rows: DataFrame, jobs: list[Column], keep_digests: bool = True)
     ``print``, which are not peeled.
     """
     nothing = F.lit(None).cast("array<int>")
-    dealt = rows.repartition("_row").select("_row", F.explode(F.array(*jobs)).alias("_j")).select("_row", "_j.*", nothing.alias("only"))
+    # More parts than the shuffle has, so that the cells of a part are summed without a spill; a given number is not merged.
+    parts = RANGES_A_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "_row").select("_row", F.explode(F.array(*jobs)).alias("_j")).select("_row", "_j.*", nothing.alias("only"))
     again = rows.select("_row", F.explode(F.filter(F.array(*jobs), lambda j: ~j["kind"].startswith("print"))).alias("_j")).select("_row", "_j.*")
     solved = None
     while True:
