@@ -126,3 +126,37 @@ def test_order_of_cells_is_kept_between_waves(spark):
     assert sum(map(len, parts)) == len(set.union(*parts))
     tighter = {tuple(r) for r in tree.reachable(asked.withColumn("limit", F.lit(2.0)), 0, 2).collect()}
     assert tighter <= parts[0]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e6])
+def test_rounded_coordinates_only_screen_manhattan_distances(monkeypatch, scale):
+    rng = np.random.default_rng(5)
+    r = rng.normal(size=(700, 64)) * scale
+    r[::50, 3] *= 1e4  # a far coordinate makes the steps coarse
+    r[100:140] = r[7]
+    q, ids = r[:90], rng.permutation(700)
+    met, plain = [], nn.pair_distances
+    monkeypatch.setattr(nn, "pair_distances", lambda *a: met.append(a) or plain(*a))
+    at, found, dist = nn.nearest_block(q, ids[:90], r, ids, 6, "manhattan", True)
+    assert not met
+    d = plain(q, r, "manhattan")
+    for k in range(90):
+        order = [j for j in np.lexsort((ids, d[k])) if j != k][:6]
+        assert found[at == k].tolist() == ids[order].tolist() and (dist[at == k] == d[k][order]).all()
+
+
+def test_query_rows_are_dealt_and_slices_agree_with_one_scan(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 3, size=(2100, 10)).astype(float)  # many ties and copies
+    ids = [int(k) // 2 for k in range(2100)]  # every id twice
+    df = frame_of(spark, x, ids).coalesce(1)
+    whole = sorted(map(tuple, nn.self_nearest(df, 5, "manhattan").collect()))
+    monkeypatch.setattr(nn, "TASK_PAIRS", 1 << 20)
+    assert nn.self_nearest(df, 5, "manhattan").rdd.getNumPartitions() > 1
+    monkeypatch.setattr(nn, "_scan_blocks", None)
+    spark.conf.set(BROADCAST_BYTES_KEY, str(40 << 10))
+    try:
+        assert sorted(map(tuple, nn.self_nearest(df, 5, "manhattan").collect())) == whole
+    finally:
+        spark.conf.unset(BROADCAST_BYTES_KEY)
+    assert len(whole) == 2100
