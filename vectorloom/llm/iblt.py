@@ -138,23 +138,26 @@ def peeled(sketch: Column, cells: Column) -> Column:
             F.slice(table, b + 2, c - b - 1), less(table, c, taken), F.slice(table, c + 2, F.size(table)),
         )
 
-    def take(state: Column, place: Column) -> Column:
-        found = F.element_at(state["table"], place + 1)
-        table = F.aggregate(F.array(_places(found["key"], cells)), state["table"], lambda t, places: without(t, places, found))
-        side = F.array(found["key"])
+    def take(state: Column, seen: Column) -> Column:
+        # One digest may be alone in several cells; the first of them takes it out of all.
+        found = F.element_at(state["table"], seen["cell"] + 1)
+        table = F.aggregate(F.array(_places(seen["key"], cells)), state["table"], lambda t, places: without(t, places, seen))
+        side = F.array(seen["key"])
         none = F.array().cast("array<bigint>")
-        return F.when(_pure(found), F.struct(
-            table.alias("table"), F.concat(state["left"], F.when(found["n"] == 1, side).otherwise(none)).alias("left"),
-            F.concat(state["right"], F.when(found["n"] == -1, side).otherwise(none)).alias("right"), F.lit(True).alias("moved"),
+        return F.when((found["n"] == seen["n"]) & (found["key"] == seen["key"]), F.struct(
+            table.alias("table"), F.concat(state["left"], F.when(seen["n"] == 1, side).otherwise(none)).alias("left"),
+            F.concat(state["right"], F.when(seen["n"] == -1, side).otherwise(none)).alias("right"), state["alone"].alias("alone"),
         )).otherwise(state)
 
     def turn(state: Column, _: Column) -> Column:
-        # All cells in turn, each as it then is, so most of a chain comes off in one round.
-        still = F.struct(state["table"].alias("table"), state["left"].alias("left"), state["right"].alias("right"), F.lit(False).alias("moved"))
-        return F.when(state["moved"], F.aggregate(F.sequence(F.lit(0), (3 * cells - 1).cast("int")), still, take)).otherwise(state)
+        # The cells that hold one digest now; what their removal lays bare is for the next round.
+        after = F.aggregate(state["alone"], state, take)
+        return F.when(F.size(state["alone"]) > 0, _bound(after, lambda s: F.struct(
+            s["table"].alias("table"), s["left"].alias("left"), s["right"].alias("right"), F.filter(s["table"], _pure).alias("alone"),
+        ))).otherwise(state)
 
     empty = F.array().cast("array<bigint>")
-    start = F.struct(sketch.alias("table"), empty.alias("left"), empty.alias("right"), F.lit(True).alias("moved"))
+    start = F.struct(sketch.alias("table"), empty.alias("left"), empty.alias("right"), F.filter(sketch, _pure).alias("alone"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.struct(
         (~F.exists(s["table"], lambda c: (c["n"] != 0) | (c["key"] != 0))).alias("whole"), s["left"].alias("left"), s["right"].alias("right"),
     ))
