@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from .errors import LoomError, invalid
@@ -82,3 +83,17 @@ def small_matrix(df: DataFrame, what: str, limit_rows: int | None = None) -> tup
     values = matrix(rows.column("features"))
     order = np.argsort(ids, kind="stable")
     return ids[order], values[order]
+
+
+def held_rows(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a whole set on the driver, ordered by id."""
+    rows = df.select("i", "features").toArrow()
+    ids = ints(rows.column("i").combine_chunks()).astype(np.int64)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], matrix(rows.column("features"))[order]
+
+
+def shipped_slices(spark, rows: np.ndarray) -> list[Broadcast]:
+    """The rows in order, in broadcasts that are each within the bound."""
+    step = max(1, broadcast_bytes(spark) // max(1, 8 * rows.shape[1]))
+    return [spark.sparkContext.broadcast(rows[at : at + step]) for at in range(0, max(1, len(rows)), step)]

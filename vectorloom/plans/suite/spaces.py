@@ -204,7 +204,7 @@ def components_needed(spark, sf):
 
 
 def kernel(spark, sf):
-    rows = spectrum.kernel_rows(embeddings(spark, sf), {"max_samples": 2000})
+    rows = spectrum.kernel_rows(embeddings(spark, sf))
     return tidy(rows.select("i", F.array_min("kernel").alias("low"), F.array_max("kernel").alias("high"), vec.row_mean(F.col("kernel")).alias("mean")))
 
 
