@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..arrow import ints, matrix, small_matrix, table_batches, vectors
+from ..arrow import held_rows, ints, matrix, shipped_slices, small_matrix, table_batches, vectors
 from ..errors import LoomError, RESULT_INCOMPATIBLE, insufficient, invalid
 from ..params import choice, float_param, int_param, seed_param
+from ..session import cut_lineage
 from . import preprocess
-from .neighbors import METRICS, _squared_screen, broadcast_reduce, nearest, pair_distances, self_nearest
+from .neighbors import METRICS, _gaps, _squared_screen, broadcast_reduce, nearest, pair_distances, self_nearest
 from .ordering import quantile_values
 from .spectrum import bounded_rows, effective_dimension, second_moments, visual_plane
 
@@ -292,30 +293,21 @@ def _pearson(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.corrcoef(a, b)[0, 1])
 
 
-def mantel(left: DataFrame, right: DataFrame, params: dict | None = None) -> dict:
-    """Permutation test of two distance matrices; permutations run in tasks."""
-    params = params or {}
-    metric = choice(params, "metric", "euclidean", METRICS)
-    method = choice(params, "method", "pearson", ("pearson", "spearman"))
-    tail = choice(params, "alternative", "two-sided", ("two-sided", "greater", "less"))
-    limit = int_param(params, "max_samples", 600, 3)
-    permutations = int_param(params, "permutations", 999)
-    seed = seed_param(params)
-    a, b, n = _aligned(left, right, params, limit, 3)
-    upper = np.triu_indices(n, 1)
-    fixed, grid = _distance_grid(a, metric, limit)[upper], _distance_grid(b, metric, limit)
-    if method == "spearman":
-        # Relabelling rows only moves distances about, so their ranks are taken once.
-        fixed = _ranks(fixed)
-        ranked = np.zeros_like(grid)
-        ranked[upper] = _ranks(grid[upper])
-        grid = ranked + ranked.T
+def _grid_sums(a: DataFrame, b: DataFrame, metric: str, limit: int, permutations: int, seed: int) -> tuple[float, int, DataFrame]:
+    """Observed rank correlation, pairs and the null's, from distance grids of a bounded sample."""
+    fixed, grid = _distance_grid(a, metric, limit), _distance_grid(b, metric, limit)
+    upper = np.triu_indices(len(grid), 1)
+    # Relabelling rows only moves distances about, so their ranks are taken once.
+    fixed = _ranks(fixed[upper])
+    ranked = np.zeros_like(grid)
+    ranked[upper] = _ranks(grid[upper])
+    grid = ranked + ranked.T
     moved = grid[upper]
     observed = _pearson(fixed, moved)
     spread = fixed.std() * moved.std() * len(fixed)
     centred = np.zeros_like(grid)
     centred[upper] = fixed - fixed.mean()
-    spark = left.sparkSession
+    spark = a.sparkSession
     shared = spark.sparkContext.broadcast((centred, grid))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,11 +321,129 @@ def mantel(left: DataFrame, right: DataFrame, params: dict | None = None) -> dic
 
     null = spark.range(permutations).mapInArrow(run, "id bigint, covered double").select(
         "id", (F.col("covered") / F.lit(spread if spread > 0 else 1.0)).alias("r"))
+    return observed, len(fixed), null
+
+
+# Rows of a side of a tile of pairs, and query rows whose distances stay in a core's cache.
+PAIR_ROWS, _PAIR_STEP = 2048, 256
+
+
+def _block_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """All distances of two blocks: a matrix product, and coordinate differences where it would round."""
+    if metric != "euclidean":
+        return pair_distances(a, b, metric)
+    an, bn = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    # Squared lengths ride along as two more coordinates, so the product is the squared distance.
+    square = np.column_stack([-2.0 * a, an, np.ones(len(a))]) @ np.column_stack([b, np.ones(len(b)), bn]).T
+    least = 8e6 * (a.shape[1] + 4) * np.finfo(float).eps * float(an.max() + bn.max())
+    rows = cols = ()
+    if square.min() <= least:
+        rows, cols = np.nonzero(square <= least)
+        square[rows, cols] = 0.0
+    np.sqrt(square, out=square)
+    if len(rows):
+        square[rows, cols] = _gaps(a, rows, b, cols)
+    return square
+
+
+def _tile_sums(a: DataFrame, b: DataFrame, metric: str, permutations: int, seed: int) -> tuple[float, int, DataFrame]:
+    """Observed correlation, pairs and the null's, over all pairs of all rows.
+
+    A task takes tiles of two blocks of rows, and adds up the products of their
+    distances in one space with those of the relabelled rows in the other; no
+    grid is ever formed.  Vectors reach the tasks in slices within the broadcast bound.
+    """
+    spark = a.sparkSession
+    (left_ids, left), (right_ids, right) = held_rows(a), held_rows(b)
+    if not np.array_equal(left_ids, right_ids):
+        raise LoomError(RESULT_INCOMPATIBLE, "comparison requires aligned sample ids")
+    n = len(left)
+    if metric == "euclidean":
+        # Lengths near the middle leave the products little to round.
+        left, right = left - left.mean(axis=0), right - right.mean(axis=0)
+    shipped = [shipped_slices(spark, left), shipped_slices(spark, right)]
+    # Sums are of distances less their likely size, so that little of them cancels.
+    middle = [float(np.sqrt(2.0 * side.var(axis=0).sum())) if metric == "euclidean" else 0.0 for side in (left, right)]
+    # Small sets still give every core tiles.
+    size = int(np.clip(-(-n // 16), 16, PAIR_ROWS))
+    blocks = -(-n // size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = (np.concatenate([part.value for part in side]) if len(side) > 1 else side[0].value for side in shipped)
+        facts, sums = np.zeros(5), np.zeros(permutations + 1)
+        for batch in batches:
+            for number in ints(batch.column("id")):
+                # Tiles on and above the diagonal, numbered row by row of the last block.
+                high = int((np.sqrt(8.0 * number + 1) - 1) // 2)
+                high += int((high + 1) * (high + 2) // 2 <= number) - int(high * (high + 1) // 2 > number)
+                low = int(number - high * (high + 1) // 2)
+                rows, cols = np.arange(low * size, min((low + 1) * size, n)), np.arange(high * size, min((high + 1) * size, n))
+                fixed = _block_distances(first[rows], first[cols], metric)
+                wanted = rows[:, None] < cols[None, :]
+                moved = _block_distances(second[rows], second[cols], metric)
+                facts[4] += (~np.isclose(fixed, moved) & wanted).sum()
+                fixed = np.where(wanted, fixed - middle[0], 0.0)
+                moved = np.where(wanted, moved - middle[1], 0.0)
+                own = fixed.sum()
+                facts[:4] += own, (fixed * fixed).sum(), moved.sum(), (moved * moved).sum()
+                sums[0] += (fixed * moved).sum()
+                for p in range(permutations):
+                    order = np.random.default_rng([seed, p]).permutation(n)
+                    here, there = second[order[rows]], second[order[cols]]
+                    for at in range(0, len(rows), _PAIR_STEP):
+                        part = _block_distances(here[at : at + _PAIR_STEP], there, metric)
+                        sums[p + 1] += np.vdot(fixed[at : at + _PAIR_STEP], part)
+                    sums[p + 1] -= middle[1] * own
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(-6, permutations, dtype=np.int64)), pa.array(np.concatenate([facts, sums]))], names=["id", "s"])
+
+    tiles = blocks * (blocks + 1) // 2
+    parts = spark.range(0, tiles, 1, min(tiles, max(2 * spark.sparkContext.defaultParallelism, tiles // 16)))
+    found = cut_lineage(parts.mapInArrow(run, "id bigint, s double").groupBy("id").agg(F.sum("s").alias("s")))
+    total = {r["id"]: r["s"] for r in found.where("id < 0").collect()}
+    pairs = n * (n - 1) // 2
+    x, xx, y, yy, apart, xy = (total[k] for k in range(-6, 0))
+    means = np.array([x / pairs + middle[0], y / pairs + middle[1]])
+    spreads = np.sqrt(np.maximum([xx / pairs - (x / pairs) ** 2, yy / pairs - (y / pairs) ** 2], 0.0))
+    spread = float(spreads.prod()) * pairs
+    if pairs < 2:
+        observed = 0.0
+    elif not preprocess.meaningful(means, spreads).all():
+        observed = 0.0 if apart else 1.0
+    else:
+        observed = (xy - x * y / pairs) / spread
+    null = found.where("id >= 0").select("id", ((F.col("s") - F.lit(x * y / pairs)) / F.lit(spread if spread > 0 else 1.0)).alias("r"))
+    return float(observed), pairs, null
+
+
+MANTEL_SUBSET = 600
+
+
+def mantel(left: DataFrame, right: DataFrame, params: dict | None = None) -> dict:
+    """Permutation test of two distance matrices; permutations run in tasks.
+
+    Distances of all rows count unless ``max_samples`` asks for an evenly spread
+    subset.  Ranks of distances need the whole grid, so they are of a subset always.
+    """
+    params = params or {}
+    metric = choice(params, "metric", "euclidean", METRICS)
+    method = choice(params, "method", "pearson", ("pearson", "spearman"))
+    tail = choice(params, "alternative", "two-sided", ("two-sided", "greater", "less"))
+    ranked = method == "spearman"
+    whole = not ranked and params.get("max_samples") is None
+    limit = None if whole else int_param(params, "max_samples", MANTEL_SUBSET, 3)
+    permutations = int_param(params, "permutations", 999)
+    seed = seed_param(params)
+    a, b, n = _aligned(left, right, params, limit, 3)
+    if ranked:
+        observed, pairs, null = _grid_sums(a, b, metric, limit, permutations, seed)
+    else:
+        observed, pairs, null = _tile_sums(a, b, metric, permutations, seed)
     bound = F.lit(observed)
     hit = {"greater": F.col("r") >= bound, "less": F.col("r") <= bound, "two-sided": F.abs("r") >= F.abs(bound)}[tail]
     exceed = null.agg(F.count_if(hit)).first()[0]
     return {"statistic": observed, "p_value": (exceed + 1) / (permutations + 1), "null": null,
-            "permutations": permutations, "sample_count": n, "pair_count": len(fixed)}
+            "permutations": permutations, "sample_count": n, "pair_count": pairs}
 
 
 def neighbor_overlap(left: DataFrame, right: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:

@@ -348,7 +348,7 @@ def alignment(spark, sf):
 
 
 def mantel(spark, sf):
-    found = crossset.mantel(*_halves(spark, sf), {"max_samples": 2000, "permutations": 99})
+    found = crossset.mantel(*_halves(spark, sf), {"permutations": 99})
     return _one_row(spark, statistic=found["statistic"], pairs=found["pair_count"])
 
 
