@@ -16,7 +16,10 @@ from ..errors import LoomError, RESULT_INCOMPATIBLE, insufficient, invalid
 from ..params import choice, float_param, int_param, seed_param
 from ..session import cut_lineage
 from . import preprocess
-from .neighbors import METRICS, _gaps, _squared_screen, broadcast_reduce, nearest, pair_distances, self_nearest
+from .neighbors import (
+    CHUNK_ROWS, METRICS, TASK_PAIRS, _gaps, _squared_screen, broadcast_reduce, held_places, listed, nearest, pair_distances, places_of,
+    screened_tiles, self_nearest,
+)
 from .ordering import quantile_values
 from .spectrum import bounded_rows, effective_dimension, second_moments, visual_plane
 
@@ -157,45 +160,136 @@ def _sampled_pair(pair: Pair, limit: int | None) -> DataFrame:
     return a.unionByName(b)
 
 
-def _distance_median(both: DataFrame, slots: int = 4096) -> float:
-    """Median positive distance between all rows of both sets.
+def _numbered(both: DataFrame) -> DataFrame:
+    """Rows with a number of their own, dealt so that tasks of pairs are many and even."""
+    rows, context = both.count(), both.sparkSession.sparkContext
+    if rows >= CHUNK_ROWS:
+        both = both.repartition(max(4 * context.defaultParallelism, -(-rows * rows // TASK_PAIRS)))
+    return cut_lineage(both.withColumn("i", F.monotonically_increasing_id()))
 
-    Tasks count distances into slots; only the slots that hold the middle ranks
-    are then listed.  No list of all pairs is ever formed.
+
+def _later_tiles(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray, np.ndarray]]:
+    """Tiles of squared distances to rows with a higher id, infinite for others: each pair of a set comes once.
+
+    ``rows, columns, squares, slack``; most tiles of lower ids are not made at all.
+    Ids of both sides ascend.
+    """
+    if not len(q) or not len(r):
+        return
+    first = int(np.searchsorted(r_ids, q_ids[0], "right"))
+    if first == len(r):
+        return
+    for start, columns, square, slack in screened_tiles(q, r[first:]):
+        rows, columns = slice(start, start + len(square)), slice(columns.start + first, columns.stop + first)
+        if r_ids[columns.start] <= q_ids[rows][-1]:
+            np.copyto(square, np.inf, where=r_ids[None, columns] <= q_ids[rows, None])
+        yield rows, columns, square, slack
+
+
+def _ascending(ids: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    if (ids[1:] >= ids[:-1]).all():
+        return ids, *columns
+    order = np.argsort(ids, kind="stable")
+    return tuple(c[order] for c in (ids, *columns))
+
+
+# Rows whose distances tell where the middle one may lie, and its likely share of them on either side.
+WINDOW_ROWS, WINDOW_SHARE = 1024, 0.05
+
+
+def _distance_median(both: DataFrame, slots: int = 1 << 16) -> float:
+    """Median positive distance between all rows of both sets, whose ids are unique.
+
+    Tasks count squared distances into slots of a window that a few rows suggest;
+    only those around the slots that hold the middle ranks are then listed, and
+    all below are counted.  Where the middle lies outside the window all of the
+    range is the next one.  No list of all pairs is ever formed.
     """
-    reach = both.agg(F.max(F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    width = max(2.0 * reach, 1e-300) * (1 + 1e-9) / slots
     eps = np.finfo(float).eps
+    drawn = matrix(both.orderBy(F.xxhash64("i"), "i").limit(WINDOW_ROWS).select("features").toArrow().column("features"))
+    some = pair_distances(drawn, drawn, "euclidean")
+    some = some[some > eps]
+    reach = both.agg(F.max(F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
+    # Room for the rounding of the squares.
+    margin = 1e-9 * max(reach * reach, 1e-300)
+    whole = (0.0, 4.0 * reach * reach + margin)
+    near = tuple(np.quantile(some, [0.5 - WINDOW_SHARE, 0.5 + WINDOW_SHARE]) ** 2) if len(some) else whole
+    rows = both.count()
+    for low, high in (near, whole):
+        low, high = low - margin, high + margin
+        found = _median_slots(both, low, high, slots)
+        zeros = found.pop(-2, 0)
+        total = rows * (rows - 1) // 2 - zeros
+        if not total:
+            return 1.0
+        ranks = [(total - 1) // 2, total // 2]
+        below = found.pop(-1, 0) - zeros
+        names = np.array(sorted(found), dtype=np.int64)
+        upto = below + np.cumsum([found[k] for k in names.tolist()])
+        # Ranks at the window's ends could be misplaced by rounding.
+        if len(names) and (low <= 0 or ranks[0] >= below) and ranks[1] < upto[-1]:
+            spots = np.searchsorted(upto, ranks, side="right")
+            width = (high - low) / slots
+            bottom = low + names[spots[0]] * width - 2 * margin
+            top = low + (names[spots[1]] + 1) * width + 2 * margin
+            listed_, before = _listed_distances(both, bottom, top)
+            before = before - zeros if bottom > 0 else 0
+            cumulative = before + np.cumsum([n for _d, n in listed_])
+            if before <= ranks[0] and len(cumulative) and ranks[1] < cumulative[-1]:
+                middle = [listed_[int(np.searchsorted(cumulative, r, side="right"))][0] for r in ranks]
+                return float((middle[0] + middle[1]) / 2)
+    raise LoomError(RESULT_INCOMPATIBLE, "no middle distance; vectors must be finite")
+
+
+def _median_slots(both: DataFrame, low: float, high: float, slots: int) -> dict[int, int]:
+    """Pairs by slot of their squared distance; -1 has all below the window, -2 those at zero."""
+    eps, scale = np.finfo(float).eps, slots / (high - low)
 
     def count(q_ids, q, _qt, r_ids, r, _rt):
-        d = pair_distances(q, r, "euclidean")
-        n = np.bincount((d[d > eps] / width).astype(np.int64))
-        slot = np.flatnonzero(n)
-        return slot, n[slot]
-
-    rows = broadcast_reduce(
-        both, both, count, "slot bigint, n bigint", lambda parts: parts.groupBy("slot").agg(F.sum("n").alias("n"))).orderBy("slot").collect()
-    if not rows:
-        return 1.0
-    upto = np.cumsum([r["n"] for r in rows])
-    ranks = [(upto[-1] - 1) // 2, upto[-1] // 2]
-    spots = [int(np.searchsorted(upto, r, side="right")) for r in ranks]
-    wanted = sorted({rows[s]["slot"] for s in spots})
-    bottom, top = wanted[0] * width * (1 - 1e-9), (wanted[-1] + 1) * width * (1 + 1e-9)
+        q_ids, q = _ascending(q_ids, q)
+        r_ids, r = _ascending(r_ids, r)
+        held, below, zeros = np.zeros(slots, dtype=np.int64), 0, 0
+        for rows, columns, square, slack in _later_tiles(q_ids, q, r_ids, r):
+            if square.min() <= 2 * slack.max():
+                at, to = listed(square <= 2 * slack[:, None])
+                zeros += int((_gaps(q[rows], at, r[columns], to) <= eps).sum())
+            below += np.count_nonzero(square < low)
+            inside = square[(square >= low) & (square < high)]
+            inside -= low
+            inside *= scale
+            held += np.bincount(np.minimum(inside.astype(np.int64), slots - 1), minlength=slots)
+        slot = np.flatnonzero(held)
+        return np.concatenate([[-2, -1], slot]), np.concatenate([[zeros, below], held[slot]])
+
+    found = broadcast_reduce(
+        both, both, count, "slot bigint, n bigint", lambda parts: parts.groupBy("slot").agg(F.sum("n").alias("n")), CHUNK_ROWS)
+    return {r["slot"]: r["n"] for r in found.collect() if r["n"]}
+
+
+def _listed_distances(both: DataFrame, bottom: float, top: float) -> tuple[list[tuple[float, int]], int]:
+    """Distances whose squares lie between the two, with their number, and how many pairs are below."""
+    eps = np.finfo(float).eps
+    least, most = np.sqrt(max(bottom, 0.0)), np.sqrt(max(top, 0.0))
 
     def listing(q_ids, q, _qt, r_ids, r, _rt):
-        d = pair_distances(q, r, "euclidean")
-        # Few are left between the slots' edges, so only they are told apart.
-        d = d[(d > eps) & (d >= bottom) & (d <= top)]
-        return (d[np.isin((d / width).astype(np.int64), wanted)],)
+        q_ids, q = _ascending(q_ids, q)
+        r_ids, r = _ascending(r_ids, r)
+        below, kept = 0, [np.zeros(0)]
+        for rows, columns, square, slack in _later_tiles(q_ids, q, r_ids, r):
+            close = (bottom - 2 * slack)[:, None]
+            below += np.count_nonzero(square < close)
+            at, to = listed((square >= close) & (square <= (top + 2 * slack)[:, None]))
+            if len(at):
+                d = _gaps(q[rows], at, r[columns], to)
+                below += np.count_nonzero(d < least)
+                kept.append(d[(d >= least) & (d <= most) & (d > eps)])
+        values, n = np.unique(np.concatenate(kept), return_counts=True)
+        return np.append(values, -1.0), np.append(n, below)
 
     found = broadcast_reduce(
-        both, both, listing, "d double", lambda parts: parts.groupBy("d").agg(F.count(F.lit(1)).alias("n"))).orderBy("d").toArrow()
-    values, counts = ints(found.column("d").combine_chunks()), ints(found.column("n").combine_chunks())
-    before = int(upto[spots[0] - 1]) if spots[0] else 0
-    cumulative = np.cumsum(counts)
-    low, high = (values[np.searchsorted(cumulative, r - before, side="right")] for r in ranks)
-    return float((low + high) / 2)
+        both, both, listing, "d double, n bigint", lambda parts: parts.groupBy("d").agg(F.sum("n").alias("n")), CHUNK_ROWS).orderBy("d").toArrow()
+    pairs = list(zip(found.column("d").to_pylist(), found.column("n").to_pylist()))
+    return [p for p in pairs if p[0] >= 0], sum(n for d, n in pairs if d < 0)
 
 
 def drift(reference: DataFrame, query: DataFrame, params: dict | None = None) -> dict:
@@ -208,24 +302,34 @@ def drift(reference: DataFrame, query: DataFrame, params: dict | None = None) ->
     covered = coverage(reference, query, params)
     pair = covered["pair"]
     limit = None if params.get("distribution_samples") is None else int_param(params, "distribution_samples", 500, 20)
-    both = _sampled_pair(pair, limit).persist()
+    both = _numbered(_sampled_pair(pair, limit)).persist()
     try:
         width = params.get("bandwidth")
         width = _distance_median(both) if width is None else float_param(params, "bandwidth", 1.0, 2.220446049250313e-16)
         gamma = 1.0 / (2.0 * width * width)
 
         def mass(q_ids, q, q_tag, r_ids, r, r_tag):
-            # Rounding of the product moves a term by no more than a few ulps of the squared norms.
-            k = np.exp(-gamma * np.maximum(_squared_screen(q, r)[0], 0.0)) if len(q) and len(r) else np.zeros((len(q), len(r)))
-            return q_tag, k[:, r_tag == 0].sum(axis=1), k[:, r_tag == 1].sum(axis=1)
+            q_ids, q, q_tag = _ascending(q_ids, q, q_tag)
+            r_ids, r, r_tag = _ascending(r_ids, r, r_tag)
+            sides = np.column_stack([r_tag == 0, r_tag == 1]).astype(float)
+            sums = np.zeros((2, 2))
+            for rows, columns, square, _slack in _later_tiles(q_ids, q, r_ids, r):
+                # Rounding of the product moves a term by no more than a few ulps of the squared norms.
+                np.maximum(square, 0.0, out=square)
+                square *= -gamma
+                part = np.exp(square, out=square) @ sides[columns]
+                for source in (0, 1):
+                    sums[source] += part[q_tag[rows] == source].sum(axis=0)
+            return np.arange(2), sums[:, 0], sums[:, 1]
 
         sums = broadcast_reduce(
             both, both, mass, "source bigint, to_a double, to_b double",
-            lambda parts: parts.groupBy("source").agg(F.sum("to_a").alias("a"), F.sum("to_b").alias("b"))).collect()
+            lambda parts: parts.groupBy("source").agg(F.sum("to_a").alias("a"), F.sum("to_b").alias("b")), CHUNK_ROWS).collect()
         by = {r["source"]: r for r in sums}
         sizes = {r["tag"]: r["n"] for r in both.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).collect()}
         n, m = sizes[0], sizes[1]
-        mmd = by[0]["a"] / n**2 + by[1]["b"] / m**2 - 2 * by[0]["b"] / (n * m)
+        # Each pair came once; a row is at one to itself.
+        mmd = (n + 2 * by[0]["a"]) / n**2 + (m + 2 * by[1]["b"]) / m**2 - 2 * (by[0]["b"] + by[1]["a"]) / (n * m)
         left, right = (second_moments(both.where(F.col("tag") == t).select("i", "features")) for t in (0, 1))
         shift = None
         if n > 1 and m > 1:
@@ -524,12 +628,37 @@ def _ahead(q: np.ndarray, to: np.ndarray, mate: np.ndarray, r_ids: np.ndarray, r
     return ahead
 
 
-def rank_contributions(left: DataFrame, right: DataFrame, metric: str, n: int) -> DataFrame:
+def _ahead_counts(q_ids: np.ndarray, q: np.ndarray, to: np.ndarray, mate: np.ndarray, r_ids: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """How many rows of ``r``, but for itself and its mate, lie before a query row's mate, tile by tile."""
+    found = np.zeros(len(q), dtype=np.int64)
+    if not len(q) or not len(r):
+        return found
+    gap = q - to
+    limit = np.einsum("ij,ij->i", gap, gap)
+    apart = [places_of(q_ids, r_ids), places_of(mate, r_ids)]
+    for start, columns, square, slack in screened_tiles(q, r):
+        mine = slice(start, start + len(square))
+        for rows, places in apart:
+            square[held_places(rows, places, start, len(square), columns)] = np.inf
+        room = 2 * slack + 1e-12 * limit[mine]
+        clear = np.count_nonzero(square < (limit[mine] - room)[:, None], axis=1)
+        open_ = np.flatnonzero(np.count_nonzero(square <= (limit[mine] + room)[:, None], axis=1) > clear)
+        found[mine] += clear
+        if len(open_):
+            at = open_ + start
+            settled = _ahead(q[at], to[at], mate[at], r_ids[columns], r[columns])
+            settled &= (r_ids[None, columns] != q_ids[at, None]) & (r_ids[None, columns] != mate[at, None])
+            found[at] += settled.sum(axis=1) - clear[open_]
+    return found
+
+
+def rank_contributions(left: DataFrame, right: DataFrame, metric: str, n: int, near: DataFrame | None = None) -> DataFrame:
     """``i, contribution``: where the left space's nearest other stands in the right space.
 
-    Self is excluded by id, so copies keep their true rank.
+    Self is excluded by id, so copies keep their true rank.  ``near`` has the left
+    space's nearest others, where they are known already.
     """
-    first = self_nearest(left, 1, metric).select("i", F.col("indices")[0].alias("tag"))
+    first = (self_nearest(left, 1, metric) if near is None else near).select("i", F.col("indices")[0].alias("tag"))
     # The mate's vector rides along, so any slice of the reference can be ranked against it.
     mates = right.select(F.col("i").alias("tag"), F.col("features").alias("mate"))
     query = right.join(first, "i").join(mates, "tag").select("i", F.concat("features", "mate").alias("features"), "tag")
@@ -539,17 +668,17 @@ def rank_contributions(left: DataFrame, right: DataFrame, metric: str, n: int) -
         half = both.shape[1] // 2
         q, to = both[:, :half], both[:, half:]
         if metric == "euclidean":
-            ahead = _ahead(q, to, mate, r_ids, r)
-        else:
-            d = pair_distances(q, r, metric)
-            own = np.array([pair_distances(q[[k]], to[[k]], metric)[0, 0] for k in range(len(q))])
-            ahead = (d < own[:, None]) | ((d == own[:, None]) & (r_ids[None, :] < mate[:, None]))
+            return q_ids, _ahead_counts(q_ids, q, to, mate, r_ids, r)
+        d = pair_distances(q, r, metric)
+        own = np.array([pair_distances(q[[k]], to[[k]], metric)[0, 0] for k in range(len(q))])
+        ahead = (d < own[:, None]) | ((d == own[:, None]) & (r_ids[None, :] < mate[:, None]))
         # The mate itself is never ahead of itself, whatever rounding says.
         ahead &= (r_ids[None, :] != q_ids[:, None]) & (r_ids[None, :] != mate[:, None])
         return q_ids, ahead.sum(axis=1).astype(np.int64)
 
     ranked = broadcast_reduce(
-        other, query, place, "i bigint, ahead bigint", lambda parts: parts.groupBy("i").agg(F.sum("ahead").alias("ahead")))
+        other, query, place, "i bigint, ahead bigint", lambda parts: parts.groupBy("i").agg(F.sum("ahead").alias("ahead")),
+        CHUNK_ROWS if metric == "euclidean" else None)
     share = F.col("ahead") / F.lit(float(max(n - 2, 1)))
     return ranked.select("i", F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)).alias("contribution"))
 
@@ -559,10 +688,12 @@ def information_imbalance(left: DataFrame, right: DataFrame, params: dict | None
     metric = choice(params, "metric", "euclidean", METRICS)
     limit = None if params.get("max_samples") is None else int_param(params, "max_samples", 600, 3)
     a, b, n = _aligned(left, right, params, limit, 8)
-    forward, back = rank_contributions(a, b, metric, n), rank_contributions(b, a, metric, n)
     sizes = [k for k in OVERLAP_SIZES if k <= n - 1]
-    near = self_nearest(a, sizes[-1], metric).select("i", F.col("indices").alias("a")).join(
-        self_nearest(b, sizes[-1], metric).select("i", F.col("indices").alias("b")), "i")
+    # Both spaces are searched and ranked once; the means, the ranks and the overlap read what was found.
+    a, b = cut_lineage(a), cut_lineage(b)
+    near_a, near_b = (cut_lineage(self_nearest(side, sizes[-1], metric).select("i", "indices")) for side in (a, b))
+    forward, back = cut_lineage(rank_contributions(a, b, metric, n, near_a)), cut_lineage(rank_contributions(b, a, metric, n, near_b))
+    near = near_a.select("i", F.col("indices").alias("a")).join(near_b.select("i", F.col("indices").alias("b")), "i")
     shares = near.select("i", *[
         (F.size(F.array_intersect(F.slice("a", 1, k), F.slice("b", 1, k))) / k).alias(f"overlap_{k}") for k in sizes])
     return {

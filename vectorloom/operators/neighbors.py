@@ -89,22 +89,50 @@ def screened_tiles(q: np.ndarray, r: np.ndarray) -> Iterator[tuple[int, slice, n
     """Squared distances by matrix product, tile by tile, with a bound on their rounding error.
 
     ``start, columns, squares, slack``: the tile's first query row, its reference
-    rows, and values that may be written to.  Reference rows ascend for a query row.
+    rows, and values that may be written to until the next tile, which takes their
+    place.  Reference rows ascend for a query row.
     """
     shift = r.mean(axis=0)
+    room = np.empty(0)
     for start in range(0, len(q), TILE_ROWS):
         a = q[start : start + TILE_ROWS] - shift
         qn = np.einsum("ij,ij->i", a, a)
+        # Squared lengths ride along as two more coordinates, so one product gives the squared distances.
+        a = np.column_stack([-2.0 * a, qn, np.ones(len(a))])
         for at in range(0, len(r), TILE_COLUMNS):
             b = r[at : at + TILE_COLUMNS] - shift
             rn = np.einsum("ij,ij->i", b, b)
-            square = a @ (-2.0 * b.T)
-            square += rn[None, :]
-            square += qn[:, None]
+            if room.size != len(a) * len(b):
+                room = np.empty(len(a) * len(b))
+            square = np.matmul(a, np.column_stack([b, np.ones(len(b)), rn]).T, out=room.reshape(len(a), len(b)))
             slack = 8.0 * (q.shape[1] + 4) * np.finfo(float).eps * (qn + rn.max())
             yield start, slice(at, at + len(b)), square, slack
 
 
+def places_of(wanted: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``rows, places``: where each of the wanted ids stands in ``ids``, as often as it does; places ascend."""
+    order = np.argsort(ids, kind="stable")
+    listed = ids[order]
+    first, last = np.searchsorted(listed, wanted, "left"), np.searchsorted(listed, wanted, "right")
+    count = last - first
+    rows = np.repeat(np.arange(len(wanted)), count)
+    places = order[np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(rows))]
+    by_place = np.argsort(places, kind="stable")
+    return rows[by_place], places[by_place]
+
+
+def held_places(rows: np.ndarray, places: np.ndarray, start: int, height: int, columns: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the listed places that lie in a tile, counted from its corner."""
+    part = slice(*np.searchsorted(places, [columns.start, columns.stop]))
+    inside = (rows[part] >= start) & (rows[part] < start + height)
+    return rows[part][inside] - start, places[part][inside] - columns.start
+
+
+def listed(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a tile's hits, in the order of the rows."""
+    return np.divmod(np.flatnonzero(hits.reshape(-1)), hits.shape[1])
+
+
 def _gaps(q: np.ndarray, rows: np.ndarray, r: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Distances of listed pairs, by coordinate differences."""
     out = np.empty(len(rows))
@@ -190,26 +218,34 @@ def nearest_block(
     if not len(r) or not len(q):
         return none, none, np.zeros(0)
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     best = (none, none, np.zeros(0))
     edge = np.full(0, np.inf)
+    own = places_of(q_ids, r_ids) if skip_self else (none, none)
     tiles, exactly = _screened(q, r, metric)
     for start, columns, score, slack in tiles:
         if columns.start == 0:
-            done.append((best[0], best[1], best[2]))
+            done.append(best)
             best, edge = (none, none, np.zeros(0)), np.full(len(score), np.inf)
-        if skip_self:
-            score[q_ids[start : start + len(score), None] == r_ids[None, columns]] = np.inf
+        score[held_places(*own, start, len(score), columns)] = np.inf
         limit = edge
         if columns.start == 0:
             width = min(k, score.shape[1])
             limit = np.partition(score, width - 1, axis=1)[:, width - 1]
             limit = np.where(np.isnan(limit) | (width < k), np.inf, limit)
-        rows, cols = np.nonzero((score <= (limit + 2 * slack)[:, None]) & np.isfinite(score))
-        if not len(rows):
+        rows, cols = listed(score <= (limit + 2 * slack)[:, None])
+        found = score[rows, cols]
+        if not (kept := np.isfinite(found)).all():
+            rows, cols, found = rows[kept], cols[kept], found[kept]
+        if len(rows):
+            exact = found if exactly is None else exactly(q, rows + start, r, cols + columns.start)
+            fresh.append((rows + start, r_ids[cols + columns.start], exact))
+        # What some tiles add is sorted in at once; until then the edge is only too wide.
+        waiting = sum(len(part[0]) for part in fresh)
+        if not waiting or (columns.start and columns.stop < len(r) and 2 * waiting < k * len(score)):
             continue
-        exact = score[rows, cols] if exactly is None else exactly(q, rows + start, r, cols + columns.start)
-        best = _k_lowest(np.concatenate([best[0], rows + start]), np.concatenate([best[1], r_ids[cols + columns.start]]),
-                         np.concatenate([best[2], exact]), k)
+        best = _k_lowest(*(np.concatenate(part) for part in zip(best, *fresh)), k)
+        fresh = []
         # The running k-th distance, once a row has k.
         ends = np.searchsorted(best[0], np.arange(start, start + len(score)), "right")
         full = np.diff(np.searchsorted(best[0], np.arange(start, start + len(score) + 1))) == k
@@ -241,7 +277,7 @@ def least_cost(
         mine = slice(start, start + len(square))
         found = score(mine, columns, square)
         limit = np.minimum(found.min(axis=1), least[mine] ** 2)
-        rows, cols = np.nonzero(found <= (limit * (1 + 1e-12) + 2 * slack * scale[mine])[:, None])
+        rows, cols = listed(found <= (limit * (1 + 1e-12) + 2 * slack * scale[mine])[:, None])
         open_ = np.isfinite(found[rows, cols])
         rows, cols = rows[open_] + start, cols[open_] + columns.start
         if not len(rows):
@@ -758,14 +794,16 @@ def _radius_reduce(reference: DataFrame, query: DataFrame, radius: float, metric
 
 
 def broadcast_reduce(
-    reference: DataFrame, query: DataFrame, kernel: Callable, schema: str, combine: Callable[[DataFrame], DataFrame] | None
+    reference: DataFrame, query: DataFrame, kernel: Callable, schema: str, combine: Callable[[DataFrame], DataFrame] | None,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """The same kernel contract with the reference in every task.
 
     A reference beyond the broadcast bound goes in slices by hash of its id, and
     a kernel sees one slice at a time.  ``combine`` makes the result of the rows
     of all slices; it is None only where these rows are to be put together as
-    they are, as lists of edges or distances.
+    they are, as lists of edges or distances.  ``block_rows`` is for kernels that
+    hold no score of every pair at once.
     """
     spark = query.sparkSession
     wide = reference.count() * (_width(reference) + 2) * 8
@@ -776,14 +814,14 @@ def broadcast_reduce(
             part = reference.where(F.pmod(F.xxhash64("i"), F.lit(slices)) == number)
             if part.isEmpty():
                 continue
-            found = _reduce_slice(part, query, kernel, schema)
+            found = _reduce_slice(part, query, kernel, schema, block_rows)
             out = found if out is None else out.unionByName(found)
     else:
-        out = _reduce_slice(reference, query, kernel, schema)
+        out = _reduce_slice(reference, query, kernel, schema, block_rows)
     return out if combine is None else combine(out)
 
 
-def _reduce_slice(reference: DataFrame, query: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+def _reduce_slice(reference: DataFrame, query: DataFrame, kernel: Callable, schema: str, block_rows: int | None = None) -> DataFrame:
     spark = query.sparkSession
     packed = reference.select("i", "features", "tag").toArrow()
     if packed.nbytes > 2 * broadcast_bytes(spark) + (1 << 20):
@@ -793,7 +831,7 @@ def _reduce_slice(reference: DataFrame, query: DataFrame, kernel: Callable, sche
     )
     tag = F.col("tag") if "tag" in query.columns else F.lit(0).cast("bigint")
     names = [part.strip().split(" ")[0] for part in schema.split(", ")]
-    block = max(1, min(CHUNK_ROWS, (8 << 20) // max(1, packed.num_rows)))
+    block = block_rows or max(1, min(CHUNK_ROWS, (8 << 20) // max(1, packed.num_rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r_ids, r, r_tag = shared.value
