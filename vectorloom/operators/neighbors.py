@@ -299,6 +299,13 @@ def _fits(df: DataFrame, width: int) -> bool:
     return df.count() * (width + 2) * 8 <= broadcast_bytes(df.sparkSession)
 
 
+def scanned(reference: DataFrame) -> bool:
+    """Whether a reference is compared as a whole, in one or some broadcasts, rather than laid out in cells."""
+    width = _width(reference)
+    slices = -(-reference.count() * (width + 2) * 8 * 5 // (4 * broadcast_bytes(reference.sparkSession)))
+    return _fits(reference, width) or (width > LEAF_WIDTH and slices <= MOST_SLICES)
+
+
 def _width(df: DataFrame) -> int:
     row = df.select(F.size("features").alias("d")).limit(1).collect()
     if not row:
